@@ -6,11 +6,14 @@ intervals, merged to maximal ones.
 
 Only windows that can repeat are sent over the network. Within a window the
 5-word gram with the least hash is its anchor; equal windows have equal anchors
-at equal offsets, so a window whose anchor occurs once is unique (lossless). Only
-the anchors, about one in nine positions, are counted first; then the windows
-over repeated anchors are hashed and counted. Both counts combine on the map
-side, and occurrences meet counts in an equi-join that adaptive execution splits
-where one passage is very frequent. Whole texts travel by id alone.
+at equal offsets, so a window whose anchor occurs in one place of one text only is
+unique (lossless). Only the anchors, about one in nine positions, are counted
+first, by text; then the windows over repeated anchors are hashed.
+
+Copies of a text are settled by the text's 128-bit hash: each window of a copy
+starts earlier in the copy with the smallest id. Among the other documents a batch
+settles its own repeats and sends one occurrence, its earliest, of each window
+hash, so no window hash, however common, meets more rows than there are batches.
 
 Defined results: null or empty text has no words; texts under ``window`` words
 lose none; documents with a null id sort before all others, among themselves by
@@ -29,7 +32,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import NO_ID, ids, longs, mix, texts
@@ -97,21 +100,32 @@ def _scan_anchors(window: int, gram: int):
                 empty = np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [longs(np.concatenate([empty, *who])), longs(np.concatenate([empty.view(np.uint64), *key])), pa.array(np.concatenate([empty, *pos]).astype(np.int32))],
-                    names=["doc_id", "anchor", "pos"],
+                    names=["h1", "anchor", "pos"],
                 )
 
     return scan
 
 
+#: In place of starts: every window of the document starts earlier, in a copy.
+_ALL = -1
+
+
 def _scan_windows(window: int, gram: int):
+    """Of (key, text, first, spots): a row (key, w, start) for the batch's earliest occurrence of each window
+    over a repeated anchor, and for each document a row (key, starts) of those known to start earlier."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
-                who, key, pos = [], [], []
-                for i, t, spots in zip(ids(b.column(0)).tolist(), texts(b.column(1)), b.column(2).to_pylist()):
+            for at in range(0, big.num_rows, 2000):
+                b = big.slice(at, 2000)
+                who, key, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                known: list[tuple[int, list[int]]] = []
+                for i, t, first, spots in zip(ids(b.column(0)).tolist(), texts(b.column(1)), ids(b.column(2)).tolist(), b.column(3).to_pylist()):
+                    if i != first:
+                        known.append((i, [_ALL]))
+                        continue
                     h = word_hashes(t.split())
-                    if h.size < window:
+                    if h.size < window or not spots:
                         continue
                     repeated = np.zeros(h.size, bool)
                     repeated[spots] = True
@@ -119,26 +133,48 @@ def _scan_windows(window: int, gram: int):
                     who.append(np.full(start.size, i, np.int64))
                     key.append(rolling(h, window)[start])
                     pos.append(start)
-                empty = np.zeros(0, np.int64)
+                who, key, pos = np.concatenate(who), np.concatenate(key), np.concatenate(pos)
+                order = np.lexsort((pos, who, key))
+                who, key, pos = who[order], key[order], pos[order]
+                new = np.r_[True, key[1:] != key[:-1]][: key.size]
+                lead = np.flatnonzero(new)[np.cumsum(new) - 1] if key.size else order
+                late = (who != who[lead]) | (pos != pos[lead])
+                by_doc = np.argsort(who[late], kind="stable")
+                late_who, late_pos = who[late][by_doc], pos[late][by_doc]
+                names, begin = np.unique(late_who, return_index=True)
+                known += zip(names.tolist(), (x.tolist() for x in np.split(late_pos, begin[1:])))
+                n, m = int((~late).sum()), len(known)
                 yield pa.RecordBatch.from_arrays(
-                    [longs(np.concatenate([empty, *who])), longs(np.concatenate([empty.view(np.uint64), *key])), pa.array(np.concatenate([empty, *pos]).astype(np.int32))],
-                    names=["doc_id", "w", "start"],
+                    [
+                        pa.array(np.r_[who[~late], np.array([k for k, _ in known], np.int64)], pa.int64()),
+                        # settled rows are dealt by their document
+                        longs(np.r_[key[~late], mix(np.array([k for k, _ in known], np.int64).view(np.uint64))]),
+                        pa.array(np.r_[pos[~late], np.zeros(m, np.int64)].astype(np.int32)),
+                        pa.array([None] * n + [x for _, x in known], pa.list_(pa.int32())),
+                    ],
+                    names=["key", "w", "start", "starts"],
                 )
 
     return scan
 
 
 def later_windows(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, starts) of the windows of each document that also start earlier."""
-    anchors = docs.mapInArrow(_scan_anchors(window, gram), "doc_id long, anchor long, pos int")
-    counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("anchor").alias("k"))
-    spots = anchors.join(counts, anchors.anchor == counts.k).groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
-    spots = written(spots, "window-anchors").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spots, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "spots")
-    windows = written(joined.mapInArrow(_scan_windows(window, gram), "doc_id long, w long, start int"), "windows")
-    first = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1").select(F.col("w").alias("k"), "first")
-    later = windows.join(first, windows.w == first.k).filter(F.struct("doc_id", "start") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    """(key, starts) of the windows of each document (key, text) that also start earlier; one start of -1: all."""
+    docs = docs.select("key", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    anchors = docs.select("h1", "text").mapInArrow(_scan_anchors(window, gram), "h1 long, anchor long, pos int")
+    # once in one text, however many copies it has, is not repeated
+    repeated = anchors.groupBy("anchor").agg(*(f(c).alias(f"{n}_{c}") for c in ("h1", "pos") for n, f in (("min", F.min), ("max", F.max))))
+    repeated = repeated.filter("min_h1 < max_h1 or min_pos < max_pos").select(F.col("anchor").alias("k"))
+    spots = anchors.join(repeated, anchors.anchor == repeated.k).groupBy("h1").agg(F.collect_set("pos").alias("spots"))
+    spots = written(spots, "window-anchors")
+    texts_once = docs.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    marks = texts_once.join(spots, "h1", "left").filter("spots is not null or first < last").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", "spots")
+    marks = written(marks, "window-marks")
+    joined = docs.join(marks, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("key", "text", "first", "spots")
+    rows = joined.mapInArrow(_scan_windows(window, gram), "key long, w long, start int, starts array<int>")
+    first = F.min(F.when(F.col("starts").isNull(), F.col("key"))).over(Window.partitionBy("w"))
+    later = rows.withColumn("first", first).filter("starts is not null or key > first")
+    return later.groupBy("key").agg(F.array_union(F.collect_set(F.when(F.col("starts").isNull(), F.col("start"))), F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
 def removal_intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -162,8 +198,7 @@ def dedup_substrings(
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     nameless = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(2**62))
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", nameless).alias("key"))
-    later = later_windows(docs.select(F.col("key").alias("doc_id"), "text"), window=window, gram=gram)
-    later = written(later, "window-drops").withColumnRenamed("doc_id", "_id")
+    later = written(later_windows(docs.select("key", "text"), window=window, gram=gram), "window-drops").withColumnRenamed("key", "_id")
     joined = docs.join(later, F.col("key") == F.col("_id"), "left").select("doc_id", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +210,8 @@ def dedup_substrings(
                 n_words.append(len(words))
                 # a row that repeats another's id with a shorter text holds fewer windows
                 found = [s for s in starts or () if s + window <= len(words)]
+                if _ALL in found:
+                    found = range(len(words) - window + 1)
                 gone = removal_intervals(np.array(found, np.int64), window)
                 spans.append([{"begin": x, "end": y} for x, y in gone])
                 if gone:
