@@ -216,7 +216,8 @@ def dedup_lines(
     lines = written(line_hashes(docs, min_chars), "line-hashes")
     gone = repeated_lines(lines, min_docs=min_docs).groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))
     gone = written(gone, "line-drops").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left").select("doc_id", "text", "gone")
+    # the same plan at every size: what must go is not bounded, so it isn't broadcast where it happens to be small
+    joined = docs.join(gone.hint("merge"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left").select("doc_id", "text", "gone")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
