@@ -51,8 +51,9 @@ _DIGITS = bytes(range(0x30, 0x3A))
 
 
 def text_features(text: bytes, words: list[bytes]) -> np.ndarray:
-    """Hashed set of the lower-cased words and of the punctuation runs."""
+    """Hashed set of the lower-cased words, their beginnings and the punctuation runs."""
     found = {w.strip(_STRIP) for w in set(words)}
+    found |= {b"\1" + w[:4] for w in found} | {b"\2" + w[:5] for w in found}
     found.update(b"\0" + p for p in set(text.translate(None, _LETTERS).split()))
     return np.unique(np.fromiter(map(crc32, found), np.int64, len(found)) & ((1 << _BITS) - 1)).astype(np.int32)
 
@@ -171,9 +172,23 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt scaling: slope (not below 0) and intercept on held-out rows, with smoothed targets."""
     n1, n0 = y.sum(), (1 - y).sum()
     goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = max(1.0, float(np.abs(logits).max(initial=0)))
-    w = _descend(1, lambda w: logits / scale * w[0], lambda e: np.array([(e * logits / scale).sum()]), goal, 0.0, 300)
-    return max(0.0, float(w[0]) / scale), float(w[1])
+    x = np.column_stack([logits, np.ones(y.size)])
+    w = np.array([0.0, _logit(goal.mean())])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - goal * z))
+
+    for _ in range(100):  # Newton's method, halving steps that don't help
+        p = _sigmoid(x @ w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2), x.T @ (p - goal))
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(_logit(goal.mean())))
 
 
 @dataclass
