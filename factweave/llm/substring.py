@@ -164,7 +164,8 @@ def later_windows(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
     anchors = docs.select("h1", "text").mapInArrow(_scan_anchors(window, gram), "h1 long, anchor long, pos int")
     # once in one text, however many copies it has, is not repeated
     repeated = anchors.groupBy("anchor").agg(*(f(c).alias(f"{n}_{c}") for c in ("h1", "pos") for n, f in (("min", F.min), ("max", F.max))))
-    repeated = repeated.filter("min_h1 < max_h1 or min_pos < max_pos").select(F.col("anchor").alias("k"))
+    # written, so that the join below has plain sides and a common anchor can be split
+    repeated = written(repeated.filter("min_h1 < max_h1 or min_pos < max_pos").select(F.col("anchor").alias("k")), "window-repeats")
     spots = anchors.join(repeated, anchors.anchor == repeated.k).groupBy("h1").agg(F.collect_set("pos").alias("spots"))
     spots = written(spots, "window-anchors")
     texts_once = docs.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
