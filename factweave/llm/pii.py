@@ -42,7 +42,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _TRIGGER = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-_LABEL = r"(?<![A-Za-z_])([A-Za-z_]{2,32}+[:=#] ?+)([^ \t-\r:=#][^ \t-\r]{4,127}+)"
+_LABEL = r"(?<![A-Za-z_])([A-Za-z_]{2,32}+[:=#] ?+)([^ \t-\r:=#][^ \t-\r]{0,127}+)"
 _TRAILING = r"[.,;:)>\]\"']+$"
 
 
@@ -122,7 +122,9 @@ def pattern_confidence(spans: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     told = spans.filter(F.size("labels") > 0)
     pairs = told.select(F.explode("labels").alias("o"), *KINDS)
     kind_of = F.array(*(F.when(_touched(F.col(k), F.col("o")), F.lit(k)) for k in KINDS))
-    pairs = pairs.select(F.col("o.pattern").alias("pattern"), F.col("o.value").alias("value"), F.array_compact(kind_of).alias("seen"))
+    # a seed is an instance as a whole, also where it holds spaces
+    seed = F.get(F.filter(F.concat(*KINDS), lambda s: (s["start"] < F.col("o.end")) & (s["end"] > F.col("o.start"))), 0)["value"]
+    pairs = pairs.select(F.col("o.pattern").alias("pattern"), F.coalesce(seed, F.col("o.value")).alias("value"), F.array_compact(kind_of).alias("seen"))
     # an edge for each distinct (pattern, value), with the kinds that seeds give the value there
     edges = written(pairs.groupBy("pattern", "value").agg(F.array_distinct(F.flatten(F.collect_set("seen"))).alias("seen")), "pii-edges")
     total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
