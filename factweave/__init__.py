@@ -1,0 +1 @@
+"""Spark-native analytics over regulatory financial facts."""

@@ -1,0 +1,62 @@
+"""Company rows, refresh dates and ingestion status."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions import scalars as S
+from ..functions.calendar import next_check_date, retry_check_date
+from .normalize import require
+
+
+def company_profile(submissions: DataFrame, json_col: str = "json") -> DataFrame:
+    """(cik, name, ticker, exchange, sic, sic_description); first of the listed exchanges and tickers."""
+    d = submissions.select(F.from_json(json_col, schema.SUBMISSIONS).alias("d"))
+    cik = S.normalize_cik("d.cik")
+    return d.select(
+        require(cik.isNotNull(), "submissions without a numeric CIK", cik).alias("cik"), S.optional_text("d.name").alias("name"), F.upper(S.optional_text(F.try_element_at("d.tickers", F.lit(1)))).alias("ticker"),
+        S.optional_text(F.try_element_at("d.exchanges", F.lit(1))).alias("exchange"), S.optional_text("d.sic").alias("sic"), S.optional_text("d.sicDescription").alias("sic_description"),
+    )
+
+
+def check_dates(filings: DataFrame) -> DataFrame:
+    """(cik, latest and next check dates by form) from each company's latest filing of a form."""
+    latest = filings.groupBy("cik", "form_type").agg(F.max_by(F.struct("filing_date", "fiscal_period"), F.struct("filing_date", "accession_number")).alias("l"))
+    due = latest.select("cik", "form_type", F.col("l.filing_date").alias("d"), next_check_date(F.col("form_type"), F.col("l.filing_date"), F.col("l.fiscal_period")).alias("n"))
+    of = lambda form, c: F.max(F.when(F.col("form_type") == form, F.col(c)))
+    return due.groupBy("cik").agg(
+        of("10-K", "d").alias("latest_10k_filing_date"), of("10-Q", "d").alias("latest_10q_filing_date"), of("10-K", "n").alias("next_check_date_10k"), of("10-Q", "n").alias("next_check_date_10q")
+    )
+
+
+def build_companies(profile: DataFrame, facts: DataFrame, tickers: DataFrame, filings: DataFrame) -> DataFrame:
+    """Company rows: the name from the facts, else the submissions, else the ticker map."""
+    told = facts.groupBy("cik").agg(F.max("entity_name").alias("_entity"))
+    listed = tickers.groupBy("cik").agg(F.min_by(F.struct("ticker", "title"), "ticker").alias("_t"))
+    rows = profile.join(told, "cik", "left").join(listed, "cik", "left").join(check_dates(filings), "cik", "left")
+    return rows.withColumn("name", F.coalesce(S.optional_text("_entity"), "name", S.optional_text("_t.title"))).withColumn("ticker", F.coalesce("_t.ticker", "ticker")).drop("_entity", "_t")
+
+
+def refresh_due(next_check: Column, as_of: Column) -> Column:
+    return next_check.isNull() | (as_of >= next_check)
+
+
+def due_companies(companies: DataFrame, as_of: str) -> DataFrame:
+    """(cik, due_10k, due_10q, due) on a day."""
+    day = F.lit(as_of).cast("date")
+    rows = companies.select("cik", refresh_due(F.col("next_check_date_10k"), day).alias("due_10k"), refresh_due(F.col("next_check_date_10q"), day).alias("due_10q"))
+    return rows.withColumn("due", F.col("due_10k") | F.col("due_10q"))
+
+
+def postpone_checks(companies: DataFrame, as_of: str) -> DataFrame:
+    """Nothing new came: forms that were due are looked at again soon, the others as planned."""
+    day = F.lit(as_of).cast("date")
+    for c in ("next_check_date_10k", "next_check_date_10q"):
+        companies = companies.withColumn(c, F.when(refresh_due(F.col(c), day), retry_check_date(day)).otherwise(F.col(c)))
+    return companies
+
+
+def status(known: Column, n_new: Column) -> Column:
+    return F.when(~known, "initialized").when(n_new > 0, "updated").otherwise("checked_no_update")
