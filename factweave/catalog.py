@@ -231,7 +231,8 @@ WITH {_CALENDAR_SQL}, due AS (
 SELECT pos, form_type, CAST(day AS VARCHAR) AS next_check FROM due ASOF JOIN open ON d >= day""", orders=True)
 def next_check_dates(spark, d):
     fp = F.concat(F.lit("Q"), F.quarter("filing_date"))
-    return adapter.order_filings(spark, d).filter("form_type <> '8-K'").select("pos", "form_type", C.next_check_date(F.col("form_type"), F.col("filing_date"), fp).cast("string").alias("next_check"))
+    rows = adapter.order_filings(spark, d).filter("form_type <> '8-K'").select("pos", "form_type", C.due_date(F.col("form_type"), F.col("filing_date"), fp).alias("due"))
+    return C.attach_business_day(rows, "due", "next_check").select("pos", "form_type", _day("next_check").alias("next_check"))
 
 
 @query("""

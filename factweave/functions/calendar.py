@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,11 +67,26 @@ def next_business_day(day: Column) -> Column:
     return _first_open(day, 1)
 
 
-def next_check_date(form: Column, filed: Column, fiscal_period: Column) -> Column:
-    """When the next filing of a form is due: a year on for 10-K, three months for 10-Q and six after Q3; other forms NULL."""
+def due_date(form: Column, filed: Column, fiscal_period: Column) -> Column:
+    """A year on for 10-K, three months for 10-Q and six after Q3; other forms NULL."""
     form = F.upper(form)
-    due = F.when(form == "10-K", F.add_months(filed, 12)).when((form == "10-Q") & (F.upper(F.coalesce(fiscal_period, F.lit(""))) == "Q3"), F.add_months(filed, 6)).when(form == "10-Q", F.add_months(filed, 3))
-    return previous_business_day(due)
+    return F.when(form == "10-K", F.add_months(filed, 12)).when((form == "10-Q") & (F.upper(F.coalesce(fiscal_period, F.lit(""))) == "Q3"), F.add_months(filed, 6)).when(form == "10-Q", F.add_months(filed, 3))
+
+
+def next_check_date(form: Column, filed: Column, fiscal_period: Column) -> Column:
+    """When to look for the next filing: the business day at or before it is due."""
+    return previous_business_day(due_date(form, filed, fiscal_period))
+
+
+def attach_business_day(df: DataFrame, day: str, out: str, *, later: bool = False) -> DataFrame:
+    """``df`` with the business day at or before (or after) ``day``, worked out once for each distinct day.
+
+    The days of a calendar are bounded (3.7 million up to the year 9999), so they are joined by broadcast.
+    """
+    rule = next_business_day if later else previous_business_day
+    days = df.select(F.col(day).alias("_day")).filter("_day is not null").distinct()
+    days = days.select("_day", rule(F.col("_day")).alias(out))
+    return df.join(F.broadcast(days), F.col(day) == F.col("_day"), "left").drop("_day")
 
 
 def retry_check_date(as_of: Column) -> Column:

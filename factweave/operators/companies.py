@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as S
-from ..functions.calendar import next_check_date, retry_check_date
+from ..functions.calendar import attach_business_day, due_date, retry_check_date
 from .normalize import require
 
 
@@ -24,7 +24,8 @@ def company_profile(submissions: DataFrame, json_col: str = "json") -> DataFrame
 def check_dates(filings: DataFrame) -> DataFrame:
     """(cik, latest and next check dates by form) from each company's latest filing of a form."""
     latest = filings.groupBy("cik", "form_type").agg(F.max_by(F.struct("filing_date", "fiscal_period"), F.struct("filing_date", "accession_number")).alias("l"))
-    due = latest.select("cik", "form_type", F.col("l.filing_date").alias("d"), next_check_date(F.col("form_type"), F.col("l.filing_date"), F.col("l.fiscal_period")).alias("n"))
+    due = latest.select("cik", "form_type", F.col("l.filing_date").alias("d"), due_date(F.col("form_type"), F.col("l.filing_date"), F.col("l.fiscal_period")).alias("_due"))
+    due = attach_business_day(due, "_due", "n")
     of = lambda form, c: F.max(F.when(F.col("form_type") == form, F.col(c)))
     return due.groupBy("cik").agg(
         of("10-K", "d").alias("latest_10k_filing_date"), of("10-Q", "d").alias("latest_10q_filing_date"), of("10-K", "n").alias("next_check_date_10k"), of("10-Q", "n").alias("next_check_date_10q")

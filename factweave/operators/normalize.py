@@ -54,8 +54,13 @@ def recent_filings(documents: DataFrame, forms: Iterable[str] = schema.SUPPORTED
         whole &= F.size(f"{r}.{p}") == F.size(f"{r}.form")
     cik = S.normalize_cik("d.cik")
     rows = parsed.select(
-        require(cik.isNotNull(), "submissions without a numeric CIK", cik).alias("cik"),
-        F.posexplode(require(whole, "recent filings are missing or their arrays differ in length", F.arrays_zip(*(F.col(f"{r}.{p}").alias(p) for p in parts)))).alias("pos", "f"),
+        cik.alias("cik"),
+        F.posexplode(
+            require(
+                cik.isNotNull(), "submissions without a numeric CIK",
+                require(whole, "recent filings are missing or their arrays differ in length", F.arrays_zip(*(F.col(f"{r}.{p}").alias(p) for p in parts))),
+            )
+        ).alias("pos", "f"),
     )
     wanted = rows.withColumn("form_type", F.upper(F.trim("f.form"))).filter(F.col("form_type").isin([x.upper() for x in forms]))
     need = lambda c, n: require(S.optional_text(c).isNotNull(), f"recent filing without {n}", S.optional_text(c)).alias(n)
@@ -68,9 +73,10 @@ def flatten_companyfacts(documents: DataFrame, *, taxonomies: Iterable[str] | No
     parsed = documents.select(F.from_json(json_col, schema.COMPANYFACTS).alias("d"))
     cik = S.normalize_cik("d.cik")
     rows = parsed.select(
-        require(cik.isNotNull(), "company facts without a numeric CIK", cik).alias("cik"),
+        cik.alias("cik"),
         S.optional_text("d.entityName").alias("entity_name"),
-        require(F.col("d.facts").isNotNull(), "company facts without facts", F.col("d.facts")).alias("facts"),
+        # both checks sit in what is exploded, so that they hold for empty documents too
+        require(cik.isNotNull(), "company facts without a numeric CIK", require(F.col("d.facts").isNotNull(), "company facts without facts", F.col("d.facts"))).alias("facts"),
     )
     if taxonomies is not None:
         rows = rows.withColumn("facts", F.map_filter("facts", lambda k, _: k.isin(list(taxonomies))))
