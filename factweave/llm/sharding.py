@@ -58,7 +58,7 @@ def external_shuffle(df: DataFrame, *, n_shards: int = SHARDS, seed: int = SEED,
         begin += offsets.get(b, 0)
     places = spark.createDataFrame(first, "_fw_of int, _fw_first long")
     # pass two: one bucket at a time
-    n_parts = min(n_buckets, 1 << 16)
+    n_parts = min(4 * n_buckets, 1 << 16)  # roomy, so that few buckets share a partition
     gathered = tagged.repartition(n_parts, "_fw_bucket").groupBy("_fw_bucket").agg(F.sort_array(F.collect_list("_fw_row")).alias("_fw_rows"))
     gathered = gathered.sortWithinPartitions("_fw_bucket").select("_fw_bucket", F.shuffle("_fw_rows", F.lit(seed)).alias("_fw_rows"))
     placed = gathered.join(F.broadcast(places) if n_buckets <= 1 << 20 else places, F.col("_fw_bucket") == F.col("_fw_of"))
