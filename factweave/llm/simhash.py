@@ -193,8 +193,9 @@ def near_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     links = written(near_links(distinct, distance=distance), "simhash-links")
     roots = connected_components(links)
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    # written, so that the join on a large group's root has plain sides and can be split
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     of_print = named.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
