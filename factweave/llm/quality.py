@@ -30,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ class Sparse:
         return Sparse(np.concatenate([np.zeros(0, np.int32), *parts]), self.sizes[rows])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        row = np.repeat(np.arange(self.sizes.size), self.sizes)
+        row = np.repeat(np.arange(self.sizes.size, dtype=np.int32), self.sizes)
         return np.bincount(row, weights[self.index], self.sizes.size)
 
 
@@ -126,16 +127,16 @@ class TextView:
     def fit(self, x: Sparse, y: np.ndarray) -> TextView:
         size, rows = 1 << _BITS, y.size
         held = np.bincount(x.index, minlength=size)
-        pos = np.bincount(x.index, np.repeat(y, x.sizes), size)
+        pos = np.bincount(x.index[np.repeat(y > 0.5, x.sizes)], minlength=size)
         want = held * y.mean()
         chi = (pos - want) ** 2 / np.maximum(want * (1 - y.mean()) * (1 - held / rows), 1e-9)
         chi[(held < 5) | (chi < 12)] = 0  # far beyond chance for one feature
         best = np.argsort(-chi, kind="stable")[:FEATURES]
         best = np.sort(best[chi[best] > 0])
-        place = np.full(size, -1)
-        place[best] = np.arange(best.size)
+        place = np.full(size, -1, np.int32)
+        place[best] = np.arange(best.size, dtype=np.int32)
         kept = place[x.index]
-        row = np.repeat(np.arange(rows), x.sizes)[kept >= 0]
+        row = np.repeat(np.arange(rows, dtype=np.int32), x.sizes)[kept >= 0]
         kept = kept[kept >= 0]
         w = _descend(best.size, lambda w: np.bincount(row, w[kept], rows), lambda e: np.bincount(kept, e[row], best.size), y, 1e-4, 150)
         self.weights = np.zeros(size, np.float32)
@@ -262,9 +263,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             )
 
     got = rows.mapInArrow(features, "_id long, x binary, z binary, low int, toxic int").toArrow().sort_by("_id")
-    each = [np.frombuffer(v, np.int32) for v in got.column("x").to_pylist()]
-    x = Sparse(np.concatenate([np.zeros(0, np.int32), *each]), np.array([e.size for e in each], np.int64))
-    z = np.frombuffer(b"".join(got.column("z").to_pylist()), np.float32).reshape(len(each), 10 + _HASHED)
+    x = Sparse(np.frombuffer(b"".join(v.as_py() for v in got.column("x")), np.int32), pc.binary_length(got.column("x")).to_numpy().astype(np.int64) // 4)
+    z = np.frombuffer(b"".join(got.column("z").to_pylist()), np.float32).reshape(got.num_rows, 10 + _HASHED)
+    got = got.drop(["x", "z"])
     return {t: co_train(x, z, np.array([np.nan if v is None else float(v) for v in got.column(t).to_pylist()]), rounds) for t in TARGETS}
 
 
