@@ -437,8 +437,8 @@ def gap_notes(spark, d):
     return analytics.gaps(_series(spark, d))
 
 
-@query(f"""WITH {_SERIES_SQL}, z AS (SELECT *, round((CAST(value AS DOUBLE) - avg(CAST(value AS DOUBLE)) OVER w) / nullif(stddev_pop(CAST(value AS DOUBLE)) OVER w, 0), 4) AS z FROM series WINDOW w AS (PARTITION BY cik, series, kind))
-SELECT cik, series, kind, fiscal_year, fiscal_period, z FROM z WHERE abs(z) > 2""", facts=True)
+@query(f"""WITH {_SERIES_SQL}, z AS (SELECT *, round((CAST(value AS DOUBLE) - avg(CAST(value AS DOUBLE)) OVER w) / nullif(stddev_pop(CAST(value AS DOUBLE)) OVER w, 0), 6) AS z FROM series WINDOW w AS (PARTITION BY cik, series, kind))
+SELECT cik, series, kind, fiscal_year, fiscal_period, round(z, 4) AS z FROM z WHERE abs(z.z) > 2""", facts=True)
 def outlier_notes(spark, d):
     return analytics.outliers(_series(spark, d)).select("cik", "series", "kind", "fiscal_year", "fiscal_period", F.round("z", 4).alias("z"))
 
@@ -473,8 +473,8 @@ def chunk_summary(spark, d):
 WITH qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark), q AS (SELECT item_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
 dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 i AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM p GROUP BY term),
-s AS (SELECT item_id AS query_id, doc_id AS id, round(sum((1 + ln(tf)) * idf * qtf), 4) AS score FROM p JOIN i USING (term) JOIN q USING (term) GROUP BY ALL)
-SELECT query_id, id, score FROM s QUALIFY rank() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
+s AS (SELECT item_id AS query_id, doc_id AS id, round(sum((1 + ln(tf)) * idf * qtf), 6) AS score FROM p JOIN i USING (term) JOIN q USING (term) GROUP BY ALL)
+SELECT query_id, id, round(score, 4) AS score FROM s QUALIFY rank() OVER (PARTITION BY query_id ORDER BY s.score DESC, id) <= 5""")
 def lexical_topk(spark, d):
     rows = retrieval.lexical_topk(table(spark, d, "documents"), table(spark, d, "benchmark"), id_col="doc_id", text_col="text", query_id="item_id", query_text="text")
     return rows.select("query_id", "id", F.round("score", 4).alias("score"))
