@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import companies, filings, merge, metrics, normalize, periods
+from .staging import staged
 
 
 @dataclass
@@ -27,21 +28,23 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def ingest(companyfacts: DataFrame, submissions: DataFrame, tickers: DataFrame, tables: dict[str, DataFrame], as_of: str) -> Ingested:
-    """Any number of companies at once; nothing is written, so a failure leaves no half-done state.
+    """Any number of companies at once; no table is touched, so a failure leaves no half-done state.
 
-    A company whose accessions are all known keeps its dates but is looked at
-    again soon.
+    Steps that several others read are staged in the shared folder, each worked
+    out once. A company whose accessions are all known keeps its dates but is
+    looked at again soon.
     """
     batch = normalize.normalize_companyfacts(companyfacts).withColumnRenamed("pos", "batch_pos").withColumn("batch_pos", F.col("batch_pos").cast("long"))
-    facts = merge.upsert(tables["facts"], batch, ["unique_key"], order="batch_pos").select(*tables["facts"].columns)
-    keys = periods.active_period_keys(facts)
-    accessions = periods.active_accessions(facts, keys)
+    batch = staged(batch, "batch")
+    facts = staged(merge.upsert(tables["facts"], batch, ["unique_key"], order="batch_pos").select(*tables["facts"].columns), "facts")
+    keys = staged(periods.active_period_keys(facts), "keys")
+    accessions = staged(periods.active_accessions(facts, keys), "accessions")
     recent = normalize.recent_filings(submissions)
-    selected = filings.select_active(recent, accessions)
+    selected = staged(filings.select_active(recent, accessions), "selected")
     new = filings.new_accessions(selected, tables["filings"].select("cik", "accession_number"))
-    built = filings.build_filings(selected, facts, accessions)
-    all_filings = merge.upsert(tables["filings"], built, ["accession_number"], keep_first=["local_path"])
-    made = metrics.base_metrics(facts, keys)
+    built = staged(filings.build_filings(selected, facts, accessions), "built")
+    all_filings = staged(merge.upsert(tables["filings"], built, ["accession_number"], keep_first=["local_path"]), "filings")
+    made = staged(metrics.base_metrics(facts, keys), "metrics")
     all_metrics = merge.upsert(tables["metrics"], made, ["metric_id"])
     all_metrics = all_metrics.join(made.select("cik").distinct(), "cik", "left_anti").unionByName(made)
     listed = normalize.ticker_map(tickers)
@@ -49,7 +52,7 @@ def ingest(companyfacts: DataFrame, submissions: DataFrame, tickers: DataFrame,
     known = tables["companies"].select("cik", F.lit(True).alias("_known"))
     n_new = new.groupBy("cik").agg(F.count("*").alias("n_new"))
     rows = rows.join(known, "cik", "left").join(n_new, "cik", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0))).withColumn("_known", F.col("_known").isNotNull())
-    told = rows.withColumn("status", companies.status(F.col("_known"), F.col("n_new")))
+    told = staged(rows.withColumn("status", companies.status(F.col("_known"), F.col("n_new"))), "told")
     waiting = companies.postpone_checks(told.filter("status = 'checked_no_update'"), as_of)
     now = told.filter("status <> 'checked_no_update'").unionByName(waiting)
     stamped = now.withColumn("created_at", F.lit(as_of).cast("timestamp")).withColumn("updated_at", F.lit(as_of).cast("timestamp"))
