@@ -54,9 +54,9 @@ def due_companies(companies: DataFrame, as_of: str) -> DataFrame:
 def postpone_checks(companies: DataFrame, as_of: str) -> DataFrame:
     """Nothing new came: forms that were due are looked at again soon, the others as planned."""
     day = F.lit(as_of).cast("date")
-    for c in ("next_check_date_10k", "next_check_date_10q"):
-        companies = companies.withColumn(c, F.when(refresh_due(F.col(c), day), retry_check_date(day)).otherwise(F.col(c)))
-    return companies
+    # one date for all rows, worked out once
+    soon = F.lit(companies.sparkSession.range(1).select(retry_check_date(day).alias("d")).first().d)
+    return companies.withColumns({c: F.when(refresh_due(F.col(c), day), soon).otherwise(F.col(c)) for c in ("next_check_date_10k", "next_check_date_10q")})
 
 
 def status(known: Column, n_new: Column) -> Column:
