@@ -9,8 +9,9 @@ two of those three agree), and so on. That gives 24 keys of 32 agreeing bits for
 a fingerprint, whose buckets stay near one row up to billions of fingerprints.
 Candidates of a bucket must hold the chain budgets from their key's start before
 the full Hamming check. Buckets over ``RUN`` rows hand out a spanning forest of
-their links, found by breadth-first search, instead of all pairs; connectivity
-loses nothing. Components come from alternating large-star and small-star rounds
+their links, found by breadth-first search, instead of all pairs; buckets over
+``LARGE`` rows are split by the bits that vary in them first. Connectivity loses
+nothing. Components come from alternating large-star and small-star rounds
 with every round written to the shared folder.
 
 Defined results: null or empty text has fingerprint zero and links like any
@@ -38,6 +39,8 @@ WIDTH = 3
 DISTANCE = 3
 SEGMENTS = 8
 RUN = 64
+LARGE = 4096
+FEW_BITS = 14
 
 #: For each byte value eight byte-wide counters, one for each of its bits.
 _LANES = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], dtype=np.uint64)
@@ -123,30 +126,66 @@ def _forest(run: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.n
     return left, right
 
 
+def _refined(run: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of one large bucket that connect what its links connect, without comparing all of it with all.
+
+    The bits that vary in the bucket are cut into ``distance + 1`` groups; linked fingerprints agree in one of them at
+    least, so the bucket is split by each group in turn until a part is small or few bits are left.
+    """
+    free = np.bitwise_or.reduce(run ^ run[0])
+    if run.size <= LARGE or int(np.bitwise_count(free)) <= FEW_BITS:
+        return _forest(run, distance)
+    left, right = [], []
+    bits = [np.uint64(1 << i) for i in range(64) if int(free) >> i & 1]
+    for group in np.array_split(np.array(bits, np.uint64), distance + 1):
+        mask = np.bitwise_or.reduce(group)
+        part = run[np.argsort(run & mask, kind="stable")]
+        key = part & mask
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        size = np.diff(edge)
+        for j in np.flatnonzero(size > RUN):
+            a, b = _refined(part[edge[j] : edge[j + 1]], distance)
+            left += a
+            right += b
+        short = np.repeat((size > 1) & (size <= RUN), size)
+        key, part = key[short], part[short]
+        for i, j in _same_key(key):
+            near = np.bitwise_count(part[i] ^ part[j]) <= distance
+            left.append(part[i][near])
+            right.append(part[j][near])
+    return left, right
+
+
+def _same_key(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of rows with one key, the rows sorted by key."""
+    shift = 1
+    while key.size > shift:
+        same = np.flatnonzero(key[shift:] == key[:-shift])
+        if not same.size:
+            break
+        yield same, same + shift
+        shift += 1
+
+
 def _links_of(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows sorted by key: all pairs in short runs, a spanning forest in long ones."""
     left, right = [], []
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(edge)
     for j in np.flatnonzero(size > RUN):
-        a, b = _forest(fp[edge[j] : edge[j + 1]], distance)
+        a, b = _refined(fp[edge[j] : edge[j + 1]], distance)
         left += a
         right += b
     short = np.repeat((size > 1) & (size <= RUN), size)
     key, fp = key[short], fp[short]
     starts = np.array([i for i, _ in ring_keys()])
-    shift = 1
-    while key.size > shift:
-        same = np.flatnonzero(key[shift:] == key[:-shift])
-        if not same.size:
-            break
-        a, b = fp[same], fp[same + shift]
-        keep = chains_hold(a ^ b, starts[(key[same] >> np.uint64(32)).astype(np.int64)], distance)
+    for i, j in _same_key(key):
+        a, b = fp[i], fp[j]
+        keep = chains_hold(a ^ b, starts[(key[i] >> np.uint64(32)).astype(np.int64)], distance)
         a, b = a[keep], b[keep]
         near = np.bitwise_count(a ^ b) <= distance
         left.append(a[near])
         right.append(b[near])
-        shift += 1
     empty = np.zeros(0, np.uint64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 

@@ -178,6 +178,32 @@ def test_keep_one(docs, rows):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_large_buckets_are_split_without_losing_links(monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 80)
+    monkeypatch.setattr(simhash, "FEW_BITS", 5)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**32, 60, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 32, (3000, 3)).astype(np.uint64), axis=1)
+    run = np.unique(np.r_[centres[rng.integers(0, 60, 3000)] ^ flips, rng.integers(0, 2**12, 700, dtype=np.uint64)])
+    near = np.bitwise_count(run[:, None] ^ run[None, :]) <= 3
+
+    def roots(a, b):
+        root = np.arange(run.size)
+        while True:
+            new = root.copy()
+            np.minimum.at(new, a, root[b])
+            np.minimum.at(new, b, root[a])
+            if (new == root).all():
+                return root
+            root = new
+
+    left, right = (np.concatenate(x) for x in simhash._refined(run, 3))
+    assert (np.bitwise_count(left ^ right) <= 3).all()
+    want = roots(*np.nonzero(near))
+    assert 10 < np.unique(want).size < run.size
+    assert (roots(np.searchsorted(run, left), np.searchsorted(run, right)) == want).all()
+
+
 def test_simhash_empty(none):
     assert simhash.near_groups(none).count() == 0
     with pytest.raises(ValueError):
