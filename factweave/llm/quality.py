@@ -16,7 +16,8 @@ text, in one pass without a shuffle.
 Defined results: null text counts as empty and is scored; a null source or
 language is a value of its own; labels without id, or null in a target, are not
 used; of repeated labels for one id the lowest quality and the highest toxicity
-hold; repeated documents score alike; a target with fewer than ``MIN_CLASS``
+hold; repeated documents score alike, and of rows with one id the fit uses the one
+with the least text; a target with fewer than ``MIN_CLASS``
 examples of a class rejects nothing (probability 0); an empty table gives no rows.
 Extra columns are carried along by :func:`keep_good`.
 """
@@ -252,7 +253,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """A model for each target."""
     chosen = sample_ids(documents, labels, id_col=id_col, n_labelled=n_labelled, n_pool=n_pool, seed=seed)
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), "lang", "source")
-    rows = docs.join(F.broadcast(chosen), "_id").select("_id", "text", "lang", "source", "low", "toxic")
+    rows = docs.join(F.broadcast(chosen), "_id")
+    # one row for each id, so that a repeated id can't exceed the bound
+    rows = rows.groupBy("_id").agg(F.min(F.struct("text", "lang", "source", "low", "toxic")).alias("r")).select("_id", "r.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
