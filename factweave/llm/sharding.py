@@ -12,9 +12,9 @@ One partition holds one bucket or a few in bucket order, and the number of
 partitions is fixed by the bucket count, so reruns and recomputed tasks agree.
 
 Defined results: nulls are ordinary values and hash like any other; fewer rows
-than shards leave shards empty; equal texts are records of their own; fully
-equal rows share a bucket and get slots of their own; an empty table gives no
-rows. Extra columns are carried along; names starting with ``_fw_`` are reserved.
+than shards leave shards empty; equal texts are records of their own; so are fully
+equal rows, whose copies are numbered and scattered by number where they overfill a
+bucket; an empty table gives no rows. Extra columns are carried along; names starting with ``_fw_`` are reserved.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from .storage import written
 SHARDS = 8
 SEED = 20_240_229
 BUCKET_BYTES = 16 << 20
+#: A bucket of over so many times ``bucket_bytes`` has its copies of one record scattered by copy.
+HEAVY = 4
+COPIES = 10_000
 
 
 def _size(df: DataFrame) -> Column:
@@ -48,10 +51,14 @@ def external_shuffle(df: DataFrame, *, n_shards: int = SHARDS, seed: int = SEED,
     rows, total = df.agg(F.count("*"), F.sum(_size(df))).first()
     n_buckets = max(1, -(-(total or 0) // bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in df.columns)), F.lit(n_buckets)).cast("int")
-    tagged = df.select(bucket.alias("_fw_bucket"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_fw_row"))
-    counts = written(tagged.groupBy("_fw_bucket").count(), "bucket-counts")
+    tagged = df.select(bucket.alias("_fw_bucket"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_fw_row"), _size(df).alias("_fw_size"))
     # at most a row for each bucket of bucket_bytes
-    offsets = {r[0]: r[1] for r in counts.collect()}
+    counts = {r[0]: (r[1], r[2]) for r in _counted(tagged).collect()}
+    heavy = [b for b, (n, size) in counts.items() if n > 1 and size > HEAVY * bucket_bytes]
+    if heavy:
+        tagged = _scatter_copies(tagged, heavy, n_buckets, seed)
+        counts = {r[0]: (r[1], r[2]) for r in _counted(tagged).collect()}
+    offsets = {b: n for b, (n, _) in counts.items()}
     begin, first = 0, []
     for b in range(n_buckets):
         first.append((b, begin))
@@ -74,6 +81,25 @@ def external_shuffle(df: DataFrame, *, n_shards: int = SHARDS, seed: int = SEED,
     return out.select("_fw_row.*", F.col("shard").alias("shard"), (F.col("_fw_place") - base).alias("slot"))
 
 
+def _counted(tagged: DataFrame) -> DataFrame:
+    return written(tagged.groupBy("_fw_bucket").agg(F.count("*"), F.sum("_fw_size").alias("size")), "bucket-counts")
+
+
+def _scatter_copies(tagged: DataFrame, heavy: list[int], n_buckets: int, seed: int) -> DataFrame:
+    """``tagged`` with the records of the heavy buckets, which only copies of a record can fill, scattered anew by copy.
+
+    Copies are counted, combined on the map side, numbered in runs of ``COPIES`` that any task can write out, and
+    hashed with their number. Equal records can stand for each other, so a recomputed task agrees.
+    """
+    which = tagged.sparkSession.createDataFrame([(b,) for b in heavy], "_fw_bucket int")
+    equal = tagged.join(which, "_fw_bucket", "left_semi").groupBy("_fw_row", "_fw_size").agg(F.count("*").alias("n"))
+    runs = equal.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    runs = runs.repartition(F.xxhash64("_fw_row", "at"))
+    copies = runs.select("_fw_row", "_fw_size", F.explode(F.sequence("at", F.least(F.col("n"), F.col("at") + COPIES) - 1)).alias("i"))
+    anew = F.pmod(F.xxhash64(F.lit(seed), "_fw_row", "i"), F.lit(n_buckets)).cast("int")
+    return tagged.join(which, "_fw_bucket", "left_anti").unionByName(copies.select(anew.alias("_fw_bucket"), "_fw_row", "_fw_size"))
+
+
 def write_shards(shuffled: DataFrame, path: str) -> None:
     """Write a folder for each shard, its records in slot order."""
     shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
