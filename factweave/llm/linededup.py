@@ -36,7 +36,7 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 250_000
 SHARD_PROBES = 1_000_000
-HOT = 10_000
+HOT = 200_000
 _GAMMA = 2.0
 
 INDEX_SCHEMA = "shard int, sizes binary, bits binary, prints binary, counts binary, largest binary"
