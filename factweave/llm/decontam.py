@@ -5,8 +5,9 @@ integer ids over the benchmark's vocabulary (0: any other word) and its suffixes
 are sorted into a suffix array. Suffixes whose first words already leave the
 vocabulary before the shortest window ends can match no test suffix and are not
 stored (lossless). Each test suffix is binary-searched in every shard; the equal
-range gives the locations, and consecutive hits on one diagonal join into the
-longest verbatim match with its place. No row is shuffled.
+range gives the locations; where the words before differ a longest verbatim match
+begins, so work and memory follow the number of matches, also in runs of one word.
+No row is shuffled.
 
 The test set is sent to the executors in slices of at most ``slice_bytes`` of
 text; a larger test set takes more passes over the training data, so what is
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 
 _FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
@@ -47,65 +48,100 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class TestIndex:
-    """Vocabulary and windows of one slice of the test set."""
+    """Vocabulary, words and windows of one slice of the test set."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int):
         self.vocab: dict[bytes, int] = {}
-        windows: dict[int, list[tuple[tuple[int, ...], int, int]]] = {}
-        self.item_ids = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            size = min(window, len(ids))
-            for start in range(len(ids) - size + 1 if ids else 0):
-                windows.setdefault(size, []).append((tuple(ids[start : start + size]), k, start))
         self.window = window
-        self.shortest = min(windows, default=0)
-        # for each window length: the distinct windows as padded keys, and who holds them
+        self.item_ids = [i for i, _ in items]
+        texts = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)], np.uint32) for _, t in items]
+        self.words, self.begins = _laid_out(texts, window)
+        sizes = np.array([t.size for t in texts], np.int64)
+        # for each window length: the distinct windows as padded keys, and the places that hold each
         self.by_size = []
-        for size, found in sorted(windows.items()):
-            owners: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-            for key, k, start in found:
-                owners.setdefault(key, []).append((k, start))
-            keys = np.zeros((len(owners), window), dtype=">u4")
-            keys[:, :size] = np.array(list(owners), dtype=">u4")
-            last = keys.copy()
-            last[:, size:] = 0xFFFFFFFF
-            self.by_size.append((size, _keys(keys), _keys(last), list(owners.values())))
-
-    def shard(self, docs: list[list[bytes]]) -> list[list[tuple[int, int, int, int]]]:
-        """For each document the window hits as (doc_start, size, item, item_start)."""
-        hits: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
-        if not self.shortest:
-            return hits
-        get, w = self.vocab.get, self.window
-        parts, begins, at = [], [], 0
-        for words in docs:  # documents are parted by ids of 0, so no match crosses them
-            begins.append(at)
-            parts.append(np.fromiter((get(x, 0) for x in words), np.uint32, len(words)))
-            parts.append(np.zeros(w, np.uint32))
-            at += len(words) + w
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        for size in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            held = np.flatnonzero(np.minimum(sizes, window) == size)
+            many = sizes[held] - size + 1
+            places = np.repeat(self.begins[held] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            keys = np.zeros((places.size, window), dtype=">u4")
+            keys[:, :size] = self.words[places[:, None] + np.arange(size)]
+            low, which = np.unique(_keys(keys), return_inverse=True)
+            high = low
+            if size < window:
+                last = low.view(">u4").reshape(-1, window).copy()
+                last[:, size:] = 0xFFFFFFFF
+                high = _keys(last)
+            order = np.argsort(which, kind="stable")
+            self.by_size.append((size, low, high, places[order], np.searchsorted(which[order], np.arange(low.size + 1))))
+
+    def _occurrences(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places in the test set, places in the shard) of each test window that occurs."""
+        if not self.by_size:
+            return
         # length of the run of vocabulary words from each position
         stop = np.flatnonzero(ids == 0)
         live = np.flatnonzero(ids)
-        run = stop[np.searchsorted(stop, live)] - live
-        start = live[run >= self.shortest]
+        start = live[stop[np.searchsorted(stop, live)] - live >= self.by_size[0][0]]
         if not start.size:
-            return hits
-        suffixes = _keys(ids[start[:, None] + np.arange(w)].astype(">u4"))
+            return
+        suffixes = _keys(ids[start[:, None] + np.arange(self.window)].astype(">u4"))
         order = np.argsort(suffixes, kind="stable")
         array, place = suffixes[order], start[order]
-        begins = np.array(begins)
-        for size, low, high, owners in self.by_size:
+        for size, low, high, owners, edge in self.by_size:
             left, right = np.searchsorted(array, low, "left"), np.searchsorted(array, high, "right")
             for j in np.flatnonzero(right > left):
-                spots = place[left[j] : right[j]]
-                whose = np.searchsorted(begins, spots, "right") - 1
-                for d, s in zip(whose.tolist(), (spots - begins[whose]).tolist()):
-                    hits[d].extend((s, size, k, i) for k, i in owners[j])
-        return hits
+                yield size, owners[edge[j] : edge[j + 1]], place[left[j] : right[j]]
+
+    def _ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        get = self.vocab.get
+        return _laid_out([np.fromiter((get(x, 0) for x in words), np.uint32, len(words)) for words in docs], self.window)
+
+    def touched(self, docs: list[list[bytes]]) -> np.ndarray:
+        """Whether each document holds a test window."""
+        ids, begins = self._ids(docs)
+        out = np.zeros(len(docs), bool)
+        for _, _, spots in self._occurrences(ids):
+            out[np.searchsorted(begins, spots, "right") - 1] = True
+        return out
+
+    def matches(self, docs: list[list[bytes]]) -> tuple[list[np.ndarray], list[list[tuple[int, int, int, int]]]]:
+        """For each document the words that are hit and the longest matches as (item, item_start, doc_start, length)."""
+        ids, begins = self._ids(docs)
+        mine, theirs, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, owners, spots in self._occurrences(ids):
+            # a match begins where the words before differ, so each is met once and not at all its windows
+            before_owner, before_spot = self.words[owners - 1], ids[spots - 1]
+            for word in np.unique(before_spot):
+                s = spots[before_spot == word]
+                o = owners[before_owner != word] if word else owners
+                mine.append(np.tile(o, s.size))
+                theirs.append(np.repeat(s, o.size))
+                least.append(np.full(o.size * s.size, size))
+        mine, theirs, length = np.concatenate(mine), np.concatenate(theirs), np.concatenate(least)
+        going = np.arange(mine.size)
+        while going.size:  # all matches grow together until their words differ
+            x, y = self.words[mine[going] + length[going]], ids[theirs[going] + length[going]]
+            going = going[(x == y) & (x != 0)]
+            length[going] += 1
+        cover = np.zeros(ids.size + 1, np.int64)
+        np.add.at(cover, theirs, 1)
+        np.add.at(cover, theirs + length, -1)
+        hit = np.cumsum(cover) > 0
+        whose, item = np.searchsorted(begins, theirs, "right") - 1, np.searchsorted(self.begins, mine, "right") - 1
+        found: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
+        rows = np.column_stack([whose, item, mine - self.begins[item], theirs - begins[whose], length])
+        for d, *match in rows[np.lexsort((theirs, theirs - mine, item))].tolist():
+            found[d].append(tuple(match))
+        return [np.flatnonzero(hit[b : b + len(words)]) for b, words in zip(begins.tolist(), docs)], found
+
+
+def _laid_out(texts: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one array, ids of 0 before, between and after them so that no match crosses, and where each begins."""
+    gap = np.zeros(window, np.uint32)
+    sizes = np.array([t.size + window for t in texts], np.int64)
+    return np.concatenate([gap, *(part for t in texts for part in (t, gap))]), window + np.cumsum(sizes) - sizes
 
 
 def _keys(matrix: np.ndarray) -> np.ndarray:
@@ -113,17 +149,6 @@ def _keys(matrix: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(matrix).view(f"S{4 * matrix.shape[1]}").ravel()
 
 
-def longest_matches(hits: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Join window hits on one diagonal of one item: (item, item_start, doc_start, length)."""
-    out: list[list[int]] = []
-    for k, _, s, i, size in sorted((k, s - i, s, i, size) for s, size, k, i in set(hits)):
-        if out and out[-1][0] == k and out[-1][2] - out[-1][1] == s - i and s <= out[-1][2] + out[-1][3]:
-            out[-1][3] = max(out[-1][3], s + size - out[-1][2])
-        else:
-            out.append([k, i, s, size])
-    return [tuple(x) for x in out]
-
-
 def _slices(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[DataFrame]:
     """The test set in slices of about ``limit`` bytes of text."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -173,9 +198,8 @@ def _matcher(sent, first: bool, more: bool):
                 docs = [words_of(t or b"") for t in col["text"].cast(pa.binary()).to_pylist()]
                 out_hit, out_items, out_match = [], [], []
                 before = None if first else (col["hit_words"].to_pylist(), col["item_ids"].to_pylist(), col["matches"].to_pylist())
-                for d, hits in enumerate(index.shard(docs)):
-                    found = longest_matches(hits)
-                    hit = {x for _, _, s, size in found for x in range(s, s + size)}
+                for d, (words, found) in enumerate(zip(*index.matches(docs))):
+                    hit = set(words.tolist())
                     items = {str(index.item_ids[k]) for k, *_ in found if index.item_ids[k] is not None}
                     matches = [{"item_id": index.item_ids[k], "item_start": i, "doc_start": s, "length": n} for k, i, s, n in found]
                     if before:
@@ -206,7 +230,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text_col: str =
                 for k in range(0, big.num_rows, 512):
                     batch = big.slice(k, 512)
                     docs = [words_of(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-                    yield batch.filter(pa.array([not hits for hits in sent.value.shard(docs)], pa.bool_()))
+                    yield batch.filter(pa.array(~sent.value.touched(docs)))
 
         documents = documents.mapInArrow(clean, schema)
     return documents

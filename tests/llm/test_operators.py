@@ -293,6 +293,21 @@ def test_sharding_digest(docs, rows, none, spark):
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_sharding_scatters_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    rows = [(None, "a row that is here very often")] * 2000 + [(k, f"row {k}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    seen = []
+    monkeypatch.setattr(sharding, "_counted", lambda t, f=sharding._counted: seen.append(f(t)) or seen[-1])
+    got = sharding.external_shuffle(df, bucket_bytes=4000).collect()
+    assert Counter((r.id, r.text) for r in got) == Counter(rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(375)]
+    before, after = (max(r["size"] for r in c.collect()) for c in seen)
+    assert before > 100_000 > 10_000 > after
+    again = sharding.external_shuffle(df.repartition(7), bucket_bytes=4000).collect()
+    assert {(r.id, r.shard, r.slot) for r in got} == {(r.id, r.shard, r.slot) for r in again}
+
+
 # --- 7 quality ------------------------------------------------------------------------------------
 
 
@@ -428,6 +443,18 @@ def test_decontamination(spark, docs, rows):
         assert r.hit_words == sorted({x for m in r.matches for x in range(m.doc_start, m.doc_start + m.length)})
 
 
+def test_decontamination_in_runs_of_one_word():
+    index = decontam.TestIndex([(1, b"so " * 500), (2, b"so so"), (3, b"and so so on")], 10)
+    words, found = index.matches([["x", *["so"] * 3000, "y"], [b"and"], []])
+    assert [w.size for w in words] == [0, 0, 0] and found == [[], [], []]
+    docs = [[b"x", *[b"so"] * 3000, b"y"], [b"and"], [], [b"and", b"so", b"so", b"on"]]
+    words, found = index.matches(docs)
+    assert [w.size for w in words] == [3000, 0, 0, 4] and index.touched(docs).tolist() == [True, False, False, True]
+    # one match for each diagonal of at least a window
+    assert sorted(m[3] for m in found[0] if m[0] == 0) == sorted([500] * 2501 + [n for n in range(10, 500) for _ in (0, 1)])
+    assert len([m for m in found[0] if m[0] == 1]) == 2999 and found[3] == [(1, 0, 1, 2), (2, 0, 0, 4)]
+
+
 def test_decontamination_empty(spark, docs, rows, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not decontam.digest(decontam.find_matches(docs, bench)).filter("contaminated").count()
