@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _TOKEN = r"[\p{L}\p{N}]+"
+#: About how many queries of a vector search are broadcast at once.
+QUERY_BLOCK = 10_000
 
 
 def html_text(html: Column) -> Column:
@@ -57,9 +61,17 @@ def lexical_topk(documents: DataFrame, queries: DataFrame, *, id_col: str, text_
 
 
 def vector_topk(rows: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
-    """(query_id, rank, id, score): cosine, ties to the smaller id; for a short list of queries, which is broadcast."""
-    if queries.count() > 10_000:
-        raise ValueError("vector_topk is for at most 10,000 queries at once")
+    """(query_id, rank, id, score): cosine, ties to the smaller id; any number of queries, broadcast in blocks.
+
+    A query's rows are all in the block that its id's hash names, so each block is a search of its own.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64(id_col), F.lit(blocks))
+    found = [_vector_topk(rows, queries.filter(block == b) if blocks > 1 else queries, id_col, vector_col, k) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _vector_topk(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), norm(F.col(vector_col)).alias("qn")))
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("vn"))

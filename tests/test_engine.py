@@ -303,6 +303,21 @@ def test_files(tmp_path):
     assert files.remove_filings(tmp_path, [str(path), str(path), "/etc/hosts"]) == [f"/etc/hosts: outside {tmp_path.resolve()}"] and not (tmp_path / "42").exists()
 
 
+def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
+    many = spark.range(10_001).select((F.col("id") + 100).alias("id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])], "id long, v array<double>")
+    found = retrieval.vector_topk(few, many, id_col="id", vector_col="v", k=2)
+    assert found.groupBy("query_id").count().filter("count = 2").count() == 10_001
+    best = {r.query_id: r.id for r in found.filter("rank = 1").collect()}
+    assert best[100] == 1 and best[110] == 2
+    rows = catalog.table(spark, SF, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0")
+    search = lambda: Counter(map(tuple, retrieval.vector_topk(rows, asked, id_col="vec_id", vector_col="embedding").collect()))
+    whole = search()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
+    assert search() == whole and sum(whole.values()) == 5 * asked.count()
+
+
 # --- every query against its oracle ---------------------------------------------------------------------
 
 
