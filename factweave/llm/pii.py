@@ -1,15 +1,22 @@
 """Personal data: base patterns and bootstrapped contextual extraction, with DataFrame functions only.
 
-Base matches are the seed entities. A label right before a value (letters and
-one of ``: = #``, a space at most between) is a lexical pattern; the values it
-stands before are its instances. On the graph of patterns and distinct values,
-scores go back and forth: a pattern's confidence in a kind is the mean score of
-its instances (all of them count, so a label before ordinary words stays low), a
-value's score is 1 for a seed, else one less the chance that all its patterns err.
+Base matches are the seed entities. Lexical patterns are labels right before a
+value (letters and one of ``: = #``, a space at most between) and the one or two
+words before a value; the values they stand before are their instances. Words
+become patterns if they stand before ``MIN_SEEDS`` distinct seeds of a kind, then
+all their places count. On the graph of patterns and distinct values, scores go
+back and forth: a pattern's confidence in a kind is the mean score of its
+instances (all of them count, so a pattern before ordinary words stays low; after
+words, those without a digit or an @ score 0), a value's score is 1 for a seed, else one less the chance that all its patterns err.
 Patterns of at least ``MIN_SEEDS`` seeds and ``MIN_CONFIDENCE`` after the last
 round tag the values they stand before that hold a digit or an @ and that the base
-patterns missed. All steps are aggregations and equi-joins over (pattern, value)
-pairs, combined on the map side; texts are read once and never shuffled.
+patterns missed. A value is a run without blanks, or groups of digits, brackets,
+hyphens and dots with a blank (or a sign between blanks) between them; it ends
+before a base match. For a phone or a card the groups go on up to the kind's
+number of digits; other kinds hold no blanks. Values have no least or greatest
+length, words have at most 32 letters. All steps are aggregations and equi-joins
+over (pattern, value) pairs, combined on the map side. Texts, with base matches
+masked, are written once for the search of words, and shuffled only if words tag.
 
 The regular expressions match what the plain forms match, but start only where a
 run begins and never give back, so a long run of one class costs linear time.
@@ -42,8 +49,21 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _TRIGGER = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-_LABEL = r"(?<![A-Za-z_])([A-Za-z_]{2,32}+[:=#] ?+)([^ \t-\r:=#][^ \t-\r]{0,127}+)"
+_BLANK = r"[ \t-\r]"
+_END = r"(?=[ \t-\r.,;:\])>\"']|\z)"
+#: Groups of digits as phone and card numbers have them; each ends where a word ends.
+_NUMBER = rf"[+(]*+[0-9][0-9().-]*+{_END}(?:(?: [-./])?+ \(?+[0-9][0-9().-]*+{_END})*+"
+_LABEL = rf"(?<![\p{{L}}_])([\p{{L}}_]{{2,32}}+[:=#] ?+)({_NUMBER}|[^ \t-\r:=#][^ \t-\r]*+)"
+_TOKEN = rf"{_NUMBER}|[^ \t-\r]++"
+_WORD = r"[\p{L}_][\p{L}\p{M}_'-]{0,31}+"
+#: The one or two words that end a text.
+_BEFORE = rf"(?:^|{_BLANK})(?:({_WORD}){_BLANK}++)?+({_WORD}){_BLANK}++\z"
+_TAIL = 80
 _TRAILING = r"[.,;:)>\]\"']+$"
+#: Stands for each character of a base match; a character that no text has.
+_MARK = "\uffff"
+#: How many digits a discovered value of a kind may hold; other kinds hold no blanks.
+MOST_DIGITS = {"card": 19, "phone": 15}
 
 
 def _digits(value: Column) -> Column:
@@ -96,28 +116,98 @@ def _positions(text: Column, pattern: str, found: Column) -> Column:
     return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
+def _trimmed(value: Column) -> Column:
+    """Without punctuation at the end; a bracket that closes one of the value stays."""
+    closed = value.rlike(r"\([^()]*\)[.,;:>\]\"']*$")
+    return F.when(closed, F.regexp_replace(value, r"[.,;:>\]\"']+$", "")).otherwise(F.regexp_replace(value, _TRAILING, ""))
+
+
+def _shaped(kind: Column, value: Column) -> Column:
+    """The part of the value that has the kind's shape: its first groups, as far as the kind's digits go."""
+    most = F.create_map(*(x for k, n in MOST_DIGITS.items() for x in (F.lit(k), F.lit(n))))[kind]
+    groups = F.split(value, " ")
+
+    def step(acc: Column, g: Column) -> Column:
+        longer = F.concat(acc["out"], F.lit(" "), g)
+        goes_on = acc["on"] & (F.length(_digits(longer)) <= most)
+        return F.struct(F.when(goes_on, longer).otherwise(acc["out"]).alias("out"), goes_on.alias("on"))
+
+    first = F.get(groups, 0)
+    numbered = F.aggregate(F.slice(groups, 2, F.size(groups)), F.struct(first.alias("out"), F.lit(True).alias("on")), step)["out"]
+    return _trimmed(F.regexp_replace(F.when(most.isNull(), first).otherwise(numbered), r" [-./]$", ""))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with a mark for each character of the spans."""
+
+    def step(acc: Column, s: Column) -> Column:
+        plain = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        marks = F.repeat(F.lit(_MARK), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], plain, marks).alias("out"))
+
+    done = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def _words_before(text: Column, kind: str, spans: Column) -> Column:
+    """(pattern, value, kind) for the one and the two words before each span."""
+
+    def told(s: Column) -> Column:
+        cut = F.concat(F.lit("|"), F.substring(text, s["start"] - _TAIL + 1, F.lit(_TAIL)))
+        tail = F.when(s["start"] > _TAIL, cut).otherwise(F.substring(text, F.lit(1), s["start"]))
+        one, two = F.regexp_extract(tail, _BEFORE, 2), F.regexp_extract(tail, _BEFORE, 1)
+        both = F.when(two != "", F.concat(two, F.lit(" "), one))
+        patterns = F.array_compact(F.array(F.when(one != "", one), both))
+        return F.transform(patterns, lambda p: F.struct(F.lower(p).alias("pattern"), s["value"].alias("value"), F.lit(kind).alias("kind")))
+
+    return F.flatten(F.transform(spans, told))
+
+
 def base_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, one array of (start, end, value) for each kind, labels) of every row."""
+    """(doc_id, key, one array of (start, end, value) for each kind, labels, before, masked) of every row."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     found = [
         F.when(F.col("text").rlike(_TRIGGER[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"_{k}") for k in KINDS
     ]
-    labelled = F.when(F.col("text").rlike("[A-Za-z_][:=#]"), F.regexp_extract_all("text", F.lit(_LABEL), F.lit(0))).otherwise(none).alias("_label")
+    labelled = F.when(F.col("text").rlike(r"[\p{L}_][:=#]"), F.regexp_extract_all("text", F.lit(_LABEL), F.lit(0))).otherwise(none).alias("_label")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), *found, labelled)
     spans = [_kept(k, _positions(F.col("text"), PATTERNS[k], F.col(f"_{k}"))).alias(k) for k in KINDS]
-    docs = docs.select("doc_id", "key", *spans, _positions(F.col("text"), _LABEL, F.col("_label")).alias("_label"))
+    docs = docs.select("doc_id", "text", "key", *spans, _positions(F.col("text"), _LABEL, F.col("_label")).alias("_label"))
+    every = F.concat(*KINDS)
 
     def split_label(m: Column) -> Column:
-        label = F.regexp_extract(m["value"], r"^[A-Za-z_]+[:=#] ?", 0)
-        value = F.regexp_replace(F.substring(m["value"], F.length(label) + 1, F.length(m["value"])), _TRAILING, "")
+        label = F.regexp_extract(m["value"], r"^[\p{L}_]+[:=#] ?", 0)
         start = m["start"] + F.length(label)
+        whole = F.substring(m["value"], F.length(label) + 1, F.length(m["value"]))
+        # groups of digits end before the first base match among them
+        first_run = start + F.length(F.substring_index(whole, " ", 1))
+        cut = F.array_min(F.transform(F.filter(every, lambda s: (s["start"] > first_run) & (s["start"] < m["end"])), lambda s: s["start"]))
+        value = _trimmed(F.regexp_replace(F.when(cut.isNull(), whole).otherwise(F.substring(whole, F.lit(1), cut - start)), r"(?: [-./])? $", ""))
         return F.struct(F.lower(F.rtrim(label)).alias("pattern"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
 
-    return docs.select("doc_id", "key", *KINDS, F.transform("_label", split_label).alias("labels"))
+    labels = F.transform("_label", split_label).alias("labels")
+    before = F.concat(*(_words_before(F.col("text"), k, F.col(k)) for k in KINDS)).alias("before")
+    return docs.select("doc_id", "key", *KINDS, labels, before, _masked(F.col("text"), every).alias("masked"))
+
+
+def _after_words(spans: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, key, pattern, value, at) of each place of the word patterns before a value that no base match touches.
+
+    ``at`` counts the text's tokens.
+    """
+    tokens = spans.select("doc_id", "key", F.regexp_extract_all("masked", F.lit(_TOKEN), F.lit(0)).alias("t")).filter(F.size("t") > 1)
+    places = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.get("t", i - 2).alias("two"), F.get("t", i - 1).alias("one"), F.get("t", i).alias("value"), i.alias("at")))
+    rows = tokens.select("doc_id", "key", F.explode(places).alias("p")).select("doc_id", "key", "p.*")
+    # the last word of two words before seeds is before the same seeds
+    last = patterns.select(F.substring_index("pattern", " ", -1).alias("last")).distinct()
+    rows = rows.withColumn("last", F.lower("one")).join(F.broadcast(last), "last").filter(F.col("one").rlike(f"^{_WORD}$") & ~F.contains("value", F.lit(_MARK)))
+    both = F.when(F.col("two").rlike(f"^{_WORD}$"), F.concat(F.lower("two"), F.lit(" "), "last"))
+    rows = rows.select("doc_id", "key", "value", "at", F.explode(F.array_compact(F.array("last", both))).alias("pattern"))
+    return rows.join(F.broadcast(patterns), "pattern").withColumn("value", _trimmed(F.col("value")))
 
 
-def pattern_confidence(spans: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+def pattern_confidence(spans: DataFrame, *, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence, seeds): the scored graph after ``rounds`` rounds."""
     told = spans.filter(F.size("labels") > 0)
     pairs = told.select(F.explode("labels").alias("o"), *KINDS)
@@ -125,9 +215,20 @@ def pattern_confidence(spans: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     # a seed is an instance as a whole, also where it holds spaces
     seed = F.get(F.filter(F.concat(*KINDS), lambda s: (s["start"] < F.col("o.end")) & (s["end"] > F.col("o.start"))), 0)["value"]
     pairs = pairs.select(F.col("o.pattern").alias("pattern"), F.coalesce(seed, F.col("o.value")).alias("value"), F.array_compact(kind_of).alias("seen"))
+    before = spans.filter(F.size("before") > 0).select(F.explode("before").alias("b")).select("b.*")
+    before = written(before.distinct(), "pii-before")
+    words = before.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= min_seeds).select("pattern").distinct()
+    words = written(words, "pii-words")
+    pairs = pairs.unionByName(before.join(words, "pattern").select("pattern", "value", F.array("kind").alias("seen")))
+    # ordinary words are only counted; no pattern can tag them
+    shown = F.when(F.col("value").rlike("[0-9@]"), F.col("value")).alias("value")
+    places = _after_words(spans, words).select("pattern", "value").distinct().groupBy("pattern", shown).agg(F.count("*").alias("n"))
+    places = written(places, "pii-places")
+    pairs = pairs.unionByName(places.filter("value is not null").select("pattern", "value", F.array().cast("array<string>").alias("seen")))
     # an edge for each distinct (pattern, value), with the kinds that seeds give the value there
     edges = written(pairs.groupBy("pattern", "value").agg(F.array_distinct(F.flatten(F.collect_set("seen"))).alias("seen")), "pii-edges")
-    total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    ordinary = places.filter("value is null").select("pattern", "n")
+    total = edges.select("pattern", F.lit(1).cast("long").alias("n")).unionByName(ordinary).groupBy("pattern").agg(F.sum("n").alias("n"))
     seeds = edges.select("value", F.explode("seen").alias("kind")).distinct()
     seed_counts = edges.select("pattern", F.explode("seen").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
     score = seeds.withColumn("score", F.lit(1.0))
@@ -146,14 +247,19 @@ def find_personal_data(
 ) -> DataFrame:
     """(doc_id, base, spans) of every row: arrays of (kind, start, end), base matches and those with the discovered ones."""
     spans = written(base_spans(documents, id_col=id_col, text_col=text_col), "pii-base")
-    sure = pattern_confidence(spans, rounds=rounds).filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
-    best = sure.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    sure = pattern_confidence(spans, min_seeds=min_seeds, rounds=rounds).filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
+    best = written(sure.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")), "pii-best")
     told = spans.filter(F.size("labels") > 0).select("doc_id", "key", F.explode("labels").alias("o"), *KINDS)
-    told = told.filter(F.col("o.value").rlike("[0-9@]") & (F.length("o.value") >= 5))
+    told = told.filter(F.col("o.value").rlike("[0-9@]"))
     for k in KINDS:  # values that no base match touches
         told = told.filter(~_touched(F.col(k), F.col("o")))
     new = told.select("doc_id", "key", "o").join(best, F.col("o.pattern") == best.pattern)
-    new = new.groupBy("doc_id", "key").agg(F.collect_set(_span(F.col("kind"), F.col("o.start"), F.col("o.end"))).alias("new"))
+    new = new.select("doc_id", "key", "kind", F.col("o.start").alias("start"), _shaped(F.col("kind"), F.col("o.value")).alias("value"))
+    by_words = best.filter(~F.col("pattern").rlike("[:=#]$"))
+    if not by_words.isEmpty():
+        new = new.unionByName(_placed(spans, _after_words(spans, by_words).filter(F.col("value").rlike("[0-9@]"))))
+    new = new.filter(F.col("value").rlike("[0-9@]"))
+    new = new.groupBy("doc_id", "key").agg(F.collect_set(_span(F.col("kind"), F.col("start"), F.col("start") + F.length("value"))).alias("new"))
     new = new.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "new")
     joined = spans.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     base = F.concat(*(_named(k, F.col(k)) for k in KINDS))
@@ -161,6 +267,22 @@ def find_personal_data(
     return joined.select("doc_id", base.alias("base"), F.sort_array(everything).alias("spans"))
 
 
+def _placed(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, kind, start, value) of values known by their token's number."""
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("at", "kind", "value")).alias("found"))
+    rows = spans.select("doc_id", "key", "masked").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    rows = rows.select("doc_id", "key", "found", F.split("masked", _TOKEN, -1).alias("gaps"), F.regexp_extract_all("masked", F.lit(_TOKEN), F.lit(0)).alias("t"))
+
+    def size(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+
+    def place(f: Column) -> Column:
+        start = size(F.slice("gaps", 1, f["at"] + 1)) + size(F.slice("t", 1, f["at"]))
+        return F.struct(f["kind"].alias("kind"), start.alias("start"), _shaped(f["kind"], f["value"]).alias("value"))
+
+    return rows.select("doc_id", "key", F.explode(F.transform("found", place)).alias("f")).select("doc_id", "key", "f.*")
+
+
 def _span(kind: Column, start: Column, end: Column) -> Column:
     rank = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
     return F.struct(rank.alias("rank"), kind.alias("kind"), start.alias("start"), end.alias("end"))

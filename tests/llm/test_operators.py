@@ -235,6 +235,31 @@ def test_labels_discover_unseen_identifiers(spark):
     assert all(got[i].spans.startswith("phone:10:") for i, _ in known)
 
 
+def test_discovered_values_have_the_shapes_of_seeds(spark):
+    long = "9" * 200
+    known = [(k, f"tel: +1 (555) 010-00{k:02d} now") for k in range(12)] + [(20 + k, f"card: 4111 1111 1111 1111 and mail= a{k}@b.c") for k in range(4)]
+    known += [(30 + k, f"card: {n}") for k, n in enumerate(("4524132264652876", "9807915762804490", "4845168114407329"))]
+    unseen = {
+        50: ("tel: (017) 555-7713 x", "phone:5:19"), 51: ("tel: 030 1234567, then", "phone:5:16"), 52: ("tel: 01234 567890", "phone:5:17"),
+        53: ("card: 9807 9157 6280 4491 2x", "card:6:25"), 54: (f"card: {long}", "card:6:206"), 55: ("tel: 112", "phone:5:8"),
+        56: ("tel: 030 1234567 10.0.0.1", "ip:17:25,phone:5:16"), 57: ("tel: 030 1234567 2024 2025 now", "phone:5:21"), 58: ("mail= x1 2 3", "email:6:8"),
+        59: ("tel: 030 - 1234567 or so", "phone:5:18"), 60: ("tel: none given", ""),
+    }
+    rows = known + [(i, t) for i, (t, _) in unseen.items()]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), min_confidence=0.2)).collect()}
+    assert {i: got[i] for i in unseen} == {i: want for i, (_, want) in unseen.items()}
+
+
+def test_words_before_seeds_discover_unseen_identifiers(spark):
+    known = [(k, f"é so\nplease reach me\u00df at +1 (555) 010-00{k:02d} now") for k in range(12)]
+    unseen = [(50, "é tell 10.0.0.1 and Reach me\u00df  at (017) 555-7713."), (None, "meß at\n030 1234567 now"), (52, "look at (017) 555-7713"), (53, "meß at")]
+    noise = [(60 + k, f"look at word{k} then at home{k}") for k in range(30)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(known + unseen + noise, "doc_id long, text string"))).collect()}
+    assert got[50] == "ip:7:15,phone:34:48" and got[None] == "phone:7:18"
+    assert got[52] == got[53] == "" and all(got[i] == "" for i, _ in noise)
+    assert all(got[i].startswith("phone:") and "," not in got[i] for i, _ in known)
+
+
 def test_pii_empty(none):
     assert pii.digest(pii.find_personal_data(none)).count() == 0
 
