@@ -28,7 +28,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import longs, texts
@@ -62,15 +62,17 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of every row."""
+def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row: Column | None = None) -> DataFrame:
+    """(doc_id, fingerprint as a signed long) of every row, and the long ``row`` if it is given."""
+    carried = [] if row is None else ["row"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([fingerprint(t, width) for t in texts(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), longs(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), longs(prints), *b.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")] + ([] if row is None else [row.alias("row")])
+    return documents.select(*columns).mapInArrow(scan, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def ring_keys() -> list[tuple[int, tuple[int, ...]]]:
@@ -226,29 +228,39 @@ def near_links(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     return rows.mapInArrow(_linker(distance), "a long, b long").distinct()
 
 
+def _roots(distinct: DataFrame, distance: int) -> DataFrame:
+    """The rows of ``distinct`` with the root of their fingerprint's group."""
+    links = written(near_links(distinct, distance=distance), "simhash-links")
+    roots = connected_components(links)
+    return written(distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id of its group."""
     prints = written(fingerprints(documents, id_col=id_col, text_col=text_col, width=width), "simhash-prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    links = written(near_links(distinct, distance=distance), "simhash-links")
-    roots = connected_components(links)
-    named = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    named = _roots(distinct, distance)
     # written, so that the join on a large group's root has plain sides and can be split
     least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     of_print = named.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each group, all its columns kept.
+def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
+    """One document of each group, all its columns kept: the smallest id, nulls last, then the least hash of text and row.
 
-    Repeated rows of one id leave one row; rows without id can't be named by a
-    group and pass through.
+    The fingerprint row itself names the survivor, so rows with one id or none
+    are told apart by their text; repeated rows leave one row.
     """
-    groups = near_groups(documents, id_col=id_col, text_col=text_col, **options)
-    staying = groups.select(F.col("component_id").alias("_fw_id")).filter("_fw_id is not null").distinct()
-    kept = documents.join(staying, documents[id_col] == staying["_fw_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(documents.filter(F.col(id_col).isNull()))
+    hashed = [F.col(f.name) for f in documents.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = F.xxhash64(F.lit(29), F.col(text_col), *hashed)
+    prints = written(fingerprints(documents, id_col=id_col, text_col=text_col, width=width, row=row), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    named = _roots(written(prints.groupBy("fp").agg(first), "simhash-distinct"), distance)
+    staying = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_fw_id"), F.col("first.row").alias("_fw_of"))
+    rows = documents.withColumn("_fw_row", row)
+    kept = rows.join(staying, F.col(id_col).cast("long").eqNullSafe(F.col("_fw_id")) & (F.col("_fw_row") == F.col("_fw_of")), "left_semi")
+    return kept.dropDuplicates([id_col, "_fw_row"]).drop("_fw_row")
 
 
 def digest(groups: DataFrame) -> DataFrame:

@@ -178,6 +178,18 @@ def test_keep_one(docs, rows):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_tells_rows_apart_by_their_text(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(None, a), (None, a), (4, a), (None, b), (None, b), (7, c), (7, prose(rng, 70)), (7, c), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([(4, a), (None, b), (7, c), rows[6]])
+    for parts in (1, 5):
+        assert Counter(map(tuple, simhash.keep_one(df.repartition(parts)).collect())) == want
+    marked = spark.createDataFrame([(5, b, k) for k in range(40)], "doc_id long, text string, n long")
+    assert len({simhash.keep_one(marked.repartition(p)).first().n for p in (1, 3, 7)}) == 1
+
+
 def test_large_buckets_are_split_without_losing_links(monkeypatch):
     monkeypatch.setattr(simhash, "LARGE", 80)
     monkeypatch.setattr(simhash, "FEW_BITS", 5)
