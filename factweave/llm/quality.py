@@ -9,7 +9,10 @@ to the other; at the end the views, calibrated on rows that neither was fitted
 on, are combined (their log-odds less the prior's) and score every document.
 
 Bounds: the fit uses at most ``n_labelled`` labelled and ``n_pool`` unlabelled
-documents, those with the least seeded hash of the id, at any corpus size. Only
+documents, those with the least seeded hash of the id, at any corpus size; of
+each class of a target ``RARE`` rows come first, so that rare positives are kept,
+and the log-odds are corrected by the classes' shares of all labelled documents
+(the models' ``shift``). Only
 their feature numbers reach the driver. Every document is scored, from its whole
 text, in one pass without a shuffle.
 
@@ -36,9 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import texts
+from .storage import written
 
 N_LABELLED = 9000
 N_POOL = 3000
+#: How many labelled rows of each class of a target are kept before the others are drawn, or an eighth of the bound.
+RARE = 300
 ROUNDS = 2
 FEATURES = 3000
 SURE = 0.95
@@ -202,20 +208,28 @@ class Model:
     text_scale: tuple[float, float]
     page_scale: tuple[float, float]
     prior: float
+    shift: float = 0.0
 
     def probability(self, x: Sparse, z: np.ndarray) -> np.ndarray:
         a = self.text_scale[0] * self.text.logit(x) + self.text_scale[1]
         b = self.page_scale[0] * self.page.logit(z) + self.page_scale[1]
-        return _sigmoid(a + b - self.prior)
+        return _sigmoid(a + b - self.prior + self.shift)
 
 
-def co_train(x: Sparse, z: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """Fit both views; ``y`` is 1, 0 or NaN for a row of the unlabelled pool. Every third labelled row is held out."""
+def co_train(x: Sparse, z: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, totals: tuple[int, int] | None = None) -> Model | None:
+    """Fit both views; ``y`` is 1, 0 or NaN for a row of the unlabelled pool. Every third labelled row of a class is held out.
+
+    ``totals`` are the rows of class 0 and 1 that ``y`` was drawn from, if those are more.
+    """
     known = np.flatnonzero(~np.isnan(y))
     pool = np.flatnonzero(np.isnan(y))
-    held, fit = known[::3], np.setdiff1d(known, known[::3])
-    if any(min((y[r] == c).sum() for r in (held, fit)) < MIN_CLASS // 2 for c in (0, 1)):
+    classes = [known[y[known] == c] for c in (0, 1)]
+    if any(r.size < MIN_CLASS for r in classes):
         return None
+    held = np.sort(np.concatenate([r[::3] for r in classes]))
+    fit = np.setdiff1d(known, held)
+    drawn = [r.size / n for r, n in zip(classes, totals or (r.size for r in classes))]
+    shift = float(np.log(drawn[0] / drawn[1]))
     prior = float(_logit(y[known].mean()))
     told = {"text": (fit, y[fit]), "page": (fit, y[fit])}
     for turn in range(rounds + 1):
@@ -231,27 +245,38 @@ def co_train(x: Sparse, z: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> M
         for taker, p in sure.items():
             pick = (p >= SURE) | (p <= min(1 - SURE, 0.2 * y[known].mean()))
             told[taker] = np.concatenate([fit, pool[pick]]), np.concatenate([y[fit], (p[pick] >= 0.5).astype(float)])
-    return Model(text, page, *scales, prior)
+    return Model(text, page, *scales, prior, shift)
 
 
 # --- Spark ----------------------------------------------------------------------------------------
 
 
-def sample_ids(documents: DataFrame, labels: DataFrame, *, id_col: str, n_labelled: int, n_pool: int, seed: int) -> DataFrame:
+def labelled_ids(documents: DataFrame, labels: DataFrame, *, id_col: str) -> DataFrame:
+    """(id, low, toxic) of every document with a label, written."""
+    told = labels.select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic"))
+    told = told.filter("_id is not null").groupBy("_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
+    return written(told.join(documents.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "quality-labels")
+
+
+def sample_ids(documents: DataFrame, told: DataFrame, *, id_col: str, n_labelled: int, n_pool: int, seed: int) -> DataFrame:
     """(id, low, toxic) of the rows to fit on, at most n_labelled + n_pool; unlabelled ones have nulls."""
     order = F.xxhash64(F.lit(seed), F.col("_id"))
-    told = labels.select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("low"), F.col("toxic"))
-    told = told.filter("_id is not null").groupBy("_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
-    known = told.orderBy(order).limit(n_labelled)
+    known = told.orderBy(order).limit(n_labelled).withColumn("rest", F.lit(1))
+    for t in TARGETS:
+        for c in (0, 1):  # rows of a frequent class are in the plain draw as well
+            known = known.unionByName(told.filter(F.col(t) == c).orderBy(order).limit(min(RARE, n_labelled // 8)).withColumn("rest", F.lit(0)))
+    known = known.groupBy("_id", "low", "toxic").agg(F.min("rest").alias("rest")).orderBy("rest", order).limit(n_labelled)
     ids = documents.select(F.col(id_col).alias("_id")).filter("_id is not null")
     pool = ids.join(told.select("_id"), "_id", "left_anti").orderBy(order, "_id").limit(n_pool)
     none = F.lit(None).cast("int")
-    return known.select("_id", F.col("low").cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic")).unionByName(pool.distinct().select("_id", none.alias("low"), none.alias("toxic")))
+    return known.select("_id", "low", "toxic").unionByName(pool.distinct().select("_id", none.alias("low"), none.alias("toxic")))
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_labelled: int = N_LABELLED, n_pool: int = N_POOL, rounds: int = ROUNDS, seed: int = 11) -> dict[str, Model | None]:
     """A model for each target."""
-    chosen = sample_ids(documents, labels, id_col=id_col, n_labelled=n_labelled, n_pool=n_pool, seed=seed)
+    told = labelled_ids(documents, labels, id_col=id_col)
+    counts = told.agg(*(F.count_if(F.col(t) == c).alias(f"{t}{c}") for t in TARGETS for c in (0, 1))).first()
+    chosen = sample_ids(documents, told, id_col=id_col, n_labelled=n_labelled, n_pool=n_pool, seed=seed)
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), "lang", "source")
     rows = docs.join(F.broadcast(chosen), "_id")
     # one row for each id, so that a repeated id can't exceed the bound
@@ -269,7 +294,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     x = Sparse(np.frombuffer(b"".join(v.as_py() for v in got.column("x")), np.int32), pc.binary_length(got.column("x")).to_numpy().astype(np.int64) // 4)
     z = np.frombuffer(b"".join(got.column("z").to_pylist()), np.float32).reshape(got.num_rows, 10 + _HASHED)
     got = got.drop(["x", "z"])
-    return {t: co_train(x, z, np.array([np.nan if v is None else float(v) for v in got.column(t).to_pylist()]), rounds) for t in TARGETS}
+    return {t: co_train(x, z, np.array([np.nan if v is None else float(v) for v in got.column(t).to_pylist()]), rounds, (counts[f"{t}0"], counts[f"{t}1"])) for t in TARGETS}
 
 
 def _scorer(sent):

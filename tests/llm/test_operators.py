@@ -376,6 +376,18 @@ def test_quality(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.keep}
 
 
+def test_quality_keeps_rare_positives(spark):
+    rows, labels = labelled(2400)
+    toxic = [i for i, _, t in labels if t][:30]
+    chosen = {i for i, _, t in labels if not t} | set(toxic)
+    told = spark.createDataFrame([x for x in labels if x[0] in chosen], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame([r for r in rows if r[0] in chosen], DOC)
+    models = quality.fit(df, told, n_labelled=400)
+    assert models["toxic"] is not None and models["toxic"].shift < -1
+    found = {r.doc_id for r in quality.score(df, models).filter("p_toxic >= 0.5").collect()}
+    assert len(found & set(toxic)) > 20 and len(found - set(toxic)) < 5
+
+
 def test_quality_without_examples(spark, docs, rows, none):
     models = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert models == {"low": None, "toxic": None} and quality.keep_good(docs, models).count() == len(rows)
