@@ -14,7 +14,7 @@ from . import brute
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASHES = ("n_words", "size", "fp", "key", "starts", "_id", "first", "shard", "h1", "w", "bucket", "rate", "spans", "base", "slot_", "kept")
+CLASHES = ("n_words", "size", "fp", "key", "starts", "_id", "first", "shard", "h1", "w", "bucket", "rate", "spans", "base", "slot", "kept", "row", "place")
 
 
 def prose(rng, n, vocabulary=400):
@@ -310,12 +310,15 @@ def test_topk_wide_values_and_few_rows(spark):
 
 @pytest.mark.parametrize("bucket_bytes", [2000, 1 << 24])
 def test_sharding(docs, rows, bucket_bytes):
-    got = sharding.external_shuffle(docs.drop("shard"), bucket_bytes=bucket_bytes).collect()
+    made = sharding.external_shuffle(docs, bucket_bytes=bucket_bytes)
+    assert made.columns == [*("shard_in" if c == "shard" else "slot_in" if c == "slot" else c for c in docs.columns), "shard", "slot"]
+    got = made.collect()
+    assert {(r.shard_in, r.slot_in) for r in got} == {("clash", "clash")}
     assert Counter((r.doc_id, r.text) for r in got) == Counter(pairs(rows))
     sizes = Counter(r.shard for r in got)
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s])) for s in sizes)
-    again = sharding.external_shuffle(docs.drop("shard").repartition(5), bucket_bytes=bucket_bytes).collect()
+    again = sharding.external_shuffle(docs.repartition(5), bucket_bytes=bucket_bytes).collect()
     place = lambda rs: {(r.doc_id, r.text, r.shard, r.slot) for r in rs}
     assert place(got) == place(again)
     order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id]
@@ -326,10 +329,29 @@ def test_sharding_digest(docs, rows, none, spark):
     got = sharding.digest(docs).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs(rows))
     assert sharding.digest(none).count() == 0
+    for parts in (got, sharding.digest(docs, bucket_bytes=3000).collect()):
+        sizes = Counter(r.shard for r in parts)
+        assert max(sizes.values()) - min(sizes.values()) <= 1 and {r.law for r in parts} == {"rows"}
+        assert sorted((r.shard, r.slot) for r in parts) == [(s, k) for s in sorted(sizes) for k in range(sizes[s])]
     few = sharding.external_shuffle(spark.range(3)).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_sharding_carries_maps(spark):
+    rows = [(k % 3, {"a": k % 2, "b": None}, [{1: (str(k % 2), {"x": k % 2})}] if k % 5 else None, k) for k in range(40)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "slot int, m map<string,int>, deep array<map<int,struct<s:string,t:map<string,int>>>>, slot_in int")
+    made = sharding.external_shuffle(df, bucket_bytes=300)
+    assert made.columns == ["slot_in_in", "m", "deep", "slot_in", "shard", "slot"] and made.schema["deep"].dataType.simpleString() == df.schema["deep"].dataType.simpleString()
+    assert sorted(map(str, (tuple(r)[:4] for r in made.collect()))) == sorted(map(str, map(tuple, df.collect())))
+
+
+def test_bucket_begins_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 5)
+    sizes = [(b, (b * 7) % 4 + 1, 0) for b in range(0, 43, 2)]
+    got = dict(map(tuple, sharding._begins(spark.createDataFrame(sizes, "bucket int, n long, size long")).collect()))
+    assert got == {b: sum(n for c, n, _ in sizes if c < b) for b, *_ in sizes}
+
+
 def test_sharding_scatters_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(sharding, "COPIES", 100)
     rows = [(None, "a row that is here very often")] * 2000 + [(k, f"row {k}") for k in range(1000)]
