@@ -1,27 +1,29 @@
 """Personal data: base patterns and bootstrapped contextual extraction, with DataFrame functions only.
 
 Base matches are the seed entities. Lexical patterns are labels right before a
-value (letters and one of ``: = #``, a space at most between) and the one or two
-words before a value; the values they stand before are their instances. Words
-become patterns if they stand before ``MIN_SEEDS`` distinct seeds of a kind, then
-all their places count. On the graph of patterns and distinct values, scores go
-back and forth: a pattern's confidence in a kind is the mean score of its
-instances (all of them count, so a pattern before ordinary words stays low; after
-words, those without a digit or an @ score 0), a value's score is 1 for a seed, else one less the chance that all its patterns err.
-Patterns of at least ``MIN_SEEDS`` seeds and ``MIN_CONFIDENCE`` after the last
-round tag the values they stand before that hold a digit or an @ and that the base
-patterns missed. A value is a run without blanks, or groups of digits, brackets,
-hyphens and dots with a blank (or a sign between blanks) between them; it ends
-before a base match. For a phone or a card the groups go on up to the kind's
-number of digits; other kinds hold no blanks. Values have no least or greatest
-length, words have at most 32 letters. All steps are aggregations and equi-joins
-over (pattern, value) pairs, combined on the map side. Texts, with base matches
-masked, are written once for the search of words, and shuffled only if words tag.
+value (letters and one of ``: = #``), the one or two words before a value and the
+word after one. The values of a pattern are its instances; those without a digit
+or an @ are ordinary words, which are only counted, place by place. On the graph of
+patterns and distinct values, scores go back and forth: a pattern's confidence in
+a kind is the mean score of its instances (ordinary places score 0), a value's
+score is 1 for a seed, else one less the chance that all its patterns err.
+Patterns whose ordinary places alone keep them under ``MIN_CONFIDENCE`` are left
+out of the graph. Patterns whose instances' scores add up to ``MIN_SEEDS`` and
+whose confidence is ``MIN_CONFIDENCE`` after the last round tag the values they
+stand at that the base patterns missed, so discovered values may vouch for further
+patterns. A value is a run without blanks, or groups of digits, brackets, hyphens
+and dots with a blank (or a sign between blanks) between them; it ends before a
+base match. For a phone or a card the groups go on up to the kind's number of
+digits; other kinds hold no blanks. Values, labels and words have no greatest
+length. All steps are aggregations and equi-joins, combined on the map side; no
+text is written or shuffled, and nothing is broadcast but what Spark itself finds
+small enough.
 
 The regular expressions match what the plain forms match, but start only where a
 run begins and never give back, so a long run of one class costs linear time.
 Positions are code points: a match begins after the pieces before it that
-``split`` leaves and the matches before it.
+``split`` leaves and the matches before it, summed up in runs of the square root of
+their number.
 
 Defined results: null text is empty and has no spans; repeated rows get the same
 spans; rows with a null id are told apart by their text; an empty table gives no
@@ -50,18 +52,22 @@ PATTERNS = {
 }
 _TRIGGER = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 _BLANK = r"[ \t-\r]"
+_INK = r"[^ \t-\r]"
 _END = r"(?=[ \t-\r.,;:\])>\"']|\z)"
 #: Groups of digits as phone and card numbers have them; each ends where a word ends.
 _NUMBER = rf"[+(]*+[0-9][0-9().-]*+{_END}(?:(?: [-./])?+ \(?+[0-9][0-9().-]*+{_END})*+"
-_LABEL = rf"(?<![\p{{L}}_])([\p{{L}}_]{{2,32}}+[:=#] ?+)({_NUMBER}|[^ \t-\r:=#][^ \t-\r]*+)"
-_TOKEN = rf"{_NUMBER}|[^ \t-\r]++"
-_WORD = r"[\p{L}_][\p{L}\p{M}_'-]{0,31}+"
-#: The one or two words that end a text.
-_BEFORE = rf"(?:^|{_BLANK})(?:({_WORD}){_BLANK}++)?+({_WORD}){_BLANK}++\z"
-_TAIL = 80
+_LABEL = rf"(?<![\p{{L}}_])([\p{{L}}_]{{2,}}+ ?+[:=#] ?+)({_NUMBER}|[^ \t-\r:=#]{_INK}*+)"
+_WORD = r"[\p{L}_][\p{L}\p{M}_'-]*+"
+_SHOWN = r"(?=[^ \t-\r0-9@]*+[0-9@])"
+_VALUE = rf"{_SHOWN}(?:{_NUMBER}|{_INK}++)"
+#: One or two words, then a value that holds a digit or an @.
+_BEFORE = rf"(?<!{_INK})(?:({_WORD}){_BLANK}++)?({_WORD}){_BLANK}++({_VALUE})"
+#: Such a value, then a word.
+_AFTER = rf"(?<!{_INK})({_VALUE}){_INK}*+{_BLANK}++({_WORD})(?!{_INK})"
+#: Patterns of words after a value begin so.
+_MARK = "~ "
 _TRAILING = r"[.,;:)>\]\"']+$"
-#: Stands for each character of a base match; a character that no text has.
-_MARK = "\uffff"
+_BLOCK = 64
 #: How many digits a discovered value of a kind may hold; other kinds hold no blanks.
 MOST_DIGITS = {"card": 19, "phone": 15}
 
@@ -89,30 +95,30 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _kept(kind: str, spans: Column) -> Column:
-    return F.filter(spans, lambda s: _holds(kind, s["value"]))
+def _running(sizes: Column) -> Column:
+    """What is before each of the sizes, summed; by runs, as one array grown step by step takes quadratic time."""
 
+    def within(part: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
 
-def _touched(spans: Column, o: Column) -> Column:
-    """Whether one of the spans overlaps the occurrence."""
-    return F.exists(spans, lambda s: (s["start"] < o["end"]) & (s["end"] > o["start"]))
-
-
-def _named(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda s: _span(F.lit(kind), s["start"], s["end"]))
+    run = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(sizes))).cast("int"))
+    # without sizes the one run is empty
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), run), lambda i: F.slice(sizes, i + 1, run))
+    begins = within(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), F.lit(0))
+    return F.flatten(F.zip_with(parts, begins, within))
 
 
 def _positions(text: Column, pattern: str, found: Column) -> Column:
     """(start, end, value) of the matches ``found`` of ``pattern``, in code points."""
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    before = _running(F.zip_with(gaps, found, lambda g, v: F.length(g) + F.length(v)))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def place(x: Column) -> Column:
+        start = x["at"] + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
 
-    placed = F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), start, step)["out"]
+    placed = F.transform(F.arrays_zip(before.alias("at"), gaps.alias("gap"), found.alias("value")), place)
     return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
@@ -133,159 +139,188 @@ def _shaped(kind: Column, value: Column) -> Column:
         return F.struct(F.when(goes_on, longer).otherwise(acc["out"]).alias("out"), goes_on.alias("on"))
 
     first = F.get(groups, 0)
-    numbered = F.aggregate(F.slice(groups, 2, F.size(groups)), F.struct(first.alias("out"), F.lit(True).alias("on")), step)["out"]
+    # each group but a sign holds a digit, so no more of them can be taken
+    some = F.slice(groups, 2, 2 * max(MOST_DIGITS.values()))
+    numbered = F.aggregate(some, F.struct(first.alias("out"), F.lit(True).alias("on")), step)["out"]
     return _trimmed(F.regexp_replace(F.when(most.isNull(), first).otherwise(numbered), r" [-./]$", ""))
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """The text with a mark for each character of the spans."""
+def _key(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key): an id and a text's hash name the rows that get the same spans."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
-    def step(acc: Column, s: Column) -> Column:
-        plain = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        marks = F.repeat(F.lit(_MARK), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], plain, marks).alias("out"))
 
-    done = F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+def base_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, base) of every row: an array of (rank, kind, start, end)."""
+    none = F.array().cast("array<string>")
+    docs = _key(documents, id_col, text_col)
+    found = (F.when(F.col("text").rlike(_TRIGGER[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"_{k}") for k in KINDS)
+    docs = docs.select("doc_id", "text", "key", *found)
 
+    def spans(k: str) -> Column:
+        held = F.filter(_positions(F.col("text"), PATTERNS[k], F.col(f"_{k}")), lambda s: _holds(k, s["value"]))
+        return F.transform(held, lambda s: _span(F.lit(k), s["start"], s["end"]))
 
-def _words_before(text: Column, kind: str, spans: Column) -> Column:
-    """(pattern, value, kind) for the one and the two words before each span."""
+    return docs.select("doc_id", "key", F.concat(*map(spans, KINDS)).alias("base"))
 
-    def told(s: Column) -> Column:
-        cut = F.concat(F.lit("|"), F.substring(text, s["start"] - _TAIL + 1, F.lit(_TAIL)))
-        tail = F.when(s["start"] > _TAIL, cut).otherwise(F.substring(text, F.lit(1), s["start"]))
-        one, two = F.regexp_extract(tail, _BEFORE, 2), F.regexp_extract(tail, _BEFORE, 1)
-        both = F.when(two != "", F.concat(two, F.lit(" "), one))
-        patterns = F.array_compact(F.array(F.when(one != "", one), both))
-        return F.transform(patterns, lambda p: F.struct(F.lower(p).alias("pattern"), s["value"].alias("value"), F.lit(kind).alias("kind")))
 
-    return F.flatten(F.transform(spans, told))
+def _span(kind: Column, start: Column, end: Column) -> Column:
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+    return F.struct(rank.alias("rank"), kind.alias("kind"), start.alias("start"), end.alias("end"))
 
 
-def base_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, one array of (start, end, value) for each kind, labels, before, masked) of every row."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    none = F.array().cast("array<string>")
-    found = [
-        F.when(F.col("text").rlike(_TRIGGER[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"_{k}") for k in KINDS
-    ]
-    labelled = F.when(F.col("text").rlike(r"[\p{L}_][:=#]"), F.regexp_extract_all("text", F.lit(_LABEL), F.lit(0))).otherwise(none).alias("_label")
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), *found, labelled)
-    spans = [_kept(k, _positions(F.col("text"), PATTERNS[k], F.col(f"_{k}"))).alias(k) for k in KINDS]
-    docs = docs.select("doc_id", "text", "key", *spans, _positions(F.col("text"), _LABEL, F.col("_label")).alias("_label"))
-    every = F.concat(*KINDS)
-
-    def split_label(m: Column) -> Column:
-        label = F.regexp_extract(m["value"], r"^[\p{L}_]+[:=#] ?", 0)
-        start = m["start"] + F.length(label)
-        whole = F.substring(m["value"], F.length(label) + 1, F.length(m["value"]))
-        # groups of digits end before the first base match among them
-        first_run = start + F.length(F.substring_index(whole, " ", 1))
-        cut = F.array_min(F.transform(F.filter(every, lambda s: (s["start"] > first_run) & (s["start"] < m["end"])), lambda s: s["start"]))
-        value = _trimmed(F.regexp_replace(F.when(cut.isNull(), whole).otherwise(F.substring(whole, F.lit(1), cut - start)), r"(?: [-./])? $", ""))
-        return F.struct(F.lower(F.rtrim(label)).alias("pattern"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"))
-
-    labels = F.transform("_label", split_label).alias("labels")
-    before = F.concat(*(_words_before(F.col("text"), k, F.col(k)) for k in KINDS)).alias("before")
-    return docs.select("doc_id", "key", *KINDS, labels, before, _masked(F.col("text"), every).alias("masked"))
-
-
-def _after_words(spans: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, key, pattern, value, at) of each place of the word patterns before a value that no base match touches.
-
-    ``at`` counts the text's tokens.
-    """
-    tokens = spans.select("doc_id", "key", F.regexp_extract_all("masked", F.lit(_TOKEN), F.lit(0)).alias("t")).filter(F.size("t") > 1)
-    places = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.get("t", i - 2).alias("two"), F.get("t", i - 1).alias("one"), F.get("t", i).alias("value"), i.alias("at")))
-    rows = tokens.select("doc_id", "key", F.explode(places).alias("p")).select("doc_id", "key", "p.*")
-    # the last word of two words before seeds is before the same seeds
-    last = patterns.select(F.substring_index("pattern", " ", -1).alias("last")).distinct()
-    rows = rows.withColumn("last", F.lower("one")).join(F.broadcast(last), "last").filter(F.col("one").rlike(f"^{_WORD}$") & ~F.contains("value", F.lit(_MARK)))
-    both = F.when(F.col("two").rlike(f"^{_WORD}$"), F.concat(F.lower("two"), F.lit(" "), "last"))
-    rows = rows.select("doc_id", "key", "value", "at", F.explode(F.array_compact(F.array("last", both))).alias("pattern"))
-    return rows.join(F.broadcast(patterns), "pattern").withColumn("value", _trimmed(F.col("value")))
-
-
-def pattern_confidence(spans: DataFrame, *, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence, seeds): the scored graph after ``rounds`` rounds."""
-    told = spans.filter(F.size("labels") > 0)
-    pairs = told.select(F.explode("labels").alias("o"), *KINDS)
-    kind_of = F.array(*(F.when(_touched(F.col(k), F.col("o")), F.lit(k)) for k in KINDS))
-    # a seed is an instance as a whole, also where it holds spaces
-    seed = F.get(F.filter(F.concat(*KINDS), lambda s: (s["start"] < F.col("o.end")) & (s["end"] > F.col("o.start"))), 0)["value"]
-    pairs = pairs.select(F.col("o.pattern").alias("pattern"), F.coalesce(seed, F.col("o.value")).alias("value"), F.array_compact(kind_of).alias("seen"))
-    before = spans.filter(F.size("before") > 0).select(F.explode("before").alias("b")).select("b.*")
-    before = written(before.distinct(), "pii-before")
-    words = before.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= min_seeds).select("pattern").distinct()
-    words = written(words, "pii-words")
-    pairs = pairs.unionByName(before.join(words, "pattern").select("pattern", "value", F.array("kind").alias("seen")))
-    # ordinary words are only counted; no pattern can tag them
-    shown = F.when(F.col("value").rlike("[0-9@]"), F.col("value")).alias("value")
-    places = _after_words(spans, words).select("pattern", "value").distinct().groupBy("pattern", shown).agg(F.count("*").alias("n"))
-    places = written(places, "pii-places")
-    pairs = pairs.unionByName(places.filter("value is not null").select("pattern", "value", F.array().cast("array<string>").alias("seen")))
-    # an edge for each distinct (pattern, value), with the kinds that seeds give the value there
-    edges = written(pairs.groupBy("pattern", "value").agg(F.array_distinct(F.flatten(F.collect_set("seen"))).alias("seen")), "pii-edges")
-    ordinary = places.filter("value is null").select("pattern", "n")
-    total = edges.select("pattern", F.lit(1).cast("long").alias("n")).unionByName(ordinary).groupBy("pattern").agg(F.sum("n").alias("n"))
-    seeds = edges.select("value", F.explode("seen").alias("kind")).distinct()
-    seed_counts = edges.select("pattern", F.explode("seen").alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    score = seeds.withColumn("score", F.lit(1.0))
-    confidence = None
+# --- patterns and their instances -------------------------------------------------------------
+
+
+def _groups(pattern: str, *numbers: int) -> list[Column]:
+    return [F.regexp_extract_all("text", F.lit(pattern), F.lit(n)) for n in numbers]
+
+
+def _label_of(label: Column) -> Column:
+    return F.lower(F.regexp_replace(label, " ", ""))
+
+
+def _words_of(two: Column, one: Column) -> list[Column]:
+    """The patterns of the words before a value, null where there is no word."""
+    both = F.when((two != "") & (one != ""), F.concat(F.lower(two), F.lit(" "), F.lower(one)))
+    return [F.when(one != "", F.lower(one)), both]
+
+
+def _places(docs: DataFrame, which: str) -> DataFrame:
+    """(doc_id, key, patterns, start, value) of each label or words at a value."""
+    text = F.col("text")
+    if which == "label":
+        docs, parts = docs.filter(text.rlike(r"[\p{L}_] ?[:=#]")), _groups(_LABEL, 0, 1, 2)
+    elif which == "before":
+        docs, parts = docs.filter(text.rlike("[0-9@]")), _groups(_BEFORE, 0, 1, 2, 3)
+    else:
+        docs, parts = docs.filter(text.rlike("[0-9@]")), _groups(_AFTER, 0, 1, 2)
+    regex = {"label": _LABEL, "before": _BEFORE, "after": _AFTER}[which]
+    docs = docs.select("doc_id", "key", "text", *(p.alias(f"g{n}") for n, p in enumerate(parts))).filter(F.size("g0") > 0)
+    zipped = F.arrays_zip(_positions(text, regex, F.col("g0")).alias("at"), *(F.col(f"g{n}").alias(f"g{n}") for n in range(1, len(parts))))
+    rows = docs.select("doc_id", "key", F.explode(zipped).alias("p")).select("doc_id", "key", "p.*")
+    if which == "label":
+        return rows.select("doc_id", "key", F.array(_label_of(F.col("g1"))).alias("patterns"), (F.col("at.start") + F.length("g1")).alias("start"), F.col("g2").alias("value"))
+    if which == "before":
+        patterns = F.array_compact(F.array(*_words_of(F.col("g1"), F.col("g2"))))
+        return rows.select("doc_id", "key", patterns.alias("patterns"), (F.col("at.end") - F.length("g3")).alias("start"), F.col("g3").alias("value"))
+    return rows.select("doc_id", "key", F.array(F.concat(F.lit(_MARK), F.lower("g2"))).alias("patterns"), F.col("at.start").alias("start"), F.col("g1").alias("value"))
+
+
+def _instance(value: Column) -> tuple[Column, Column]:
+    """(the kind that the value is a seed of, or null; the value as an instance)."""
+    kind, told = F.lit(None).cast("string"), _trimmed(value)
+    for k in reversed(KINDS):
+        seed = F.regexp_extract(value, f"^(?:{PATTERNS[k]})", 0)
+        is_seed = value.rlike(_TRIGGER[k]) & (seed != "") & _holds(k, seed)
+        kind, told = F.when(is_seed, F.lit(k)).otherwise(kind), F.when(is_seed, seed).otherwise(told)
+    return kind, told
+
+
+def _edges(docs: DataFrame) -> DataFrame:
+    """(pattern, value, kind, n) of each pattern and distinct value, written; the places at ordinary words have a null value."""
+    rows = None
+    for which in ("label", "before", "after"):
+        part = _places(docs, which).select(F.explode("patterns").alias("pattern"), F.when(F.col("value").rlike("[0-9@]"), F.col("value")).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    raw = rows.groupBy("pattern", "value").agg(F.count("*").alias("n"))
+    kind, told = _instance(F.col("value"))
+    return written(raw.select("pattern", told.alias("value"), kind.alias("kind"), "n").groupBy("pattern", "value", "kind").agg(F.sum("n").alias("n")), "pii-edges")
+
+
+def _word_places(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(pattern, places): how often the words stand before, or after, any token."""
+    tokens = F.regexp_extract_all("text", F.lit(f"{_INK}++"), F.lit(0))
+    low = docs.select(F.transform(tokens, F.lower).alias("t")).filter(F.size("t") > 1)
+    # the token before each one, the two before it, and the token itself after another
+    told = F.transform(
+        F.sequence(F.lit(1), F.size("t") - 1),
+        lambda i: F.array(
+            F.get("t", i - 1),
+            F.concat(F.get("t", i - 2), F.lit(" "), F.get("t", i - 1)),
+            F.concat(F.lit(_MARK), F.get("t", i)),
+        ),
+    )
+    rows = low.select(F.explode(told).alias("told")).select(F.explode("told").alias("pattern"))
+    return rows.join(words.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
+
+
+def pattern_confidence(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS
+) -> DataFrame:
+    """(pattern, kind, confidence, mass) after ``rounds`` rounds on the graph of the patterns that can reach ``min_confidence``."""
+    docs = _key(documents, id_col, text_col)
+    edges = _edges(docs)
+    # only so many distinct values can add up to min_seeds
+    shown = edges.groupBy("pattern").agg(
+        F.count_if(F.col("value").isNotNull()).alias("values"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("shown"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("ordinary"),
+    )
+    able = written(shown.filter((F.col("values") >= min_seeds) & (F.col("values") >= min_confidence * (F.col("values") + F.col("ordinary")))), "pii-able")
+    is_label = F.col("pattern").rlike("[:=#]$")
+    labels = able.filter(is_label).select("pattern", (F.col("values") + F.col("ordinary")).alias("total"))
+    words = able.filter(~is_label)
+    if words.isEmpty():
+        total = labels
+    else:
+        counted = words.join(_word_places(docs, words), "pattern")
+        total = labels.unionByName(counted.select("pattern", (F.col("values") + F.greatest(F.col("places") - F.col("shown"), F.lit(0))).alias("total")).join(
+            words.select("pattern", "values"), "pattern").filter(F.col("values") >= min_confidence * F.col("total")).select("pattern", "total"))
+    total = written(total, "pii-totals")
+    edges = written(edges.filter("value is not null").join(total.select("pattern"), "pattern", "left_semi"), "pii-graph")
+    seeds = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
+    edges, score, confidence = edges.select("pattern", "value"), seeds, None
     for _ in range(rounds):
         mass = edges.join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        confidence = written(mass.join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("confidence")), "pii-patterns")
+        confidence = written(mass.join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence"), "mass"), "pii-patterns")
         wrong = F.exp(F.sum(F.log1p(F.greatest(-F.col("confidence"), F.lit(-0.999999)))))
         learnt = edges.join(confidence, "pattern").groupBy("value", "kind").agg((1 - wrong).alias("score"))
-        score = learnt.unionByName(seeds.withColumn("score", F.lit(1.0))).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    return confidence.join(seed_counts, ["pattern", "kind"])
+        score = learnt.unionByName(seeds).groupBy("value", "kind").agg(F.max("score").alias("score"))
+    return confidence
+
+
+def _discovered(documents: DataFrame, base: DataFrame, best: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, new): the spans of the values at the patterns of ``best`` that no base match touches."""
+    docs = _key(documents, id_col, text_col)
+    found = None
+    for which in ("label", "before", "after"):
+        part = _places(docs, which).filter(F.col("value").rlike("[0-9@]"))
+        found = part if found is None else found.unionByName(part)
+    found = found.select("doc_id", "key", "start", "value", F.explode("patterns").alias("pattern")).join(best, "pattern")
+    found = written(found.select("doc_id", "key", "start", "value", "kind").distinct(), "pii-found")
+    # base matches and values meet by blocks of the text
+    end = F.col("start") + F.length("value")
+    blocks = F.sequence(F.floor(F.col("start") / _BLOCK), F.floor((end - 1) / _BLOCK))
+    values = found.select("*", end.alias("end"), F.explode(blocks).alias("block"))
+    spans = base.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.explode("base").alias("s")).select("_id", "_key", F.col("s.start").alias("_start"), F.col("s.end").alias("_end"))
+    spans = spans.distinct().select("*", F.explode(F.sequence(F.floor(F.col("_start") / _BLOCK), F.floor((F.col("_end") - 1) / _BLOCK))).alias("_block"))
+    meet = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block")) & (F.col("_start") < F.col("end")) & (F.col("_end") > F.col("start"))
+    cut = values.join(spans, meet, "left").groupBy("doc_id", "key", "start", "value", "kind").agg(F.min("_start").alias("cut"))
+    # groups of digits end before the first base match among them
+    whole = F.col("cut").isNull()
+    later = F.col("cut") > F.col("start") + F.length(F.substring_index("value", " ", 1))
+    short = F.substring(F.col("value"), F.lit(1), F.col("cut") - F.col("start"))
+    value = _trimmed(F.regexp_replace(F.when(whole, F.col("value")).otherwise(short), r"(?: [-./])? $", ""))
+    new = cut.filter(whole | later).select("doc_id", "key", "kind", "start", _shaped(F.col("kind"), value).alias("value")).filter(F.col("value").rlike("[0-9@]"))
+    return new.groupBy("doc_id", "key").agg(F.collect_set(_span(F.col("kind"), F.col("start"), F.col("start") + F.length("value"))).alias("new"))
 
 
 def find_personal_data(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS
 ) -> DataFrame:
-    """(doc_id, base, spans) of every row: arrays of (kind, start, end), base matches and those with the discovered ones."""
-    spans = written(base_spans(documents, id_col=id_col, text_col=text_col), "pii-base")
-    sure = pattern_confidence(spans, min_seeds=min_seeds, rounds=rounds).filter((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds))
+    """(doc_id, base, spans) of every row: arrays of (rank, kind, start, end), base matches and those with the discovered ones."""
+    base = written(base_spans(documents, id_col=id_col, text_col=text_col), "pii-base")
+    sure = pattern_confidence(documents, id_col=id_col, text_col=text_col, min_seeds=min_seeds, min_confidence=min_confidence, rounds=rounds)
+    sure = sure.filter((F.col("confidence") >= min_confidence) & (F.col("mass") >= min_seeds))
     best = written(sure.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")), "pii-best")
-    told = spans.filter(F.size("labels") > 0).select("doc_id", "key", F.explode("labels").alias("o"), *KINDS)
-    told = told.filter(F.col("o.value").rlike("[0-9@]"))
-    for k in KINDS:  # values that no base match touches
-        told = told.filter(~_touched(F.col(k), F.col("o")))
-    new = told.select("doc_id", "key", "o").join(best, F.col("o.pattern") == best.pattern)
-    new = new.select("doc_id", "key", "kind", F.col("o.start").alias("start"), _shaped(F.col("kind"), F.col("o.value")).alias("value"))
-    by_words = best.filter(~F.col("pattern").rlike("[:=#]$"))
-    if not by_words.isEmpty():
-        new = new.unionByName(_placed(spans, _after_words(spans, by_words).filter(F.col("value").rlike("[0-9@]"))))
-    new = new.filter(F.col("value").rlike("[0-9@]"))
-    new = new.groupBy("doc_id", "key").agg(F.collect_set(_span(F.col("kind"), F.col("start"), F.col("start") + F.length("value"))).alias("new"))
-    new = new.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "new")
-    joined = spans.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    base = F.concat(*(_named(k, F.col(k)) for k in KINDS))
-    everything = F.concat(base, F.coalesce("new", F.array().cast("array<struct<rank:int,kind:string,start:int,end:int>>")))
-    return joined.select("doc_id", base.alias("base"), F.sort_array(everything).alias("spans"))
-
-
-def _placed(spans: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, key, kind, start, value) of values known by their token's number."""
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("at", "kind", "value")).alias("found"))
-    rows = spans.select("doc_id", "key", "masked").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    rows = rows.select("doc_id", "key", "found", F.split("masked", _TOKEN, -1).alias("gaps"), F.regexp_extract_all("masked", F.lit(_TOKEN), F.lit(0)).alias("t"))
-
-    def size(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
-
-    def place(f: Column) -> Column:
-        start = size(F.slice("gaps", 1, f["at"] + 1)) + size(F.slice("t", 1, f["at"]))
-        return F.struct(f["kind"].alias("kind"), start.alias("start"), _shaped(f["kind"], f["value"]).alias("value"))
-
-    return rows.select("doc_id", "key", F.explode(F.transform("found", place)).alias("f")).select("doc_id", "key", "f.*")
-
-
-def _span(kind: Column, start: Column, end: Column) -> Column:
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
-    return F.struct(rank.alias("rank"), kind.alias("kind"), start.alias("start"), end.alias("end"))
+    if best.isEmpty():
+        return base.select("doc_id", "base", F.sort_array("base").alias("spans"))
+    new = _discovered(documents, base, best, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "new")
+    joined = base.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    everything = F.concat("base", F.coalesce("new", F.array().cast("array<struct<rank:int,kind:string,start:int,end:int>>")))
+    return joined.select("doc_id", "base", F.sort_array(everything).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

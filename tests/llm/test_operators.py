@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -272,6 +273,46 @@ def test_words_before_seeds_discover_unseen_identifiers(spark):
     assert all(got[i].startswith("phone:") and "," not in got[i] for i, _ in known)
 
 
+def test_discovered_values_vouch_for_further_patterns(spark):
+    rows = [(k, f"tel: +1 (555) 010-00{k:02d}.") for k in range(12)] + [(20 + k, f"tel: 030 55500{k:02d}.") for k in range(3)]
+    rows += [(30 + k, f"cell: 030 55500{k:02d}.") for k in range(3)] + [(40, "cell: 040 7654321."), (41, "fax: 040 7654321.")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), min_confidence=0.6)).collect()}
+    assert got[40] == "phone:6:17" and got[41] == "" and all(got[30 + k] == "phone:6:17" for k in range(3))
+
+
+def test_words_after_seeds_discover_unseen_identifiers(spark):
+    rows = [(k, f"{k}? a{k}@b.c, wrote back and left") for k in range(8)] + [(50, "so ann(at)b2.c wrote"), (51, "the 2 wrotes"), (52, "and wrote")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), min_confidence=0.7)).collect()}
+    assert got[50] == "email:3:14" and got[51] == got[52] == "" and all(got[k] == f"email:3:9" for k in range(8))
+
+
+def test_pattern_scores_equal_those_of_a_plain_graph(spark):
+    rng = random.Random(6)
+    phone = [f"+1 (555) 010-{k:04d}" for k in range(30)]
+    other = [f"x{k}y" for k in range(40)]
+    told = [(rng.choice("abcdef") * 2, rng.choice(phone + other)) for _ in range(300)] + [("zz", "word")] * 3 + [("zz", v) for v in phone[:12]]
+    rows = [(k, f"{p}: {v}.") for k, (p, v) in enumerate(told)]
+    got = {(r.pattern, r.kind): (r.confidence, r.mass) for r in pii.pattern_confidence(spark.createDataFrame(rows, "doc_id long, text string"), min_confidence=0.5).collect()}
+    edges = {p: {v for q, v in told if q == p and v != "word"} for p, _ in told}
+    total = {p: len(v) + 3 * (p == "zz") for p, v in edges.items()}
+    score = {v: 1.0 for v in phone}
+    for _ in range(pii.ROUNDS):
+        mass = {p: sum(score.get(v, 0.0) for v in held) for p, held in edges.items()}
+        sure = {p: m / total[p] for p, m in mass.items()}
+        score = {v: 1.0 if v in phone else 1 - np.prod([1 - c for p, c in sure.items() if v in edges[p]]) for v in phone + other}
+    assert {k: pytest.approx(x, abs=1e-5) for k, x in got.items()} == {(p + ":", "phone"): (sure[p], mass[p]) for p in edges}
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"w{k} 10.0.{k % 256}.{k % 199}" for k in range(40_000))
+    began = time.perf_counter()
+    got = pii.digest(pii.find_personal_data(spark.createDataFrame([(1, text), (2, text[:100])], "doc_id long, text string"))).collect()
+    assert time.perf_counter() - began < 60
+    want = [s for s in brute.spans(text) if s[0] == "ip"]
+    r = next(r for r in got if r.doc_id == 1)
+    assert r.n_ip == len(want) == 40_000 and r.base_sha256 == brute.sha(",".join("%s:%d:%d" % s for s in brute.spans(text)))
+
+
 def test_pii_empty(none):
     assert pii.digest(pii.find_personal_data(none)).count() == 0
 
