@@ -58,12 +58,13 @@ _END = r"(?=[ \t-\r.,;:\])>\"']|\z)"
 _NUMBER = rf"[+(]*+[0-9][0-9().-]*+{_END}(?:(?: [-./])?+ \(?+[0-9][0-9().-]*+{_END})*+"
 _LABEL = rf"(?<![\p{{L}}_])([\p{{L}}_]{{2,}}+ ?+[:=#] ?+)({_NUMBER}|[^ \t-\r:=#]{_INK}*+)"
 _WORD = r"[\p{L}_][\p{L}\p{M}_'-]*+"
-_SHOWN = r"(?=[^ \t-\r0-9@]*+[0-9@])"
-_VALUE = rf"{_SHOWN}(?:{_NUMBER}|{_INK}++)"
-#: One or two words, then a value that holds a digit or an @.
-_BEFORE = rf"(?<!{_INK})(?:({_WORD}){_BLANK}++)?({_WORD}){_BLANK}++({_VALUE})"
-#: Such a value, then a word.
-_AFTER = rf"(?<!{_INK})({_VALUE}){_INK}*+{_BLANK}++({_WORD})(?!{_INK})"
+#: A value that holds a digit or an @.
+_VALUE = rf"(?<!{_INK})(?=[^ \t-\r0-9@]*+[0-9@])(?:{_NUMBER}|{_INK}++)"
+_BACKWARDS = r"([\p{L}\p{M}_'-]*+)(?<=[\p{L}_])(?![^ \t-\r])"
+#: One or two words at the end of a text that is read backwards.
+_LAST = rf"^{_BLANK}++{_BACKWARDS}(?:{_BLANK}++{_BACKWARDS})?"
+#: The word after what is left of a value's token.
+_NEXT = rf"^{_INK}*+{_BLANK}++({_WORD})(?!{_INK})"
 #: Patterns of words after a value begin so.
 _MARK = "~ "
 _TRAILING = r"[.,;:)>\]\"']+$"
@@ -173,39 +174,29 @@ def _span(kind: Column, start: Column, end: Column) -> Column:
 # --- patterns and their instances -------------------------------------------------------------
 
 
-def _groups(pattern: str, *numbers: int) -> list[Column]:
-    return [F.regexp_extract_all("text", F.lit(pattern), F.lit(n)) for n in numbers]
+def _sliced(docs: DataFrame, pattern: str, *, placed: bool) -> DataFrame:
+    """(doc_id, key, value, gap, rest, at) of each match, between the gap and the rest, with what is before the gap if ``placed``."""
+    docs = docs.select("doc_id", "key", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), F.split("text", pattern, -1).alias("gaps")).filter(F.size("found") > 0)
+    gaps, n = F.slice("gaps", 1, F.size("found")), F.size("found")
+    parts = [F.col("found").alias("value"), gaps.alias("gap"), F.slice("gaps", 2, n).alias("rest")]
+    if placed:
+        parts.append(_running(F.zip_with(gaps, "found", lambda g, v: F.length(g) + F.length(v))).alias("at"))
+    return docs.select("doc_id", "key", F.explode(F.arrays_zip(*parts)).alias("p")).select("doc_id", "key", "p.*")
 
 
-def _label_of(label: Column) -> Column:
-    return F.lower(F.regexp_replace(label, " ", ""))
-
-
-def _words_of(two: Column, one: Column) -> list[Column]:
-    """The patterns of the words before a value, null where there is no word."""
-    both = F.when((two != "") & (one != ""), F.concat(F.lower(two), F.lit(" "), F.lower(one)))
-    return [F.when(one != "", F.lower(one)), both]
-
-
-def _places(docs: DataFrame, which: str) -> DataFrame:
-    """(doc_id, key, patterns, start, value) of each label or words at a value."""
-    text = F.col("text")
-    if which == "label":
-        docs, parts = docs.filter(text.rlike(r"[\p{L}_] ?[:=#]")), _groups(_LABEL, 0, 1, 2)
-    elif which == "before":
-        docs, parts = docs.filter(text.rlike("[0-9@]")), _groups(_BEFORE, 0, 1, 2, 3)
-    else:
-        docs, parts = docs.filter(text.rlike("[0-9@]")), _groups(_AFTER, 0, 1, 2)
-    regex = {"label": _LABEL, "before": _BEFORE, "after": _AFTER}[which]
-    docs = docs.select("doc_id", "key", "text", *(p.alias(f"g{n}") for n, p in enumerate(parts))).filter(F.size("g0") > 0)
-    zipped = F.arrays_zip(_positions(text, regex, F.col("g0")).alias("at"), *(F.col(f"g{n}").alias(f"g{n}") for n in range(1, len(parts))))
-    rows = docs.select("doc_id", "key", F.explode(zipped).alias("p")).select("doc_id", "key", "p.*")
-    if which == "label":
-        return rows.select("doc_id", "key", F.array(_label_of(F.col("g1"))).alias("patterns"), (F.col("at.start") + F.length("g1")).alias("start"), F.col("g2").alias("value"))
-    if which == "before":
-        patterns = F.array_compact(F.array(*_words_of(F.col("g1"), F.col("g2"))))
-        return rows.select("doc_id", "key", patterns.alias("patterns"), (F.col("at.end") - F.length("g3")).alias("start"), F.col("g3").alias("value"))
-    return rows.select("doc_id", "key", F.array(F.concat(F.lit(_MARK), F.lower("g2"))).alias("patterns"), F.col("at.start").alias("start"), F.col("g1").alias("value"))
+def _places(docs: DataFrame, *, placed: bool = False) -> DataFrame:
+    """(doc_id, key, patterns, value and, if ``placed``, start) of each value at a label, or at words if it holds a digit or an @."""
+    text, start = F.col("text"), [(F.col("at") + F.length("gap")).alias("start")] * placed
+    words = _sliced(docs.filter(text.rlike("[0-9@]")), _VALUE, placed=placed)
+    back = F.reverse("gap")
+    words = words.select("*", F.lower(F.reverse(F.regexp_extract(back, _LAST, 1))).alias("one"), F.lower(F.reverse(F.regexp_extract(back, _LAST, 2))).alias("two"), F.lower(F.regexp_extract("rest", _NEXT, 1)).alias("next"))
+    one, two, after = (F.when(F.col(c) != "", F.col(c)) for c in ("one", "two", "next"))
+    patterns = F.array_compact(F.array(one, F.concat(two, F.lit(" "), one), F.concat(F.lit(_MARK), after)))
+    words = words.select("doc_id", "key", patterns.alias("patterns"), "value", *start)
+    labels = _sliced(docs.filter(text.rlike(r"[\p{L}_] ?[:=#]")), _LABEL, placed=placed).withColumn("label", F.regexp_extract("value", f"^{_LABEL}", 1))
+    start = [(F.col("at") + F.length("gap") + F.length("label")).alias("start")] * placed
+    name, value = F.lower(F.regexp_replace("label", " ", "")), F.expr("substring(value, length(label) + 1)")
+    return words.unionByName(labels.select("doc_id", "key", F.array(name).alias("patterns"), value.alias("value"), *start))
 
 
 def _instance(value: Column) -> tuple[Column, Column]:
@@ -220,10 +211,8 @@ def _instance(value: Column) -> tuple[Column, Column]:
 
 def _edges(docs: DataFrame) -> DataFrame:
     """(pattern, value, kind, n) of each pattern and distinct value, written; the places at ordinary words have a null value."""
-    rows = None
-    for which in ("label", "before", "after"):
-        part = _places(docs, which).select(F.explode("patterns").alias("pattern"), F.when(F.col("value").rlike("[0-9@]"), F.col("value")).alias("value"))
-        rows = part if rows is None else rows.unionByName(part)
+    shown = F.when(F.col("value").rlike("[0-9@]"), F.col("value")).alias("value")
+    rows = _places(docs).select(F.explode("patterns").alias("pattern"), shown)
     raw = rows.groupBy("pattern", "value").agg(F.count("*").alias("n"))
     kind, told = _instance(F.col("value"))
     return written(raw.select("pattern", told.alias("value"), kind.alias("kind"), "n").groupBy("pattern", "value", "kind").agg(F.sum("n").alias("n")), "pii-edges")
@@ -231,18 +220,15 @@ def _edges(docs: DataFrame) -> DataFrame:
 
 def _word_places(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(pattern, places): how often the words stand before, or after, any token."""
-    tokens = F.regexp_extract_all("text", F.lit(f"{_INK}++"), F.lit(0))
-    low = docs.select(F.transform(tokens, F.lower).alias("t")).filter(F.size("t") > 1)
-    # the token before each one, the two before it, and the token itself after another
-    told = F.transform(
-        F.sequence(F.lit(1), F.size("t") - 1),
-        lambda i: F.array(
-            F.get("t", i - 1),
-            F.concat(F.get("t", i - 2), F.lit(" "), F.get("t", i - 1)),
-            F.concat(F.lit(_MARK), F.get("t", i)),
-        ),
-    )
-    rows = low.select(F.explode(told).alias("told")).select(F.explode("told").alias("pattern"))
+    docs = docs.select(F.array_remove(F.split(F.lower("text"), f"{_BLANK}+"), "").alias("t")).filter(F.size("t") > 1)
+    none, n = F.array(F.lit(None).cast("string")), F.size("t")
+    tokens = F.arrays_zip(F.col("t").alias("word"), F.concat(none, F.slice("t", 1, n - 1)).alias("before"), F.concat(F.slice("t", 2, n - 1), none).alias("after"))
+    tokens = docs.select(F.explode(tokens).alias("p")).select("p.*")
+    tokens = tokens.join(words.select(F.substring_index("pattern", " ", -1).alias("word")).distinct(), "word")
+    before = F.when(F.col("after").isNotNull(), F.array(F.col("word"), F.concat("before", F.lit(" "), "word")))
+    after = F.when(F.col("before").isNotNull(), F.array(F.concat(F.lit(_MARK), "word")))
+    none = F.array().cast("array<string>")
+    rows = tokens.select(F.explode(F.array_compact(F.concat(F.coalesce(before, none), F.coalesce(after, none)))).alias("pattern"))
     return rows.join(words.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
 
 
@@ -266,8 +252,9 @@ def pattern_confidence(
         total = labels
     else:
         counted = words.join(_word_places(docs, words), "pattern")
-        total = labels.unionByName(counted.select("pattern", (F.col("values") + F.greatest(F.col("places") - F.col("shown"), F.lit(0))).alias("total")).join(
-            words.select("pattern", "values"), "pattern").filter(F.col("values") >= min_confidence * F.col("total")).select("pattern", "total"))
+        ordinary = F.greatest(F.col("places") - F.col("shown"), F.lit(0))
+        counted = counted.withColumn("total", F.col("values") + ordinary).filter(F.col("values") >= min_confidence * F.col("total"))
+        total = labels.unionByName(counted.select("pattern", "total"))
     total = written(total, "pii-totals")
     edges = written(edges.filter("value is not null").join(total.select("pattern"), "pattern", "left_semi"), "pii-graph")
     seeds = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
@@ -284,10 +271,7 @@ def pattern_confidence(
 def _discovered(documents: DataFrame, base: DataFrame, best: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, new): the spans of the values at the patterns of ``best`` that no base match touches."""
     docs = _key(documents, id_col, text_col)
-    found = None
-    for which in ("label", "before", "after"):
-        part = _places(docs, which).filter(F.col("value").rlike("[0-9@]"))
-        found = part if found is None else found.unionByName(part)
+    found = _places(docs, placed=True).filter(F.col("value").rlike("[0-9@]"))
     found = found.select("doc_id", "key", "start", "value", F.explode("patterns").alias("pattern")).join(best, "pattern")
     found = written(found.select("doc_id", "key", "start", "value", "kind").distinct(), "pii-found")
     # base matches and values meet by blocks of the text
