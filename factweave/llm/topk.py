@@ -10,10 +10,11 @@ terms at a time, only for candidates that are still competitive (their score so
 far and the bounds left reach the k-th score, equality included, as a smaller id
 wins ties). Shards are merged by Spark.
 
-Queries and candidates meet in blocks: each block of at most ``QUERY_BLOCK``
-queries is dealt to every shard of candidates, joined by shard number, and a task
-holds one pair of blocks and one block's running best. Neither side is collected
-or broadcast.
+Candidates are dealt evenly to shards of at most some ``ROWS_PER_SHARD`` rows and
+queries to groups of ``QUERIES_PER_GROUP``, both packed in blocks; a shard and a
+group are cogrouped once, so a task holds one shard, one group and one block's
+running best, and a fixed set of queries moves data in proportion to the
+candidates. Neither side is collected or broadcast.
 
 Defined results: vectors that are null or hold a null or non-finite component,
 or have no id, take no part; shorter vectors count as padded with zeros; rows with
@@ -37,11 +38,13 @@ from .storage import written
 K = 20
 SCALE = 64
 QUERY_BLOCK = 512
-ROW_BLOCK = 4096
-BLOCKS_PER_SHARD = 16
+QUERIES_PER_GROUP = 4096
+ROW_BLOCK = 2048
+ROWS_PER_SHARD = 8192
 _STEP = 16
 
 BLOCK_SCHEMA = "block long, n int, dim int, ids binary, matrix binary"
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -161,43 +164,50 @@ class Best:
         score = [int(x) for s in self.scores for x in s]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(self.ids, sizes), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *self.names]), pa.int64()), pa.array(score, pa.int64())],
-            names=["query_id", "vec_id", "score"],
+            schema=FOUND,
         )
 
 
 def _searcher(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best = None, None
-        for b in batches:
-            for r in range(b.num_rows):
-                at = lambda name: b.column(b.schema.get_field_index(name))[r].as_py()  # noqa: B023, E731
-                if (here := (at("shard"), at("q_block"))) != now:
-                    if best is not None:
-                        yield best.rows()
-                    now, best = here, Best(*_block(at("q_n"), at("q_dim"), at("q_ids"), at("q_matrix")), k)
-                best.add(*_block(at("n"), at("dim"), at("ids"), at("matrix")))
-        if best is not None:
-            yield best.rows()
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        """The best rows of one shard for one group of queries."""
+        found = []
+        for q in asked.to_batches():
+            for i in range(q.num_rows):
+                best = Best(*_unpacked(q, i), k)
+                for b in rows.to_batches():
+                    for j in range(b.num_rows):
+                        best.add(*_unpacked(b, j))
+                found.append(best.rows())
+        return pa.Table.from_batches(found, FOUND)
 
     return search
 
 
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    return _block(*(batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("n", "dim", "ids", "matrix")))
+
+
+def _dealt(rows: DataFrame, parts: int, block: int, scale: float, name: str, own: str) -> DataFrame:
+    """The rows in blocks, dealt evenly to ``parts`` parts numbered by column ``own``, written."""
+    packed = rows.repartition(parts).mapInArrow(_packer(block, scale), BLOCK_SCHEMA)
+    return written(packed.select(F.shiftright("block", 32).cast("int").alias(own), "n", "dim", "ids", "matrix"), name)
+
+
 def exact_topk(
     queries: DataFrame, rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` best rows but its own, ties to the smaller id."""
     asked = usable(queries, id_col, vector_col).dropDuplicates(["id"])
-    n_rows, n_asked = rows.count(), queries.count()
-    shards = max(1, -(-n_rows // (ROW_BLOCK * BLOCKS_PER_SHARD)))
-    q_blocks = asked.repartition(max(1, -(-n_asked // QUERY_BLOCK))).mapInArrow(_packer(QUERY_BLOCK, scale), BLOCK_SCHEMA)
-    blocks = usable(rows, id_col, vector_col).repartition(max(1, -(-n_rows // ROW_BLOCK))).mapInArrow(_packer(ROW_BLOCK, scale), BLOCK_SCHEMA)
-    blocks = written(blocks.select(F.pmod(F.hash("block"), F.lit(shards)).alias("shard"), "*"), "topk-blocks")
-    q_blocks = q_blocks.select(*(F.col(c).alias(f"q_{c}") for c in q_blocks.columns))
-    # each block of queries goes to every shard
-    dealt = written(q_blocks, "topk-queries").withColumn("q_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = dealt.join(blocks.hint("merge"), F.col("q_shard") == F.col("shard")).repartition(max(1, shards * -(-n_asked // QUERY_BLOCK)), "shard", "q_block")
-    pairs = pairs.sortWithinPartitions("shard", "q_block", "block")
-    found = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    shards = max(1, -(-rows.count() // ROWS_PER_SHARD))
+    groups = max(1, -(-queries.count() // QUERIES_PER_GROUP))
+    blocks = _dealt(usable(rows, id_col, vector_col), shards, ROW_BLOCK, scale, "topk-rows", "shard")
+    q_blocks = _dealt(asked, groups, QUERY_BLOCK, scale, "topk-queries", "group")
+    # a shard meets each group once: its blocks move once for each group, a group's once for each shard
+    blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    q_blocks = q_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    keys = ["shard", "group"]
+    found = blocks.groupBy(*keys).cogroup(q_blocks.groupBy(*keys)).applyInArrow(_searcher(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
