@@ -2,10 +2,11 @@
 
 1. Each document gives the 128-bit hashes of its distinct long line keys.
 2. Spark counts documents and the largest id for each hash (map-side combined).
-3. The hashes found often enough are dealt to shards. Each shard is one row: a
-   minimal perfect hash (levels of bit arrays, rank of the bit is the slot) with
-   a fingerprint, a count and a largest-id array.
-4. Documents probe the arrays with their hashes; no line text is ever joined.
+3. All distinct hashes are dealt to shards. Each shard is one row: a minimal
+   perfect hash (levels of bit arrays, rank of the bit is the slot) with a
+   fingerprint, a count and a largest-id array.
+4. Documents probe the arrays with their hashes, and the count they find there
+   tells whether the line repeats; no line text is ever joined.
    Probes go to their shard; hashes that make up over 1/``HOT`` of all probes go
    into one more index, of ``HOT`` keys at most, that every task holds, so a line
    of a third of all documents stays spread over all tasks.
@@ -153,29 +154,29 @@ def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"shard": pdf["shard"].iloc[0], **made}])
 
 
-def _probe_shard(probes: pa.Table, index: pa.Table) -> pa.Table:
-    if not index.num_rows or not probes.num_rows:
-        return probes.select(["doc_id", "h1"]).slice(0, 0)
-    return _dropped(Index(index.drop(["shard"]).to_pylist()[0]), probes)
+def _prober(min_docs: int):
+    def probe(probes: pa.Table, index: pa.Table) -> pa.Table:
+        if not index.num_rows or not probes.num_rows:
+            return probes.select(["doc_id", "h1"]).slice(0, 0)
+        return _dropped(Index(index.drop(["shard"]).to_pylist()[0]), probes, min_docs)
 
+    return probe
 
-def _dropped(index: Index, probes) -> pa.Table:
-    """The probes whose line must go from their document."""
+
+def _dropped(index: Index, probes, min_docs: int) -> pa.Table:
+    """The probes whose line must go from their document: counted often enough, and kept by another one."""
     who, h1, h2 = (np.asarray(probes.column(c)).astype(np.int64) for c in ("doc_id", "h1", "h2"))
     h1, h2 = h1.view(np.uint64), h2.view(np.uint64)
     slot = index.probe(h1, h2)
     goes = slot >= 0
-    goes[goes] = index.largest[slot[goes]] != who[goes]
+    goes[goes] = (index.counts[slot[goes]] >= min_docs) & (index.largest[slot[goes]] != who[goes])
     return pa.table({"doc_id": pa.array(who[goes], pa.int64()), "h1": longs(h1[goes])})
 
 
 def repeated_lines(lines: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, h1) of the line hashes that a document must lose."""
     spark = lines.sparkSession
-    counted = written(
-        lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("largest")).filter(F.col("n") >= min_docs),
-        "line-counts",
-    )
+    counted = written(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("largest")), "line-counts")
     n_keys, n_probes = counted.count(), lines.count()
     # at most HOT keys can each make up 1/HOT of the probes
     hot = counted.filter(F.col("n") > max(n_probes / HOT, 1000)).toPandas()
@@ -187,7 +188,7 @@ def repeated_lines(lines: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
     def hot_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Index(sent.value)
         for b in batches:
-            yield from _dropped(held, b).to_batches()
+            yield from _dropped(held, b, min_docs).to_batches()
 
     def not_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Index(sent.value)
@@ -196,7 +197,7 @@ def repeated_lines(lines: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
             yield b.filter(pa.array(held.probe(h1, h2) < 0))
 
     rest = lines.mapInArrow(not_hot, lines.schema) if len(hot) else lines
-    hits = rest.select("*", _shard_of(shards)).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe_shard, "doc_id long, h1 long")
+    hits = rest.select("*", _shard_of(shards)).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_prober(min_docs), "doc_id long, h1 long")
     if len(hot):
         hits = hits.unionByName(lines.mapInArrow(hot_probe, "doc_id long, h1 long"))
     return hits
