@@ -7,9 +7,9 @@ every chain of ``l`` consecutive segments within ``floor(3 * l / 8)`` differing
 bits: the first two segments agree, the next three differ in one bit at most (so
 two of those three agree), and so on. That gives 24 keys of 32 agreeing bits for
 a fingerprint, whose buckets stay near one row up to billions of fingerprints.
-Candidates of a bucket must hold the chain budgets from their key's start before
-the full Hamming check. Buckets over ``RUN`` rows hand out a spanning forest of
-their links, found by breadth-first search, instead of all pairs; buckets over
+Candidates of a bucket, of whatever size, must hold the chain budgets from their
+key's start, the last of which is the full Hamming check. Buckets over ``RUN`` rows
+hand out a spanning forest of those links, found by breadth-first search, instead of all pairs; buckets over
 ``LARGE`` rows are split by the bits that vary in them first. Connectivity loses
 nothing. Components come from alternating large-star and small-star rounds
 with every round written to the shared folder.
@@ -23,6 +23,7 @@ rows share their group; an empty table gives no rows. Other columns are not read
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -84,14 +85,22 @@ def ring_keys() -> list[tuple[int, tuple[int, ...]]]:
     return out
 
 
-def chains_hold(diff: np.ndarray, start: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """Whether every chain from ``start`` keeps its proportional budget; survivors only go on to the next length."""
-    alive = np.ones(diff.size, bool)
-    total = np.zeros(diff.size, np.int64)
-    for length in range(1, SEGMENTS + 1):
-        shift = ((start + length - 1) % SEGMENTS * 8).astype(np.uint64)
-        total += np.bitwise_count((diff >> shift) & np.uint64(0xFF))
-        alive &= total <= distance * length // SEGMENTS
+@cache
+def chain_masks(distance: int) -> tuple[np.ndarray, list[int]]:
+    """For each start the bits of the longest chain under each budget, and the budgets; shorter chains hold if it does."""
+    budgets = [distance * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
+    longest = {b: n for n, b in enumerate(budgets, 1)}
+    masks = [[sum(0xFF << 8 * ((i + j) % SEGMENTS) for j in range(n)) for n in longest.values()] for i in range(SEGMENTS)]
+    return np.array(masks, np.uint64), list(longest)
+
+
+def chains_hold(diff: np.ndarray, start: np.ndarray | int, distance: int = DISTANCE) -> np.ndarray:
+    """Places where every chain from ``start`` keeps its proportional budget; survivors only go on to longer chains, the last is the full check."""
+    masks, budgets = chain_masks(distance)
+    alive = np.arange(diff.size)
+    for j, budget in enumerate(budgets):
+        mask = masks[start, j] if np.ndim(start) == 0 else masks[start[alive], j]
+        alive = alive[np.bitwise_count(diff[alive] & mask) <= budget]
     return alive
 
 
@@ -110,7 +119,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([longs(np.concatenate(out)), longs(np.tile(fp, len(keys)))], names=["bucket", "fp"])
 
 
-def _forest(run: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _forest(run: np.ndarray, start: int, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A spanning forest of the links among the fingerprints of one large bucket."""
     left, right = [], []
     rest = run
@@ -118,17 +127,17 @@ def _forest(run: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.n
         front, rest = [rest[0]], rest[1:]
         while front and rest.size:
             f = front.pop()
-            near = np.bitwise_count(rest ^ f) <= distance
-            found = rest[near]
-            if found.size:
+            near = chains_hold(rest ^ f, start, distance)
+            if near.size:
+                found = rest[near]
                 left.append(np.full(found.size, f))
                 right.append(found)
                 front.extend(found)
-                rest = rest[~near]
+                rest = np.delete(rest, near)
     return left, right
 
 
-def _refined(run: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _refined(run: np.ndarray, start: int, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links of one large bucket that connect what its links connect, without comparing all of it with all.
 
     The bits that vary in the bucket are cut into ``distance + 1`` groups; linked fingerprints agree in one of them at
@@ -136,7 +145,7 @@ def _refined(run: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.
     """
     free = np.bitwise_or.reduce(run ^ run[0])
     if run.size <= LARGE or int(np.bitwise_count(free)) <= FEW_BITS:
-        return _forest(run, distance)
+        return _forest(run, start, distance)
     left, right = [], []
     bits = [np.uint64(1 << i) for i in range(64) if int(free) >> i & 1]
     for group in np.array_split(np.array(bits, np.uint64), distance + 1):
@@ -146,13 +155,13 @@ def _refined(run: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         size = np.diff(edge)
         for j in np.flatnonzero(size > RUN):
-            a, b = _refined(part[edge[j] : edge[j + 1]], distance)
+            a, b = _refined(part[edge[j] : edge[j + 1]], start, distance)
             left += a
             right += b
         short = np.repeat((size > 1) & (size <= RUN), size)
         key, part = key[short], part[short]
         for i, j in _same_key(key):
-            near = np.bitwise_count(part[i] ^ part[j]) <= distance
+            near = chains_hold(part[i] ^ part[j], start, distance)
             left.append(part[i][near])
             right.append(part[j][near])
     return left, right
@@ -174,20 +183,17 @@ def _links_of(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarra
     left, right = [], []
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(edge)
+    starts = np.array([i for i, _ in ring_keys()])[(key >> np.uint64(32)).astype(np.int64)]
     for j in np.flatnonzero(size > RUN):
-        a, b = _refined(fp[edge[j] : edge[j + 1]], distance)
+        a, b = _refined(fp[edge[j] : edge[j + 1]], int(starts[edge[j]]), distance)
         left += a
         right += b
     short = np.repeat((size > 1) & (size <= RUN), size)
-    key, fp = key[short], fp[short]
-    starts = np.array([i for i, _ in ring_keys()])
+    key, fp, starts = key[short], fp[short], starts[short]
     for i, j in _same_key(key):
-        a, b = fp[i], fp[j]
-        keep = chains_hold(a ^ b, starts[(key[i] >> np.uint64(32)).astype(np.int64)], distance)
-        a, b = a[keep], b[keep]
-        near = np.bitwise_count(a ^ b) <= distance
-        left.append(a[near])
-        right.append(b[near])
+        near = chains_hold(fp[i] ^ fp[j], starts[i], distance)
+        left.append(fp[i][near])
+        right.append(fp[j][near])
     empty = np.zeros(0, np.uint64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
