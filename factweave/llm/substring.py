@@ -1,19 +1,19 @@
 """Substring dedup by Rabin-Karp hashes of fixed-length word windows.
 
-A rolling polynomial hash of every window of ``window`` consecutive words is
-counted in Spark; every occurrence but the earliest is covered by removal
-intervals, merged to maximal ones.
+A rolling polynomial hash of every window of ``window`` consecutive words that can
+repeat is counted in Spark, which gives the first document of each; every
+occurrence but the earliest is covered by removal intervals, merged to maximal ones.
 
 Only windows that can repeat are sent over the network. Within a window the
 5-word gram with the least hash is its anchor; equal windows have equal anchors
 at equal offsets, so a window whose anchor occurs in one place of one text only is
-unique (lossless). Only the anchors, about one in nine positions, are counted
-first, by text; then the windows over repeated anchors are hashed.
+unique (lossless). Only the anchors, about one in nine positions, are written and
+counted first, by text; then the windows over repeated anchors are hashed.
 
 Copies of a text are settled by the text's 128-bit hash: each window of a copy
 starts earlier in the copy with the smallest id. Among the other documents a batch
 settles its own repeats and sends one occurrence, its earliest, of each window
-hash, so no window hash, however common, meets more rows than there are batches.
+hash. Steps are written and dropped when the next one stands.
 
 Defined results: null or empty text has no words; texts under ``window`` words
 lose none; documents with a null id sort before all others, among themselves by
@@ -32,11 +32,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import NO_ID, ids, longs, mix, texts
-from .storage import written
+from .storage import purge, written
 
 WINDOW = 20
 GRAM = 5
@@ -147,8 +147,7 @@ def _scan_windows(window: int, gram: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.r_[who[~late], np.array([k for k, _ in known], np.int64)], pa.int64()),
-                        # settled rows are dealt by their document
-                        longs(np.r_[key[~late], mix(np.array([k for k, _ in known], np.int64).view(np.uint64))]),
+                        longs(np.r_[key[~late], np.zeros(m, np.uint64)]),
                         pa.array(np.r_[pos[~late], np.zeros(m, np.int64)].astype(np.int32)),
                         pa.array([None] * n + [x for _, x in known], pa.list_(pa.int32())),
                     ],
@@ -160,22 +159,32 @@ def _scan_windows(window: int, gram: int):
 
 def later_windows(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, starts) of the windows of each document (key, text) that also start earlier; one start of -1: all."""
+    spark = docs.sparkSession
     docs = docs.select("key", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     anchors = docs.select("h1", "text").mapInArrow(_scan_anchors(window, gram), "h1 long, anchor long, pos int")
+    anchors = written(anchors, "window-anchors")
     # once in one text, however many copies it has, is not repeated
-    repeated = anchors.groupBy("anchor").agg(*(f(c).alias(f"{n}_{c}") for c in ("h1", "pos") for n, f in (("min", F.min), ("max", F.max))))
+    place = F.xxhash64("h1", "pos")
+    repeated = anchors.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b")
     # written, so that the join below has plain sides and a common anchor can be split
-    repeated = written(repeated.filter("min_h1 < max_h1 or min_pos < max_pos").select(F.col("anchor").alias("k")), "window-repeats")
+    repeated = written(repeated.select(F.col("anchor").alias("k")), "window-repeats")
     spots = anchors.join(repeated, anchors.anchor == repeated.k).groupBy("h1").agg(F.collect_set("pos").alias("spots"))
-    spots = written(spots, "window-anchors")
+    spots = written(spots, "window-spots")
+    purge(spark, anchors)
     texts_once = docs.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     marks = texts_once.join(spots, "h1", "left").filter("spots is not null or first < last").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", "spots")
     marks = written(marks, "window-marks")
+    purge(spark, spots)
     joined = docs.join(marks, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("key", "text", "first", "spots")
-    rows = joined.mapInArrow(_scan_windows(window, gram), "key long, w long, start int, starts array<int>")
-    first = F.min(F.when(F.col("starts").isNull(), F.col("key"))).over(Window.partitionBy("w"))
-    later = rows.withColumn("first", first).filter("starts is not null or key > first")
-    return later.groupBy("key").agg(F.array_union(F.collect_set(F.when(F.col("starts").isNull(), F.col("start"))), F.flatten(F.collect_list("starts"))).alias("starts"))
+    rows = written(joined.mapInArrow(_scan_windows(window, gram), "key long, w long, start int, starts array<int>"), "window-rows")
+    purge(spark, marks)
+    counted = rows.filter("starts is null").select("key", "w", "start")
+    # combined on the map side, and joined back to plain rows, so that a common window can be split
+    firsts = counted.groupBy("w").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last")
+    firsts = written(firsts.select(F.col("w").alias("_w"), "first"), "window-firsts")
+    later = counted.join(firsts, F.col("w") == F.col("_w")).filter("key > first").select("key", F.array("start").alias("starts"))
+    later = later.unionByName(rows.filter("starts is not null").select("key", "starts"))
+    return later.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def removal_intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
