@@ -198,7 +198,11 @@ def test_large_buckets_are_split_without_losing_links(monkeypatch):
     centres = rng.integers(0, 2**32, 60, dtype=np.uint64)
     flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 32, (3000, 3)).astype(np.uint64), axis=1)
     run = np.unique(np.r_[centres[rng.integers(0, 60, 3000)] ^ flips, rng.integers(0, 2**12, 700, dtype=np.uint64)])
-    near = np.bitwise_count(run[:, None] ^ run[None, :]) <= 3
+    diff = (run[:, None] ^ run[None, :]).ravel()
+    near = np.zeros(diff.size, bool)
+    near[simhash.chains_hold(diff, 4)] = True
+    near = near.reshape(run.size, run.size)
+    assert near.sum() < (np.bitwise_count(diff) <= 3).sum()
 
     def roots(a, b):
         root = np.arange(run.size)
@@ -210,13 +214,26 @@ def test_large_buckets_are_split_without_losing_links(monkeypatch):
                 return root
             root = new
 
-    left, right = (np.concatenate(x) for x in simhash._refined(run, 3))
+    left, right = (np.concatenate(x) for x in simhash._refined(run, 4, 3))
     assert (np.bitwise_count(left ^ right) <= 3).all()
     want = roots(*np.nonzero(near))
     assert 10 < np.unique(want).size < run.size
     assert (roots(np.searchsorted(run, left), np.searchsorted(run, right)) == want).all()
 
 
+def test_chains_hold_their_budgets_from_some_start():
+    rng = random.Random(8)
+    diffs = np.array([sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))) for _ in range(3000)], np.uint64)
+    some = np.zeros(diffs.size, bool)
+    for start in range(8):
+        bits = [np.bitwise_count((diffs >> np.uint64(8 * ((start + j) % 8))) & np.uint64(255)).astype(int) for j in range(8)]
+        want = np.all([np.sum(bits[:n], axis=0) <= 3 * n // 8 for n in range(1, 9)], axis=0)
+        assert (simhash.chains_hold(diffs, start) == np.flatnonzero(want)).all()
+        assert (simhash.chains_hold(diffs, np.full(diffs.size, start)) == np.flatnonzero(want)).all()
+        some |= want
+    assert (some == (np.bitwise_count(diffs) <= 3)).all()
+
+
 def test_simhash_empty(none):
     assert simhash.near_groups(none).count() == 0
     with pytest.raises(ValueError):
@@ -329,8 +346,8 @@ def vectors(n, dim, seed):
 
 @pytest.mark.parametrize("block", [16, 4096])
 def test_topk(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "ROW_BLOCK", block)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", max(3, block // 8))
+    for name, size in (("ROW_BLOCK", block), ("ROWS_PER_SHARD", 4 * block), ("QUERY_BLOCK", 3 * block // 16), ("QUERIES_PER_GROUP", block // 2)):
+        monkeypatch.setattr(topk, name, size)
     rows = vectors(300, 40, 8)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(0)).withColumn("v", F.lit(0))
     same(topk.exact_topk(df.filter("vec_id % 20 = 0"), df), brute.topk(rows))
@@ -535,36 +552,81 @@ def items(rows):
     ]
 
 
+def shared_run(a, b):
+    """Length of the longest run of words that both hold."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[k] + 1 if x == y else 0 for k, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
 def test_decontamination(spark, docs, rows):
     bench = spark.createDataFrame(items(rows), "item_id long, text string").withColumn("n_words", F.lit(0))
     want = brute.hits(pairs(rows), items(rows))
     assert sum(x[5] for x in want) >= 5
-    found = decontam.find_matches(docs, bench)
-    same(decontam.digest(found), want)
-    same(decontam.digest(decontam.find_matches(docs, bench, slice_bytes=500)), want)
+    one = decontam.find_matches(docs.coalesce(1), bench)
+    for found in (decontam.find_matches(docs, bench), decontam.find_matches(docs, bench, slice_bytes=500), one):
+        same(decontam.digest(found), want)
+        assert found.columns == ["doc_id", "n_words", "hit_words", "item_ids", "matches"]
     clean = decontam.decontaminate(docs, bench, slice_bytes=500)
-    assert clean.columns == docs.columns
-    assert Counter(r.doc_id for r in clean.collect()) == Counter(x[0] for x in want if not x[5])
+    for clean in (clean, decontam.decontaminate(docs, bench)):
+        assert clean.columns == docs.columns
+        assert Counter(r.doc_id for r in clean.collect()) == Counter(x[0] for x in want if not x[5])
     by_id = {r[0]: r[1] for r in rows}
-    words = {i: brute.ALNUM.findall(brute.low(t or "")) for i, t in items(rows) if i != 10}
-    for r in found.collect():
+    words = {str(i): brute.ALNUM.findall(brute.low(t or "")) for i, t in items(rows) if i not in (None, 10)}
+    longest = Counter()
+    for r in one.collect():
         mine = brute.ALNUM.findall(brute.low(by_id[r.doc_id] or ""))
         for m in r.matches:
-            if m.item_id not in (None, 10):
-                assert mine[m.doc_start : m.doc_start + m.length] == words[m.item_id][m.item_start : m.item_start + m.length]
-        assert r.hit_words == sorted({x for m in r.matches for x in range(m.doc_start, m.doc_start + m.length)})
+            if m.item_id in words:
+                theirs = words[m.item_id]
+                assert mine[m.doc_start : m.doc_start + m.length] == theirs[m.item_start : m.item_start + m.length]
+                longest[m.item_id] = max(longest[m.item_id], m.length)
+        assert {x for m in r.matches for x in range(m.doc_start, m.doc_start + m.length)} <= set(r.hit_words)
+    every = [brute.ALNUM.findall(brute.low(t or "")) for _, t in pairs(rows)]
+    told = {i: max(shared_run(w, d) for d in every if len(d) < 5000 or i == "7") for i, w in words.items() if w}
+    assert dict(longest) == {i: n for i, n in told.items() if n >= min(10, len(words[i]))}
+
+
+def test_decontamination_with_string_ids_and_one_common_phrase(spark):
+    phrase = " ".join(f"p{k}" for k in range(12))
+    bench = [(f"b{k}", f"{phrase} own{k}") for k in range(300)] + [("none", "q " * 12)]
+    rows = [(k, f"x{k} {phrase} y") for k in range(200)] + [(500, "x"), (None, None)]
+    found = decontam.find_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string"))
+    same(decontam.digest(found), brute.hits(rows, bench))
+    assert found.selectExpr("sum(size(matches))").first()[0] <= 300 * found.rdd.getNumPartitions()
 
 
 def test_decontamination_in_runs_of_one_word():
-    index = decontam.TestIndex([(1, b"so " * 500), (2, b"so so"), (3, b"and so so on")], 10)
-    words, found = index.matches([["x", *["so"] * 3000, "y"], [b"and"], []])
-    assert [w.size for w in words] == [0, 0, 0] and found == [[], [], []]
+    index = decontam.TestIndex([("1", b"so " * 500), ("2", b"so so"), ("3", b"and so so on")], 10)
+    words, told, found = index.search([["x", *["so"] * 3000, "y"], [b"and"], []])
+    assert [w.size for w in words] == [0, 0, 0] and found == [[], [], []] and told == [[], [], []]
     docs = [[b"x", *[b"so"] * 3000, b"y"], [b"and"], [], [b"and", b"so", b"so", b"on"]]
-    words, found = index.matches(docs)
+    words, told, found = index.search(docs)
     assert [w.size for w in words] == [3000, 0, 0, 4] and index.touched(docs).tolist() == [True, False, False, True]
-    # one match for each diagonal of at least a window
-    assert sorted(m[3] for m in found[0] if m[0] == 0) == sorted([500] * 2501 + [n for n in range(10, 500) for _ in (0, 1)])
-    assert len([m for m in found[0] if m[0] == 1]) == 2999 and found[3] == [(1, 0, 1, 2), (2, 0, 0, 4)]
+    assert told == [["1", "2"], [], [], ["2", "3"]]
+    # a test suffix that is the rest of one told is not told
+    assert sorted((m[0], m[1], m[3]) for f in found for m in f) == [("1", 0, 500), ("2", 0, 2), ("3", 0, 4)]
+
+
+def test_suffixes_are_searched_in_the_order_of_their_whole_length():
+    rng = random.Random(9)
+    text = [rng.choice((b"a", b"b")) for _ in range(60)]
+    docs = [[rng.choice((b"a", b"b", b"a")) for _ in range(rng.randrange(0, 90))] + [b"z"] * rng.randrange(2) for _ in range(40)]
+    docs += [text[5:40] + [b"z"], [b"c"] + text[20:] + text[:30]]
+    for window in (3, 7):
+        found = decontam.TestIndex([("i", b" ".join(text))], window).search(docs)[2]
+        best = {}
+        for k, matches in enumerate(found):
+            for _, start, at, n in matches:
+                assert docs[k][at : at + n] == text[start : start + n]
+                best[start] = n
+        for start in range(len(text)):
+            n = max(next((n for n in range(len(text) - start, -1, -1) if text[start : start + n] == d[at : at + n]), 0) for d in docs for at in range(len(d)))
+            if n >= window:
+                told = max((best[s] - (start - s) for s in best if s <= start), default=0)
+                assert told == n
 
 
 def test_decontamination_empty(spark, docs, rows, none):
