@@ -12,6 +12,7 @@ from .adapter import ENTRIES_SQL, ORDERS_SQL, table
 from .functions import calendar as C
 from .functions import scalars as S
 from .operators import analytics, companies, evidence, filings, indicators, inventory, merge, metrics, normalize, periods, retrieval
+from .plans.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,8 +36,13 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return normalize.flag_entries(adapter.entries(spark, d))
 
 
-def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    facts = _facts(spark, d)
+def _stored_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The facts as a stored table, for queries that read them more than once; worked out once."""
+    return staged(_facts(spark, d).drop("unique_key", "label", "description", "frame", "source", "pos"), "facts")
+
+
+def _metrics(spark: SparkSession, d: str, facts: DataFrame | None = None) -> DataFrame:
+    facts = _stored_facts(spark, d) if facts is None else facts
     return metrics.base_metrics(facts, periods.active_period_keys(facts))
 
 
@@ -114,7 +120,7 @@ def active_period_keys(spark, d):
 
 @query("SELECT DISTINCT f.cik, accession_number FROM facts f JOIN keys USING (cik, form, fiscal_year, fiscal_period) WHERE accession_number IS NOT NULL", facts=True)
 def active_accessions(spark, d):
-    facts = _facts(spark, d)
+    facts = _stored_facts(spark, d)
     return periods.active_accessions(facts, periods.active_period_keys(facts))
 
 
@@ -123,14 +129,33 @@ def base_metric_mapping(spark, d):
     return _metrics(spark, d).select("cik", "accession_number", "statement_type", "metric_name", _money("value").alias("value"), "fiscal_year", "fiscal_period", F.col("is_active_window").alias("is_active"))
 
 
-@query("SELECT m.cik, metric_name, m.fiscal_year, m.fiscal_period, m.concept, value_raw, form AS form_type, CAST(filed_date AS VARCHAR) AS filed_on FROM metrics m", facts=True)
+_TRACE_SQL = """
+fact_keys AS (
+  SELECT DISTINCT concat_ws('|', cik, concept, fiscal_year, fiscal_period, coalesce(accession_number, '-'), coalesce(CAST(end_date AS VARCHAR), '-')) AS k, taxonomy, concept, value_raw FROM facts
+), stored AS (SELECT accession_number, max(form) AS form_type, max(filed_date) AS filed_on FROM facts WHERE accession_number IS NOT NULL GROUP BY 1
+), traced AS (
+  SELECT m.cik, m.statement_type, m.metric_name, m.fiscal_year, m.fiscal_period, m.accession_number, f.concept, f.value_raw, g.form_type, CAST(g.filed_on AS VARCHAR) AS filed_on
+  FROM metrics m LEFT JOIN fact_keys f ON f.k = concat_ws('|', m.cik, m.concept, m.fiscal_year, m.fiscal_period, coalesce(m.accession_number, '-'), coalesce(CAST(m.end_date AS VARCHAR), '-'))
+  LEFT JOIN stored g ON g.accession_number = m.accession_number
+)"""
+
+
+def _traced(spark, d, join):
+    facts = _stored_facts(spark, d)
+    stored = facts.filter("accession_number is not null").groupBy("accession_number").agg(F.max(F.col("form")).alias("form_type"), F.max("filed_date").alias("filing_date"), F.lit(None).cast("string").alias("document_url"))
+    rows = join(_metrics(spark, d, facts), facts.dropDuplicates(["fact_id"]), stored)
+    return rows.select("cik", "statement_type", "metric_name", "fiscal_year", "fiscal_period", "accession_number", "concept", F.col("fact_value_raw").alias("value_raw"), "form_type", _day("filed_on").alias("filed_on"))
+
+
+@query(f"WITH {_TRACE_SQL} SELECT * FROM traced", facts=True)
 def traceability(spark, d):
-    facts = _facts(spark, d)
-    made = metrics.base_metrics(facts, periods.active_period_keys(facts))
-    sources = facts.filter("accession_number is not null").groupBy("accession_number").agg(F.max(F.col("form")).alias("form_type"), F.max("filed_date").alias("filing_date"), F.lit(None).cast("string").alias("document_url"))
-    unique = facts.dropDuplicates(["fact_id"])
-    rows = metrics.trace(made, unique, sources)
-    return rows.select("cik", "metric_name", "fiscal_year", "fiscal_period", "concept", F.col("fact_value_raw").alias("value_raw"), "form_type", _day("filed_on").alias("filed_on"))
+    return _traced(spark, d, metrics.trace)
+
+
+@query(f"WITH {_TRACE_SQL} SELECT * FROM traced WHERE cik = '0000000001' ORDER BY statement_type, metric_name, fiscal_year DESC, fiscal_period DESC, accession_number DESC LIMIT 8", facts=True)
+def trace_sample(spark, d):
+    """The first eight traced metrics of a company."""
+    return _traced(spark, d, lambda m, f, g: metrics.trace_sample(m.filter("cik = '0000000001'"), f, g))
 
 
 @query("""
@@ -194,10 +219,9 @@ def filings_by_form(spark, d):
     return inventory.filings_by_form(rows)
 
 
-@query("SELECT form_type, count(*) AS n, min(accession_number) AS least, max(accession_number) AS largest FROM filings GROUP BY 1", orders=True)
+@query("SELECT cik, form_type, CAST(row_number() OVER (PARTITION BY cik, form_type ORDER BY filing_date DESC, accession_number DESC) AS INT) AS place, accession_number FROM filings WHERE form_type <> '8-K'", orders=True)
 def accessions_per_form(spark, d):
-    rows = inventory.accessions_per_form(adapter.order_filings(spark, d))
-    return rows.select("form_type", F.size("accessions").cast("long").alias("n"), F.element_at("accessions", 1).alias("least"), F.element_at("accessions", -1).alias("largest"))
+    return inventory.accessions_per_form(adapter.order_filings(spark, d))
 
 
 # --- calendar -----------------------------------------------------------------------------------------
@@ -280,7 +304,8 @@ def partial_update(spark, d):
 SELECT 'facts' AS table_name, count(*) FILTER (CAST(cik AS BIGINT) % 4 = 0) AS n_deleted, count(*) FILTER (CAST(cik AS BIGINT) % 4 <> 0) AS n_left FROM facts
 UNION ALL SELECT 'metrics', count(*) FILTER (CAST(cik AS BIGINT) % 4 = 0), count(*) FILTER (CAST(cik AS BIGINT) % 4 <> 0) FROM metrics""", facts=True)
 def cascade_delete(spark, d):
-    facts, made = _facts(spark, d), _metrics(spark, d)
+    facts = _stored_facts(spark, d)
+    made = staged(_metrics(spark, d, facts), "metrics")
     gone = facts.select("cik").distinct().filter(F.col("cik").cast("long") % 4 == 0)
     left, counts = merge.cascade_delete({"facts": facts, "metrics": made}, gone)
     return counts.join(inventory.table_counts(left).withColumnRenamed("n_rows", "n_left"), "table_name")
@@ -291,7 +316,7 @@ def cascade_delete(spark, d):
 
 @query("SELECT 'facts' AS table_name, count(*) AS n_rows FROM facts UNION ALL SELECT 'metrics', count(*) FROM metrics UNION ALL SELECT 'documents', count(*) FROM documents", facts=True)
 def table_counts(spark, d):
-    return inventory.table_counts({"facts": _facts(spark, d), "metrics": _metrics(spark, d), "documents": table(spark, d, "documents")})
+    return inventory.table_counts({"facts": (facts := _stored_facts(spark, d)), "metrics": _metrics(spark, d, facts), "documents": table(spark, d, "documents")})
 
 
 @query("""
@@ -481,19 +506,19 @@ def lexical_topk(spark, d):
 
 
 @query("""
-WITH q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10)
+WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0)
 SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity([CAST(x AS DOUBLE) FOR x IN e.embedding], [CAST(x AS DOUBLE) FOR x IN q.embedding]), 6) AS score FROM q JOIN embeddings e ON q.vec_id <> e.vec_id
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
 def vector_topk(spark, d):
-    """Ten given queries: the feature is a short list of questions."""
     rows = table(spark, d, "embeddings")
-    return retrieval.vector_topk(rows, rows.orderBy("vec_id").limit(10), id_col="vec_id", vector_col="embedding").select("query_id", "id", "score")
+    return retrieval.vector_topk(rows, rows.filter("vec_id % 20 = 0"), id_col="vec_id", vector_col="embedding").select("query_id", "id", "score")
 
 
-@query("SELECT 'documents' AS evidence_type, count(*) AS n_items, count(*) = 0 AS is_missing FROM documents UNION ALL SELECT 'pages', count(*), count(*) = 0 FROM pages UNION ALL SELECT 'metrics', count(*), count(*) = 0 FROM metrics UNION ALL SELECT 'indicators', 0, true", facts=True)
+@query(f"WITH {_INDICATORS_SQL} SELECT 'documents' AS evidence_type, count(*) AS n_items, count(*) = 0 AS is_missing FROM documents UNION ALL SELECT 'pages', count(*), count(*) = 0 FROM pages UNION ALL SELECT 'metrics', count(*), count(*) = 0 FROM metrics UNION ALL SELECT 'indicators', count(*), count(*) = 0 FROM indicators WHERE skip_reason IS NULL UNION ALL SELECT 'answers', count(*), count(*) = 0 FROM conversations WHERE role = 'nobody'", facts=True)
 def evidence_inventory(spark, d):
-    none = spark.createDataFrame([], "x int")
-    return evidence.inventory({"documents": table(spark, d, "documents"), "pages": table(spark, d, "pages"), "metrics": _metrics(spark, d), "indicators": none})
+    made = staged(_metrics(spark, d), "metrics")
+    answers = table(spark, d, "conversations").filter("role = 'nobody'")
+    return evidence.inventory({"documents": table(spark, d, "documents"), "pages": table(spark, d, "pages"), "metrics": made, "indicators": indicators.calculate(made).filter("skip_reason is null"), "answers": answers})
 
 
 @query("""
@@ -503,3 +528,6 @@ def unsupported_claims(spark, d):
     """Answers cite documents by number; some don't exist."""
     cited = table(spark, d, "conversations").filter("role = 'assistant'").groupBy(F.col("conv_id").alias("claim_id")).agg(F.collect_list(F.col("conv_id") * 7 + F.col("turn")).alias("evidence_ids"))
     return evidence.unsupported_claims(cited, table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id")))
+
+
+from . import catalog_documents  # noqa: E402, F401  registers further queries

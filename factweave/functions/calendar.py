@@ -68,8 +68,10 @@ def next_business_day(day: Column) -> Column:
 
 
 def due_date(form: Column, filed: Column, fiscal_period: Column) -> Column:
-    """A year on for 10-K, three months for 10-Q and six after Q3; other forms NULL."""
+    """A year on for 10-K, three months for 10-Q and six after Q3; another form ends the job, none gives NULL."""
     form = F.upper(form)
+    known = F.when(form.isNull() | form.isin("10-K", "10-Q"), form).otherwise(F.raise_error(F.concat(F.lit("no refresh rule for form "), form)))
+    form = known
     return F.when(form == "10-K", F.add_months(filed, 12)).when((form == "10-Q") & (F.upper(F.coalesce(fiscal_period, F.lit(""))) == "Q3"), F.add_months(filed, 6)).when(form == "10-Q", F.add_months(filed, 3))
 
 

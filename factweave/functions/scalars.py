@@ -75,6 +75,34 @@ def title(x: Column | str) -> Column:
     return F.initcap(F.replace(_col(x), F.lit("_"), F.lit(" ")))
 
 
+def plural(word: str, n: Column | str) -> Column:
+    """The word, with an s unless there is one."""
+    return F.when(_col(n) == 1, F.lit(word)).otherwise(F.lit(f"{word}s"))
+
+
+def deduped(items: Column) -> Column:
+    """Each item once, where it came first."""
+    return F.array_distinct(items)
+
+
+def counted(n: Column | str, word: str) -> Column:
+    """'1 concept', '2 concepts'."""
+    return F.concat(_col(n).cast("string"), F.lit(" "), plural(word, n))
+
+
+def yes_no(x: Column | str, unknown: str = "unknown") -> Column:
+    return F.when(_col(x).isNull(), unknown).when(_col(x), "yes").otherwise("no")
+
+
+def joined(items: Column, limit: int | None = None) -> Column:
+    """All items joined, or the first ones and how many more there are; 'none' without any."""
+    whole = F.when(F.size(items) == 0, "none").otherwise(F.array_join(items, ", "))
+    if limit is None:
+        return whole
+    some = F.concat(F.array_join(F.slice(items, 1, limit), ", "), F.lit(" ... (+"), (F.size(items) - limit).cast("string"), F.lit(" more)"))
+    return F.when(F.size(items) > limit, some).otherwise(whole)
+
+
 def cell(x: Column | str) -> Column:
     """A Markdown cell: one line, no bars, at most 120 characters."""
     text = F.regexp_replace(F.coalesce(_col(x).cast("string"), F.lit("")), r"\r\n|\n|\r", " ")

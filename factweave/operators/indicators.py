@@ -98,6 +98,24 @@ def _formula(i: Indicator) -> Column:
     )
 
 
+def numbered(indicators: DataFrame) -> DataFrame:
+    """With ``batch_pos`` for a merge; keys are unique, so any order does."""
+    return indicators.withColumn("batch_pos", F.col("fiscal_year").cast("long"))
+
+
+def list_indicators(indicators: DataFrame, cik: str, *, names: list[str] | None = None, calculated: bool | None = None) -> DataFrame:
+    rows = indicators.filter(F.col("cik") == cik)
+    if names is not None:
+        rows = rows.filter(F.col("indicator_name").isin(names))
+    if calculated is not None:
+        rows = rows.filter((F.col("calculation_status") == "calculated") == calculated)
+    return rows.orderBy(*listing_order())
+
+
+def listing_order() -> list:
+    return [F.col("indicator_name"), F.desc("fiscal_year"), F.desc("fiscal_period"), F.col("formula_version")]
+
+
 def summary(indicators: DataFrame) -> DataFrame:
     """(indicator_name, period kind, n_calculated, n_skipped)."""
     kind = F.when(F.col("fiscal_period") == "FY", "annual").otherwise("quarterly")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as S
+from .metrics import fact_order, trace_sample
 
 
 def section_of(concept: Column) -> Column:
@@ -65,11 +68,16 @@ def statement_sections(facts: DataFrame) -> DataFrame:
 
 
 def metric_report(metrics: DataFrame) -> DataFrame:
-    """(statement_type, metric_name, n_values, units, periods) of each metric."""
+    """(statement_type, metric_name, n_values, units, periods) of each metric; a period in a set costs one entry."""
     label = S.period_label("fiscal_year", "fiscal_period", F.col("end_date"))
     return metrics.groupBy("statement_type", "metric_name").agg(F.count("*").alias("n_values"), F.array_sort(F.collect_set("unit")).alias("units"), F.array_sort(F.collect_set(label)).alias("periods"))
 
 
+def statement_report(metrics: DataFrame) -> DataFrame:
+    """(statement_type, n_names, n_values) of each statement."""
+    return metrics.groupBy("statement_type").agg(F.count_distinct("metric_name").alias("n_names"), F.count("*").alias("n_values"))
+
+
 def filing_facts(filings: DataFrame, facts: DataFrame) -> DataFrame:
     """(accession_number, taxonomy, concept, unit, n_facts); filings without facts have one row of zero."""
     counts = facts.groupBy("accession_number", "taxonomy", "concept", "unit").agg(F.count("*").alias("n"))
@@ -83,11 +91,41 @@ def period_coverage(facts: DataFrame) -> DataFrame:
     return grouped.select("form", F.size("p").cast("long").alias("n_periods"), F.col("p.label").alias("periods"))
 
 
-def accessions_per_form(filings: DataFrame) -> DataFrame:
-    return filings.groupBy("form_type").agg(F.array_sort(F.collect_set("accession_number")).alias("accessions"))
-
-
-def export_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One header and one file; arrays as JSON. For reports, not for whole tables at scale."""
-    flat = df.select(*(F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
-    flat.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+def accessions_per_form(filings: DataFrame, forms: tuple[str, ...] = schema.SUPPORTED_FORMS) -> DataFrame:
+    """(cik, form_type, place, accession_number): each company's accessions of the report forms, latest first, a row for each."""
+    listed = filings.filter(F.col("form_type").isin(list(forms))).groupBy("cik", "form_type", "accession_number").agg(F.max("filing_date").alias("filing_date"))
+    latest = Window.partitionBy("cik", "form_type").orderBy(F.desc("filing_date"), F.desc("accession_number"))
+    return listed.select("cik", "form_type", F.row_number().over(latest).alias("place"), "accession_number")
+
+
+def fact_summary(facts: DataFrame) -> DataFrame:
+    """(cik, n_facts, n_concepts, latest end_date, sorted flags) of each company."""
+    flags = F.array_sort(F.array_distinct(F.flatten(F.collect_set("quality_flags"))))
+    return facts.groupBy("cik").agg(F.count("*").alias("n_facts"), F.count_distinct("concept").alias("n_concepts"), F.max("end_date").alias("report_date"), flags.alias("flags"))
+
+
+def export_csv(df: DataFrame, path: str, order: list[str | Column]) -> list[str]:
+    """Files that follow one another in the given order, each with a header; arrays as JSON. A folder that can't be
+    written gives a warning, not an error."""
+    flat = df.orderBy(*order).select(*(F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
+    try:
+        flat.write.mode("overwrite").csv(path, header=True)
+    except (PySparkException, Py4JJavaError) as e:
+        if not any(x in str(e) for x in ("IOException", "Mkdirs failed", "AccessControl", "FileAlreadyExists", "ParentNotDirectory", "TASK_WRITE_FAILED")):
+            raise
+        return [f"CSV export skipped for {path.rstrip('/').rsplit('/', 1)[-1]}: {str(e).splitlines()[0]}"]
+    return []
+
+
+def export_tables(companies: DataFrame, filings: DataFrame, facts: DataFrame, metrics: DataFrame, folder: str) -> list[str]:
+    """Four whole tables and a sample of traced metrics below a folder; the warnings of those that couldn't be written."""
+    metric_order = [F.col("statement_type"), F.col("metric_name"), F.desc("fiscal_year"), F.desc("fiscal_period")]
+    first = companies.orderBy("cik").limit(1).select("cik")
+    jobs = [
+        ("companies", companies, ["cik"]),
+        ("filings", filings, ["form_type", F.desc("filing_date")]),
+        ("raw_xbrl_facts", facts, fact_order()),
+        ("financial_metrics", metrics, metric_order),
+        ("metric_traceability_sample", trace_sample(metrics.join(first, "cik", "left_semi"), facts, filings), metric_order),
+    ]
+    return [w for name, df, order in jobs for w in export_csv(df, f"{folder.rstrip('/')}/{name}.csv", order)]

@@ -1,8 +1,6 @@
-"""Keyed merges and deletes over tables that can't be updated in place.
+"""Keyed merges and deletes as functions of tables; :mod:`..sources.tables` stores what they give.
 
-A merge is a union, one ranking by key and a write of the partitions it touches;
-a key is compared with NULLs equal. Tables are written beside the old one and
-swapped, so a failed write leaves the old table.
+A merge is a union and one ranking by key; a key is compared with NULLs equal.
 """
 
 from __future__ import annotations
@@ -13,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(existing: DataFrame, batch: DataFrame, keys: Iterable[str], *, order: str | None = None, keep_first: Iterable[str] = ()) -> DataFrame:
-    """Rows of both by key: the batch wins, within it the last by ``order``; ``keep_first`` columns stay as they were."""
+def upsert(existing: DataFrame, batch: DataFrame, keys: Iterable[str], *, order: str, keep_first: Iterable[str] = ()) -> DataFrame:
+    """Rows of both by key: the batch wins, within it the last by its column ``order``; ``keep_first`` columns stay as they were."""
     keys, keep = list(keys), list(keep_first)
-    tag = lambda df, n: df.withColumn("_batch", F.lit(n)).withColumn("_seq", F.col(order).cast("long") if order and order in df.columns else F.lit(0).cast("long"))
+    if order not in batch.columns:
+        raise ValueError(f"the batch has no column {order} to tell its last rows by")
+    tag = lambda df, n: df.withColumn("_batch", F.lit(n)).withColumn("_seq", F.col(order).cast("long") if n else F.lit(0).cast("long"))
     rows = tag(existing, 0).unionByName(tag(batch, 1), allowMissingColumns=True)
     newest = Window.partitionBy(*keys).orderBy(F.col("_batch").desc(), F.col("_seq").desc_nulls_last())
     if keep:
@@ -53,19 +53,3 @@ def cascade_delete(tables: dict[str, DataFrame], ciks: DataFrame) -> tuple[dict[
         n = df.join(ciks.select("cik").distinct(), "cik", "left_semi").agg(F.lit(name).alias("table_name"), F.count("*").alias("n_deleted"))
         counts = n if counts is None else counts.unionByName(n)
     return {name: delete_by(df, ciks, ["cik"]) for name, df in tables.items()}, counts
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap the folders; readers see the old or the new one."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fresh, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(fresh)
-    fs.delete(at(old), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    if not fs.rename(at(fresh), at(path)):
-        raise OSError(f"could not replace {path}")
-    fs.delete(at(old), True)

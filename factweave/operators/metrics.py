@@ -33,6 +33,25 @@ def trace(metrics: DataFrame, facts: DataFrame, filings: DataFrame) -> DataFrame
     return metrics.join(f, "raw_fact_id", "left").join(g, "accession_number", "left")
 
 
+def trace_sample(metrics: DataFrame, facts: DataFrame, filings: DataFrame, n: int = 8) -> DataFrame:
+    """The first ``n`` traced metrics in the order of a listing."""
+    return trace(metrics, facts, filings).orderBy(*metric_order()).limit(n)
+
+
+def with_filings(metrics: DataFrame, filings: DataFrame) -> DataFrame:
+    """``metrics`` with the number of their filing, null where it isn't stored, and of their company."""
+    known = filings.select("accession_number", "filing_id").distinct()
+    return metrics.drop("filing_id", "company_id").join(known, "accession_number", "left").withColumn("company_id", F.col("cik").cast("long"))
+
+
+def metric_order() -> list:
+    return [F.col("statement_type"), F.col("metric_name"), F.desc("fiscal_year"), F.desc("fiscal_period"), F.desc("accession_number")]
+
+
+def fact_order() -> list:
+    return [F.col("concept"), F.col("end_date"), F.col("accession_number"), F.col("unit")]
+
+
 def list_metrics(metrics: DataFrame, cik: str, *, statement: str | None = None, names: list[str] | None = None, active: bool | None = True) -> DataFrame:
     rows = metrics.filter(F.col("cik") == cik)
     if statement is not None:
@@ -41,11 +60,11 @@ def list_metrics(metrics: DataFrame, cik: str, *, statement: str | None = None,
         rows = rows.filter(F.col("metric_name").isin(names))
     if active is not None:
         rows = rows.filter(F.col("is_active_window") == active)
-    return rows.orderBy("statement_type", "metric_name", F.desc("fiscal_year"), F.desc("fiscal_period"), F.desc("accession_number"))
+    return rows.orderBy(*metric_order())
 
 
 def list_facts(facts: DataFrame, cik: str, concepts: list[str] | None = None) -> DataFrame:
     rows = facts.filter(F.col("cik") == cik)
     if concepts is not None:
         rows = rows.filter(F.col("concept").isin(concepts))
-    return rows.orderBy("concept", "end_date", "accession_number", "unit")
+    return rows.orderBy(*fact_order())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import scalars as S
+from ..sources.http import TickerNotFound
 
 
 def require(holds: Column, message: str, value: Column) -> Column:
@@ -40,7 +41,7 @@ def resolve_ticker(tickers: DataFrame, ticker: str) -> str:
         raise ValueError("ticker must not be blank")
     row = tickers.filter(F.col("ticker") == ticker.strip().upper()).select("cik").first()
     if row is None:
-        raise LookupError(f"ticker not found: {ticker}")
+        raise TickerNotFound(f"ticker not found: {ticker}")
     return row.cik
 
 
@@ -87,7 +88,11 @@ def flatten_companyfacts(documents: DataFrame, *, taxonomies: Iterable[str] | No
     units = require(F.col("c.units").isNotNull(), "concept without units", F.col("c.units"))
     rows = rows.select("cik", "entity_name", "taxonomy", "concept", "c.label", "c.description", F.size(units).alias("n_units"), F.explode(units).alias("unit", "entries"))
     rows = rows.select(*[c for c in rows.columns if c != "entries"], F.posexplode("entries").alias("pos", "e"))
-    return rows.select(*[c for c in rows.columns if c != "e"], "e.*")
+    rows = rows.select(*[c for c in rows.columns if c != "e"], "e.*")
+    # the text of the value, and what kind of JSON it was
+    kind = F.lower(F.regexp_extract(F.schema_of_variant("val"), "^[A-Z]+", 0))
+    kind = F.when(kind.isin("bigint", "decimal", "double", "float"), "number").when(kind == "void", None).otherwise(kind)
+    return rows.withColumn("value_kind", kind).withColumn("val", F.when(~F.is_variant_null("val"), F.coalesce(F.try_variant_get("val", "$", "string"), F.to_json("val"))))
 
 
 def flag_entries(entries: DataFrame, *, forms: Iterable[str] | None = None) -> DataFrame:
@@ -98,7 +103,7 @@ def flag_entries(entries: DataFrame, *, forms: Iterable[str] | None = None) -> D
     """
     val, start, end, filed = S.optional_text("val"), S.optional_text("start"), S.optional_text("end"), S.optional_text("filed")
     rows = entries.select(
-        *(c for c in ("cik", "entity_name", "taxonomy", "concept", "label", "description", "unit", "pos", "n_units") if c in entries.columns),
+        *(c for c in ("cik", "entity_name", "taxonomy", "concept", "label", "description", "unit", "pos", "n_units", "value_kind") if c in entries.columns),
         F.col("val").alias("value_raw"), S.parse_decimal("val").alias("value"),
         S.parse_date(start).alias("start_date"), S.parse_date(end).alias("end_date"), S.parse_date(filed).alias("filed_date"),
         S.parse_int("fy").alias("fiscal_year"), S.optional_text("fp").alias("fiscal_period"), S.optional_text("form").alias("form"),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 _TOKEN = r"[\p{L}\p{N}]+"
 #: About how many queries of a vector search are broadcast at once.
 QUERY_BLOCK = 10_000
@@ -36,23 +38,73 @@ def sentences(documents: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(id_col).alias("id"), F.posexplode(parts).alias("sentence_no", "sentence"))
 
 
+#: Headings of a filing's parts, as "Item 1A. Risk Factors".
+_HEADING = r"(?i)\bitem\s+([0-9]{1,2}[a-c]?)\s*[.:]"
+
+
+def sections(documents: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_sections, sections): the items that a text has headings for, in order."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_HEADING), F.lit(1)), F.upper)
+    return documents.select(F.col(id_col).alias("id"), F.array_distinct(found).alias("sections")).select("id", F.size("sections").alias("n_sections"), "sections")
+
+
+def sentence_chunks(documents: DataFrame, *, id_col: str, text_col: str, size: int = 512) -> DataFrame:
+    """(id, chunk_no, chunk, n_sentences, section, ...): sentences gathered to pieces; other columns kept as metadata.
+
+    A sentence belongs to the piece in which it begins, if all were strung together and cut each ``size`` characters; so
+    no sentence is cut, and a long one is a piece of its own. ``section`` is the last heading up to the piece's end. An
+    id names one row.
+    """
+    rest = [c for c in documents.columns if c not in (id_col, text_col)]
+    parts = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?<=[.!?])\s+", -1), lambda s: F.trim(s) != "")
+    rows = documents.select(F.col(id_col).alias("id"), *rest, F.posexplode(parts).alias("n", "sentence"))
+    before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.nullif(F.upper(F.regexp_extract("sentence", _HEADING, 1)), F.lit(""))
+    rows = rows.withColumn("_at", F.coalesce(F.sum(F.length("sentence") + 1).over(before), F.lit(0))).withColumn("section", F.last(heading, ignorenulls=True).over(upto))
+    rows = rows.withColumn("_piece", F.floor(F.col("_at") / size))
+    told = rows.groupBy("id", *rest, "_piece").agg(F.array_sort(F.collect_list(F.struct("n", "sentence"))).alias("s"), F.max_by("section", "n").alias("section"))
+    numbered = told.withColumn("chunk_no", F.row_number().over(Window.partitionBy("id").orderBy("_piece")) - 1)
+    return numbered.select("id", "chunk_no", F.array_join(F.col("s.sentence"), " ").alias("chunk"), F.size("s").alias("n_sentences"), "section", *rest)
+
+
+def filing_chunks(texts: DataFrame, filings: DataFrame, companies: DataFrame, *, size: int = 512) -> DataFrame:
+    """Pieces of filing texts (accession_number, text) with ticker, CIK, form, filing date, section, accession and source."""
+    told = texts.join(filings.select("accession_number", "cik", "form_type", "filing_date", "source"), "accession_number", "left")
+    told = told.join(companies.select("cik", "ticker"), "cik", "left").withColumn("id", F.col("accession_number"))
+    return sentence_chunks(told, id_col="id", text_col="text", size=size)
+
+
+def missing_metadata(chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, chunk_no, missing): pieces that lack some of the columns."""
+    absent = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns)))
+    return chunks.select("id", "chunk_no", absent.alias("missing")).filter(F.size("missing") > 0)
+
+
 def chunk_summary(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"), F.max(F.length("chunk")).cast("long").alias("longest"))
 
 
-def term_counts(documents: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf)."""
+def _terms(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     terms = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_TOKEN), F.lit(0)))
-    return documents.select(F.col(id_col).alias("id"), terms.alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return documents.select(F.col(id_col).alias("id"), terms.alias("term"))
+
+
+def term_counts(documents: DataFrame, *, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf), of the ``wanted`` terms if they are given; others are dropped before they are counted."""
+    terms = _terms(documents, id_col, text_col)
+    if wanted is not None:
+        terms = terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def lexical_topk(documents: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): tf-idf over the terms that the queries hold; ties to the smaller id.
 
-    Only postings of query terms are kept, so the join's size follows the queries.
+    Only postings of query terms are kept, worked out once and staged.
     """
-    asked = term_counts(queries, id_col=query_id, text_col=query_text).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    postings = term_counts(documents, id_col=id_col, text_col=text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    asked = staged(term_counts(queries, id_col=query_id, text_col=query_text).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf")), "asked")
+    postings = staged(term_counts(documents, id_col=id_col, text_col=text_col, wanted=asked), "postings")
     n = documents.agg(F.count("*").alias("n_docs"))
     spread = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log(F.lit(1.0) + F.col("n_docs") / F.col("df")).alias("idf"))
     weighted = postings.join(spread, "term").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))

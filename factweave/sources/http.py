@@ -23,6 +23,10 @@ class SourceError(Exception):
     """The source gave no usable answer."""
 
 
+class TickerNotFound(SourceError, LookupError):
+    """The source knows no such ticker."""
+
+
 def decode(body: bytes, encoding: str | None) -> bytes:
     kind = (encoding or "").lower()
     if kind == "gzip":
@@ -82,6 +86,19 @@ def land(spark: SparkSession, documents: list[dict]) -> DataFrame:
     return spark.createDataFrame([(json.dumps(d),) for d in documents], "json string")
 
 
+class SavedClient(Client):
+    """Answers from saved documents {address: bytes} in place of the network."""
+
+    def __init__(self, saved: dict[str, bytes]):
+        super().__init__("saved documents", interval=0)
+        self.saved = saved
+
+    def get(self, url: str, accept: str = "*/*") -> bytes:
+        if url not in self.saved:
+            raise SourceError(f"{url}: not saved")
+        return self.saved[url]
+
+
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole files (also compressed) as (json), one document each."""
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")

@@ -5,6 +5,7 @@ import gzip
 import io
 import json
 import urllib.error
+import zlib
 from collections import Counter
 from decimal import Decimal
 
@@ -17,8 +18,8 @@ from factweave import catalog, schema
 from factweave.functions import calendar as C
 from factweave.functions import scalars as S
 from factweave.operators import analytics, evidence, filings, indicators, inventory, merge, metrics, normalize, periods, retrieval
-from factweave.plans import ingest, report
-from factweave.sources import files, http
+from factweave.plans import company, ingest, report
+from factweave.sources import files, http, tables
 from factweave.sources import settings as conf
 from factweave.streaming import facts as stream
 
@@ -33,7 +34,7 @@ YEAR = entry(1000, 2025, "FY", "10-K", "0000000042-25-000003", "2024-10-01", "20
 FACTS = {
     "cik": 42, "entityName": "Example Corp",
     "facts": {"us-gaap": {
-        "Revenues": {"label": "Revenue", "description": None, "units": {"USD": [YEAR, YEAR, entry("391035000000.01", 2025, "Q3", "10-Q", "0000000042-25-000002", "2025-04-01", "2025-06-28", "2025-07-31"), entry(5, 2025, "Q1", "8-K", "0000000042-25-000001", "2025-01-01", "2025-03-29")]}},
+        "Revenues": {"label": "Revenue", "description": None, "units": {"USD": [YEAR, YEAR, entry("77120450000.25", 2025, "Q3", "10-Q", "0000000042-25-000002", "2025-04-01", "2025-06-28", "2025-07-31"), entry(5, 2025, "Q1", "8-K", "0000000042-25-000001", "2025-01-01", "2025-03-29")]}},
         "Assets": {"label": "Assets", "description": None, "units": {"USD": [entry(7, 2025, "FY", "10-K", "0000000042-25-000003", None, "2025-09-27")], "EUR": [entry(6, 2025, "FY", "10-K", "0000000042-25-000003", None, "2025-09-27")]}},
     }},
 }
@@ -60,7 +61,7 @@ def test_golden_document(docs):
         ("Assets", "USD", "10-K", ("ambiguous_unit",)): 1, ("Assets", "EUR", "10-K", ("ambiguous_unit",)): 1,
     }
     assert len({r.unique_key for r in rows}) == 5 and {r.cik for r in rows} == {"0000000042"}
-    assert {r.value for r in rows if r.form == "10-Q"} == {Decimal("391035000000.0100000000")}
+    assert {r.value for r in rows if r.form == "10-Q"} == {Decimal("77120450000.2500000000")}
 
 
 def test_filters(docs):
@@ -115,7 +116,7 @@ def test_ingest_end_to_end(spark, docs):
     assert (c.name, c.ticker, c.exchange) == ("Example Corp", "EXM", "NYSE")
     assert (c.next_check_date_10k, c.next_check_date_10q) == (dt.date(2026, 10, 30), dt.date(2026, 1, 30))
     m = first.metrics.collect()[0]
-    assert (m.metric_name, m.fiscal_year, m.fiscal_period, m.value) == ("revenue", 2025, "Q3", Decimal("391035000000.0100000000"))
+    assert (m.metric_name, m.fiscal_year, m.fiscal_period, m.value) == ("revenue", 2025, "Q3", Decimal("77120450000.2500000000"))
     tables = {n: getattr(first, n).cache() for n in ("facts", "filings", "metrics", "companies")}
     assert not ingest.needs_refresh(tables, "exm", "2026-01-29") and ingest.needs_refresh(tables, "42", "2026-01-30") and ingest.needs_refresh(tables, "zzz", "2026-01-29")
     again = ingest.ingest(docs(FACTS), docs(SUBMISSIONS), docs(TICKERS), tables, "2026-02-02")
@@ -124,7 +125,10 @@ def test_ingest_end_to_end(spark, docs):
     c2 = again.companies.collect()[0]
     assert c2.next_check_date_10q == dt.date(2026, 2, 3) and c2.next_check_date_10k == c.next_check_date_10k and c2.created_at == c.created_at
     text = report.ingestion_report(first.facts, first.metrics, first.filings)
-    assert "Income statement  1" in text and "revenue" in text and "FY2025 Q3" in text
+    for line in ("- Income statement: 1 concept, 3 stored facts", "  - us-gaap:Assets: 2 facts; units: EUR, USD; periods: FY2025", "- Income Statement: 1 metric name, 1 metric value", "- 10-Q XBRL quarterly periods in storage: 1 fiscal quarter: FY2025 Q3"):
+        assert line in text.splitlines()
+    assert "(4 stored XBRL facts, periods: FY2025): file: not downloaded; concepts: us-gaap:Assets [EUR] (1 fact), us-gaap:Assets [USD] (1 fact), us-gaap:Revenues [USD] (1 fact)" not in text
+    assert "- 10-K 2025-10-31 0000000042-25-000003 (3 stored XBRL facts, periods: FY2025): file: not downloaded; concepts: us-gaap:Assets [EUR] (1 fact), us-gaap:Assets [USD] (1 fact), us-gaap:Revenues [USD] (1 fact)" in text
     assert report.markdown_table(inventory.table_counts({"a|b": first.facts}))[2] == "| a/b | 5 |"
     assert ingest.health() == {"status": "ok"}
 
@@ -172,7 +176,9 @@ def test_golden_business_days(spark):
     assert one(spark, C.next_business_day(day("2026-12-25"))) == dt.date(2026, 12, 28)
     assert one(spark, C.next_check_date(F.lit("10-K"), day("2025-07-03"), F.lit("FY"))) == dt.date(2026, 7, 2)
     assert one(spark, C.next_check_date(F.lit("10-Q"), day("2025-12-25"), F.lit("Q1"))) == dt.date(2026, 3, 25)
-    assert one(spark, C.next_check_date(F.lit("8-K"), day("2025-12-25"), F.lit("Q1"))) is None
+    assert one(spark, C.next_check_date(F.lit(None).cast("string"), day("2025-12-25"), F.lit("Q1"))) is None
+    with pytest.raises(Exception, match="no refresh rule"):
+        one(spark, C.next_check_date(F.lit("8-K"), day("2025-12-25"), F.lit("Q1")))
     assert one(spark, C.is_business_day(day("2021-12-31"))) is False
 
 
@@ -194,22 +200,58 @@ def test_merge(spark, tmp_path):
     new = spark.createDataFrame([(2, "c", "new", 1), (2, "d", "newer", 2), (3, "e", "z", 1), (None, "m", "q", 1)], "k int, v string, kept string, s int")
     got = {r.k: (r.v, r.kept) for r in merge.upsert(old, new, ["k"], order="s", keep_first=["kept"]).collect()}
     assert got == {1: ("a", "x"), 2: ("d", None), 3: ("e", "z"), None: ("m", "y")}
-    path = str(tmp_path / "t")
-    merge.replace_table(old, path)
-    merge.replace_table(spark.read.parquet(path).filter("k = 1"), path)
-    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(ValueError, match="no column"):
+        merge.upsert(old, new, ["k"], order="pos")
     left, counts = merge.cascade_delete({"a": old.withColumn("cik", F.col("v"))}, spark.createDataFrame([("a",), ("zz",)], "cik string"))
     assert left["a"].count() == 2 and counts.first().n_deleted == 1
 
 
+class Stop(Exception):
+    pass
+
+
+def test_a_stored_table_survives_a_stop_at_any_step(spark, tmp_path, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, n int")
+    for step in ("_publish", "_clean"):
+        table = tables.KeyedTable(spark, str(tmp_path / step), "k int, v string", ["k"], deal_by="k", buckets=4)
+        assert table.read().count() == 0
+        table.merge(rows(*((k, "old", 0) for k in range(20))), order="n")
+        with monkeypatch.context() as m:
+            m.setattr(table, step, lambda *a, **b: (_ for _ in ()).throw(Stop()))
+            with pytest.raises(Stop):
+                table.merge(rows((1, "lost", 2), (1, "new", 3), (1, "late", 1), (50, "more", 1)), order="n")
+        got = dict(map(tuple, table.read().collect()))
+        assert got == {k: "old" for k in range(20)} | ({1: "new", 50: "more"} if step == "_clean" else {})
+        # a manifest that was being written
+        part = tmp_path / step / "manifests" / f"{99:012d}.part"
+        part.write_text("{")
+        table.merge(rows((2, "again", 0)), order="n")
+        table.merge(rows((3, "again", 0)), order="n")
+        got = dict(map(tuple, table.read().collect()))
+        assert got == {k: "old" for k in range(20)} | ({1: "new", 50: "more"} if step == "_clean" else {}) | {2: "again", 3: "again"}
+        assert not part.exists() and len(list((tmp_path / step / "manifests").glob("*.json"))) == 2
+        named = {f for m in table._versions() for f in table._load(m).values()}
+        assert {p.name for p in (tmp_path / step / "data").iterdir()} == named
+    assert table.delete(spark.createDataFrame([(3,), (77,)], "k int")) == 1 and table.read().count() == 20
+
+
+def test_a_change_rewrites_the_buckets_it_touches(spark, tmp_path):
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), "k int, v string", ["k"], deal_by="k", buckets=8)
+    table.put(spark.range(100).selectExpr("cast(id as int) k", "'a' v"), spark.range(100).selectExpr("cast(id as int) k"))
+    before = table._manifest()[1]
+    table.merge(spark.createDataFrame([(5, "b", 1)], "k int, v string, n int"), order="n")
+    after = table._manifest()[1]
+    assert sum(before[b] != after[b] for b in before) == 1 and table.read().filter("v = 'b'").count() == 1 and table.read().count() == 100
+
+
 def test_stream_merges_by_key(spark, docs, tmp_path):
-    table, inbox = str(tmp_path / "facts"), str(tmp_path / "in")
-    batch = normalize.normalize_companyfacts(docs(FACTS)).withColumn("batch_pos", F.col("pos").cast("long")).select(*spark.createDataFrame([], schema.FACTS).columns)
+    table, inbox = stream.fact_table(spark, str(tmp_path / "facts")), str(tmp_path / "in")
+    batch = normalize.normalize_companyfacts(docs(FACTS)).withColumn("batch_pos", F.col("pos").cast("long")).withColumn("created_at", F.lit("2025-11-03").cast("timestamp")).select(*spark.createDataFrame([], schema.FACTS).columns)
     for n in (1, 2):
         batch.withColumn("entity_name", F.lit(f"v{n}")).write.mode("append").parquet(inbox)
         q = stream.merge_stream(stream.fact_stream(spark, inbox), table, str(tmp_path / "ck"))
         q.awaitTermination()
-        got = spark.read.parquet(table)
+        got = table.read()
         assert got.count() == 5 and {r.entity_name for r in got.collect()} == {f"v{n}"}
 
 
@@ -218,7 +260,7 @@ def test_stream_merges_by_key(spark, docs, tmp_path):
 
 def metric(name, fy, fp, value, unit="USD", kind="duration", start="2025-01-01", end="2025-03-31", n=0):
     d = lambda x: None if x is None else dt.date.fromisoformat(x)
-    return (f"{name}{fy}{fp}{n}", "1", f"acc{fy}{fp}", f"raw{n}", "s", name, None if value is None else Decimal(value), None, unit, kind, fy, fp, d(start), d(end), d(end), True)
+    return (f"{name}{fy}{fp}{n}", "1", f"acc{fy}{fp}", f"raw{n}", "s", name, None if value is None else Decimal(value), None, unit, kind, fy, fp, d(start), d(end), d(end), True, None, None, None)
 
 
 def test_indicator_reasons(spark):
@@ -236,7 +278,7 @@ def test_indicator_reasons(spark):
     assert got["free_cash_flow", 2024, "FY"] == (20.0, None) and got["debt_ratio", 2024, "FY"] == (None, "period_type_mismatch")
     traced = out.filter("indicator_name = 'gross_margin' and fiscal_year = 2024 and fiscal_period = 'FY'").first()
     assert traced.source_metric_ids == ["gross_profit2024FY0", "revenue2024FY0"] and traced.source_accession_numbers == ["acc2024FY"] and traced.formula_version == "v1"
-    wrote = merge.upsert(out, out, ["cik", "indicator_name", "period_type", "fiscal_year", "fiscal_period", "formula_version"])
+    wrote = merge.upsert(out, indicators.numbered(out), schema.INDICATOR_KEY, order="batch_pos")
     assert wrote.count() == out.count() == 5 * 8
 
 
@@ -318,6 +360,145 @@ def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
     assert search() == whole and sum(whole.values()) == 5 * asked.count()
 
 
+# --- one company, from its ticker and back -----------------------------------------------------------------
+
+SAVED = {
+    company.TICKERS_URL: json.dumps(TICKERS).encode(), company.SUBMISSIONS_URL.format(cik="0000000042"): json.dumps(SUBMISSIONS).encode(), company.FACTS_URL.format(cik="0000000042"): json.dumps(FACTS).encode(),
+    "https://www.sec.gov/Archives/edgar/data/42/000000004225000003/k.htm": b"<p>k</p>", "https://www.sec.gov/Archives/edgar/data/42/000000004225000002/q.htm": b"<p>q</p>",
+}
+
+
+def never():
+    raise AssertionError("the source was asked")
+
+
+@pytest.fixture
+def stocked(spark, tmp_path):
+    """A warehouse with one ingested company, and its filings folder."""
+    store, base = company.Warehouse(spark, str(tmp_path / "wh"), buckets=4), tmp_path / "filings"
+    return store, base, company.ingest_company(" exm ", store, lambda: http.SavedClient(SAVED), "2025-11-03", filings_dir=base)
+
+
+def test_ingest_company(spark, stocked):
+    store, base, r = stocked
+    assert (r.ticker, r.cik, r.status, r.sec_checked) == ("EXM", "0000000042", "initialized", True)
+    assert (r.normalized_fact_count, r.stored_fact_count, r.stored_filing_count, r.stored_metric_count, r.active_metric_count) == (6, 6, 2, 1, 1)
+    assert r.warnings == tuple(f"Normalized facts include quality flag: {f}" for f in ("ambiguous_unit", "duplicate_fact", "unsupported_form"))
+    assert [f.form_type for f in r.filings] == ["10-Q", "10-K"] and all(p and open(p, "rb").read() for p in r.local_paths)
+    assert store.facts.read().count() == 5 and {x.created_at for x in store.facts.read().collect()} == {dt.datetime(2025, 11, 3)}
+    c = store.companies.read().first()
+    assert (c.name, c.latest_10k_filing_date, c.next_check_date_10k, c.next_check_date_10q, c.company_id) == ("Example Corp", dt.date(2025, 10, 31), dt.date(2026, 10, 30), dt.date(2026, 1, 30), 42)
+    m = store.metrics.read().first()
+    f = store.filings.read().filter(F.col("accession_number") == m.accession_number).first()
+    assert m.filing_id == f.filing_id and m.company_id == 42 and f.is_active_window and f.local_path.endswith("q.htm")
+    text = report.ingestion_report(store.facts.read(), store.metrics.read(), store.filings.read(), r)
+    assert "Run status: initialized" in text and "- Normalized facts include quality flag: duplicate_fact" in text and str(base) in text
+    assert company.route_indicators(store, "0000000042").filter("skip_reason is null").count() == 0 and store.indicators.read().count() == 8
+    assert company.route_metrics(store, "0000000042").count() == 1 and company.route_analytics(store, "0000000042").first().direction == "single_period"
+    assert {x.section for x in company.route_analyze(store, "0000000042").collect()} == {"metrics", "trends", "evidence"}
+    chunks = retrieval.sentence_chunks(spark.createDataFrame([("a", "Revenue grew. Costs fell.")], "acc string, text string"), id_col="acc", text_col="text")
+    asked = company.route_ask(store, chunks, spark.createDataFrame([(1, "revenue"), (2, "nothing")], "query_id int, text string"))
+    assert {(x.query_id, x.id, x.is_weak) for x in asked.collect()} == {(1, "a", False), (2, None, True)}
+
+
+def test_a_company_that_is_not_due_is_told_from_what_is_stored(stocked):
+    store, _, _ = stocked
+    r = company.ingest_company("exm", store, never, "2026-01-29")
+    assert (r.status, r.sec_checked, r.refresh_due_10k, r.refresh_due_10q, r.normalized_fact_count, r.stored_filing_count, r.stored_metric_count) == ("reused_local", False, False, False, 0, 2, 1)
+    assert len(r.filings) == 2 and all(r.local_paths)
+
+
+def test_a_refresh_that_fails_falls_back(stocked):
+    store, _, _ = stocked
+    bad = SAVED | {company.FACTS_URL.format(cik="0000000042"): b'{"cik": 42}'}
+    for client in (lambda: http.SavedClient({}), lambda: http.Client(" "), lambda: http.SavedClient(bad)):
+        r = company.ingest_company("42", store, client, "2026-11-01")
+        assert r.status == "refresh_failed_using_local_data" and r.sec_checked and r.refresh_due_10k and r.refresh_due_10q
+        assert len(r.warnings) == 1 and r.warnings[0].startswith("SEC refresh failed; using existing local data: ")
+    for name, error in (("zzz", http.TickerNotFound), (" ", ValueError)):
+        with pytest.raises(error):
+            company.ingest_company(name, store, lambda: http.SavedClient(SAVED), "2026-11-01")
+
+
+def test_a_due_refresh_without_news_moves_the_dates(stocked):
+    store, base, _ = stocked
+    saved = {k: v for k, v in SAVED.items() if "Archives" not in k}  # copies are used again
+    r = company.ingest_company("EXM", store, lambda: http.SavedClient(saved), "2026-11-02", filings_dir=base)
+    assert (r.status, r.refresh_due_10k, r.refresh_due_10q, r.normalized_fact_count) == ("checked_no_update", True, True, 6)
+    c = store.companies.read().first()
+    assert c.next_check_date_10k == c.next_check_date_10q == dt.date(2026, 11, 3) and c.created_at == dt.datetime(2025, 11, 3) and c.updated_at == dt.datetime(2026, 11, 2)
+
+
+def test_filings_that_leave_the_window_lose_their_copies(stocked):
+    store, base, r = stocked
+    old = dict(zip((f.form_type for f in r.filings), r.local_paths))["10-Q"]
+    later = json.loads(json.dumps(FACTS))
+    for n in range(12):
+        y, q = 2028 + n // 4, n % 4 + 1
+        later["facts"]["us-gaap"]["Revenues"]["units"]["USD"].append(entry(5, y, f"Q{q}", "10-Q", f"n-{n}", f"{y}-01-01", f"{y}-03-31"))
+    saved = SAVED | {company.FACTS_URL.format(cik="0000000042"): json.dumps(later).encode()}
+    r = company.ingest_company("EXM", store, lambda: http.SavedClient(saved), "2031-01-02", filings_dir=base)
+    assert r.warnings[-1].startswith("Active-window accessions missing from SEC recent filings: n-0, n-1, n-10, n-11, n-2 (+7 more)")
+    left = {f.form_type: f.is_active_window for f in store.filings.read().collect()}
+    assert left == {"10-K": True, "10-Q": False} and not open_exists(old) and r.status == "checked_no_update"
+
+
+def open_exists(path):
+    from pathlib import Path
+
+    return Path(path).exists()
+
+
+def test_delete_ingested_company(spark, stocked, tmp_path, monkeypatch):
+    store, base, r = stocked
+    other = spark.createDataFrame([("0000000007", "k")], "cik string, unique_key string")
+    for c in spark.createDataFrame([], schema.FACTS).schema:
+        if c.name not in other.columns:
+            other = other.withColumn(c.name, F.lit(None).cast(c.dataType))
+    store.facts.put(other, other)
+    for name, text in (("tsla", "identifier 'TSLA'"), ("12345", "identifier '12345' (CIK 0000012345)")):
+        gone = company.delete_ingested_company(name, store, filings_dir=base)
+        assert not gone.company_found and gone.message == f"No ingested company found for {text}." and set(gone.deleted.values()) == {0} and gone.paths_deleted == ()
+    gone = company.delete_ingested_company("exm", store, filings_dir=base)
+    assert gone.message == "Deleted ingested company for identifier 'EXM' (CIK 0000000042)." and gone.cik == "0000000042" and gone.paths_skipped == ()
+    assert gone.deleted == {"metrics": 1, "filings": 2, "facts": 5, "companies": 1} and not (base / "0000000042").exists()
+    assert store.facts.read().count() == 1 and store.metrics.read().count() == store.filings.read().count() == store.companies.read().count() == 0
+    assert not company.delete_ingested_company("exm", store).company_found
+    with pytest.raises(ValueError):
+        company.delete_ingested_company(" ", store)
+    # a folder that can't be removed is told
+    company.ingest_company("exm", store, lambda: http.SavedClient(SAVED), "2025-11-03", filings_dir=base)
+    monkeypatch.setattr(files.shutil, "rmtree", lambda path: (_ for _ in ()).throw(PermissionError("locked")))
+    gone = company.delete_ingested_company("42", store, filings_dir=base)
+    assert gone.message == "Deleted ingested company for identifier '42' (CIK 0000000042), but some filing artifacts could not be removed."
+    assert gone.paths_skipped == (str(base / "0000000042"),) and len(gone.paths_deleted) == 2
+
+
+def test_export_tables(spark, stocked, tmp_path):
+    store, _, _ = stocked
+    of = store.of("0000000042")
+    out = tmp_path / "csv"
+    assert inventory.export_tables(of["companies"], of["filings"], of["facts"], of["metrics"], str(out)) == []
+    assert [c.concept for c in spark.read.csv(str(out / "raw_xbrl_facts.csv"), header=True).collect()] == ["Assets", "Assets", "Revenues", "Revenues", "Revenues"]
+    assert spark.read.csv(str(out / "metric_traceability_sample.csv"), header=True).first().document_url.endswith("q.htm")
+    (tmp_path / "file").write_text("")
+    warned = inventory.export_tables(of["companies"], of["filings"].limit(0), of["facts"], of["metrics"], str(tmp_path / "file"))
+    assert len(warned) == 5 and all(w.startswith("CSV export skipped for ") for w in warned)
+
+
+def test_value_kinds(docs):
+    bad = [entry(v, 2025, "FY", "10-K", "a", None, "2025-01-31") for v in (5, "5", 5.5, True, None)]
+    got = normalize.normalize_companyfacts(docs({"cik": "1", "facts": {"us-gaap": {"X": {"units": {"USD": bad}}}}})).orderBy("pos").collect()
+    assert [(r.value_kind, r.value_raw, r.value) for r in got] == [("number", "5", 5), ("string", "5", 5), ("number", "5.5", Decimal("5.5")), ("boolean", "true", None), (None, None, None)]
+
+
+def test_deflated_answers():
+    raw = zlib.compressobj(wbits=-zlib.MAX_WBITS)
+    for body in (zlib.compress(b"x"), raw.compress(b"x") + raw.flush()):
+        assert http.decode(body, "deflate") == b"x"
+    assert http.decode(b"x", None) == b"x"
+
+
 # --- every query against its oracle ---------------------------------------------------------------------
 
 
@@ -326,7 +507,7 @@ def test_query_equals_its_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "customer", "part", "events", "documents", "pages", "embeddings", "benchmark", "conversations"):
+    for t in ("lineitem", "orders", "customer", "part", "events", "documents", "pages", "embeddings", "benchmark", "conversations", "supplier"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.sql(catalog.ORACLES[name])
     got = catalog.QUERIES[name](spark, SF)
