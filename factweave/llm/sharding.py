@@ -33,7 +33,7 @@ from .storage import shared_dir, written
 
 SHARDS = 8
 SEED = 20_240_229
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: A bucket of over so many times ``bucket_bytes`` has its copies of one record scattered by copy.
 HEAVY = 4
 COPIES = 10_000
