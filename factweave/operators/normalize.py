@@ -129,7 +129,9 @@ def flag_entries(entries: DataFrame, *, forms: Iterable[str] | None = None) -> D
     }
     flags = F.array_compact(F.array(*(F.when(rules[f], F.lit(f)) for f in schema.FLAGS)))
     rows = rows.withColumn("quality_flags", flags).drop("_bad_date", "_no_value", "n_units")
-    key = F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in schema.IDENTITY)))
+    # each part with its length, so that no two facts share a key; "-" stands for NULL
+    part = lambda c: F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-"))
+    key = F.concat(*(part(F.col(c).cast("string")) for c in schema.IDENTITY))
     return rows.withColumn("unique_key", key).withColumn("fact_id", F.sha2("unique_key", 256)).withColumn("source", F.lit("companyfacts"))
 
 
