@@ -1,23 +1,27 @@
 """Quality classifier by co-training of two views.
 
-The text view sees which words and punctuation runs a document holds (hashed, the
-most telling ones by chi-square), the metadata view its source, language and
-layout figures (length, lines, share of capitals, punctuation, repeats). For each
-target (low quality, toxic) both views are fitted on labelled rows; over rounds
-each hands the unlabelled documents it is sure of, by its calibrated probability,
-to the other; at the end the views, calibrated on rows that neither was fitted
-on, are combined (their log-odds less the prior's) and score every document.
-
-Bounds: the fit uses at most ``n_labelled`` labelled and ``n_pool`` unlabelled
-documents, those with the least seeded hash of the id, at any corpus size; of
-each class of a target ``RARE`` rows come first, so that rare positives are kept,
-and the log-odds are corrected by the classes' shares of all labelled documents
-(the models' ``shift``). Only
-their feature numbers reach the driver. Every document is scored, from its whole
-text, in one pass without a shuffle.
-
-Defined results: null text counts as empty and is scored; a null source or
-language is a value of its own; labels without id, or null in a target, are not
+The text view sees only the text: which words, word beginnings and punctuation runs
+it holds and in which steps its layout figures lie (hashed, the most telling ones by
+chi-square). The metadata view sees only the page's metadata: language, source and
+length as the table tells them. Metadata is dealt to at most ``CELLS`` cells, so
+this view is fitted on counts. For each target (low quality, toxic) both views are
+fitted on labelled rows. In each round the text view scores every unlabelled
+document and hands those it is sure of, by its calibrated probability, to the
+metadata view, as counts by cell of all of them; the metadata view names the cells
+it is sure of, and a bounded draw of their unlabelled documents goes to the text
+view as labelled rows. At the end the views, calibrated on rows that neither was
+fitted on, are combined (their log-odds less the prior's) and score every document.
+
+Bounds: the fit of the text view uses at most ``n_labelled`` labelled documents,
+those with the least seeded hash of the id, and ``n_pseudo`` pseudo-labelled ones
+of each target and class, at any corpus size; of each class of a target ``RARE``
+labelled rows come first, so that rare positives are kept, and the log-odds are
+corrected by the classes' shares of all labelled documents (the models'
+``shift``). Only the feature numbers of these rows and the counts of cells reach
+the driver. Every document is scored, from its whole text, without a shuffle.
+
+Defined results: null text counts as empty and is scored; a null source, language
+or length is a value of its own; labels without id, or null in a target, are not
 used; of repeated labels for one id the lowest quality and the highest toxicity
 hold; repeated documents score alike, and of rows with one id the fit uses the one
 with the least text; a target with fewer than ``MIN_CLASS``
@@ -35,14 +39,14 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import texts
 from .storage import written
 
 N_LABELLED = 9000
-N_POOL = 3000
+N_PSEUDO = 1000
 #: How many labelled rows of each class of a target are kept before the others are drawn, or an eighth of the bound.
 RARE = 300
 ROUNDS = 2
@@ -51,38 +55,72 @@ SURE = 0.95
 MIN_CLASS = 20
 TARGETS = ("low", "toxic")
 _BITS = 20
-_HASHED = 64
-_STRIP = b".,;:!?\"'()"
+LANGS, SOURCES, LENGTHS = 32, 64, 32
+CELLS = LANGS * SOURCES * LENGTHS
+#: Punctuation that words are told without.
+_QUIET = b".,;:!?\"'()"
 _LETTERS = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum())
 _UPPER = bytes(range(0x41, 0x5B))
 _DIGITS = bytes(range(0x30, 0x3A))
-
-
-def text_features(text: bytes, words: list[bytes]) -> np.ndarray:
-    """Hashed set of the lower-cased words, their beginnings and the punctuation runs."""
-    found = {w.strip(_STRIP) for w in set(words)}
-    found |= {b"\1" + w[:4] for w in found} | {b"\2" + w[:5] for w in found}
-    found.update(b"\0" + p for p in set(text.translate(None, _LETTERS).split()))
-    return np.unique(np.fromiter(map(crc32, found), np.int64, len(found)) & ((1 << _BITS) - 1)).astype(np.int32)
-
-
-def page_features(text: bytes, words: list[bytes], lang: str | None, source: str | None) -> np.ndarray:
-    """Layout figures, then language and source hashed to indicator places."""
-    n, size = max(1, len(words)), max(1, len(text))
-    out = np.zeros(10 + _HASHED, np.float32)
+#: Upper ends of the steps of a share, and of the mean length of words and lines.
+_SHARES = (0.0, 0.01, 0.03, 0.1, 0.25, 0.5, 0.75)
+_LENGTHS = (2.0, 3.0, 4.0, 6.0, 9.0, 15.0, 40.0, 80.0, 200.0, 600.0)
+#: How many words a worker remembers.
+_REMEMBERED = 200_000
+
+
+_MASK = (1 << _BITS) - 1
+
+
+class Features(dict):
+    """Numbers of a word's features by the word, remembered; those of a chosen set only, as places in it, if one is given."""
+
+    def __init__(self, chosen: dict[int, int] | None = None):
+        super().__init__()
+        self.chosen = chosen
+
+    def __missing__(self, token: bytes) -> tuple[int, ...]:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        if token[:1] in (b"\0", b"\3"):  # punctuation or layout
+            kept = (crc32(token) & _MASK,)
+        else:
+            kept = (crc32(token) & _MASK, crc32(b"\1" + token[:4]) & _MASK, crc32(b"\2" + token[:5]) & _MASK)
+        if self.chosen is not None:
+            kept = tuple([self.chosen[n] for n in kept if n in self.chosen])
+        self[token] = kept
+        return kept
+
+    def of(self, text: bytes) -> list[int]:
+        """The features that a text holds, in order."""
+        words = text.lower().translate(None, _QUIET).split()
+        tokens = set(words)
+        tokens.update(b"\0" + p for p in set(text.translate(None, _LETTERS).split()))
+        tokens.update(layout(text, words, len(tokens)))
+        return sorted(set().union(*map(self.__getitem__, tokens)))
+
+
+def layout(text: bytes, words: list[bytes], distinct: int) -> list[bytes]:
+    """A feature for each layout figure: the step it lies in."""
+    size, n = max(1, len(text)), max(1, len(words))
     letters = max(1, size - len(text.translate(None, _LETTERS)))
-    out[:10] = (
-        np.log1p(size), np.log1p(text.count(b"\n")), min(50, (size - n) / n) / 10, len(set(words)) / n, (size - len(text.translate(None, _UPPER))) / letters,
-        (size - letters - n) / size, (size - len(text.translate(None, _DIGITS))) / size, sum(map(eq, words, words[1:])) / n, np.log1p(size / (1 + text.count(b"\n"))), 1.0,
+    shares = (
+        (size - len(text.translate(None, _UPPER))) / letters, (size - len(text.translate(None, _DIGITS))) / size, (size - letters - n) / size,
+        min(1.0, distinct / n), sum(map(eq, words, words[1:])) / n,
     )
-    out[10 + crc32(b"l" + (lang or "\0").encode()) % (_HASHED // 2)] = 1
-    out[10 + _HASHED // 2 + crc32(b"s" + (source or "\0").encode()) % (_HASHED // 2)] = 1
-    return out
+    lengths = ((size - n) / n, size / (1 + text.count(b"\n")))
+    told = [b"\3s%d:%d" % (k, sum(x > e for e in _SHARES)) for k, x in enumerate(shares)]
+    return told + [b"\3l%d:%d" % (k, sum(x > e for e in _LENGTHS)) for k, x in enumerate(lengths)]
 
 
-def both_views(text: bytes, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
-    words = text.split()
-    return text_features(text, text.lower().split()), page_features(text, words, lang, source)
+def cell(documents: DataFrame, *, lang_col: str = "lang", source_col: str = "source", length_col: str = "n_chars") -> Column:
+    """The metadata cell of a document: language and source hashed, the length in steps of a factor of two."""
+    hashed = lambda c, n: F.pmod(F.crc32(F.coalesce(F.col(c), F.lit("\0")).cast("binary")), F.lit(n)).cast("int") if c in documents.columns else F.lit(0)
+    steps = F.lit(0)
+    if length_col in documents.columns:
+        n = F.greatest(F.col(length_col).cast("double"), F.lit(0.0))
+        steps = F.when(F.col(length_col).isNull(), 0).otherwise(F.least(1 + F.floor(F.log2(n + 1)), F.lit(LENGTHS - 1)))
+    return ((hashed(lang_col, LANGS) * SOURCES + hashed(source_col, SOURCES)) * LENGTHS + steps).cast("int")
 
 
 # --- the two views ------------------------------------------------------------------------------
@@ -95,10 +133,16 @@ class Sparse:
     index: np.ndarray
     sizes: np.ndarray
 
+    @staticmethod
+    def of(rows: list[np.ndarray]) -> Sparse:
+        return Sparse(np.concatenate([np.zeros(0, np.int32), *rows]), np.array([r.size for r in rows], np.int64))
+
     def take(self, rows: np.ndarray) -> Sparse:
         ends = np.cumsum(self.sizes)
-        parts = [self.index[ends[r] - self.sizes[r] : ends[r]] for r in rows]
-        return Sparse(np.concatenate([np.zeros(0, np.int32), *parts]), self.sizes[rows])
+        return Sparse.of([self.index[ends[r] - self.sizes[r] : ends[r]] for r in rows])
+
+    def plus(self, other: Sparse) -> Sparse:
+        return Sparse(np.concatenate([self.index, other.index]), np.concatenate([self.sizes, other.sizes]))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(self.sizes.size, dtype=np.int32), self.sizes)
@@ -114,12 +158,13 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def _descend(dim: int, score, back, y: np.ndarray, l2: float, steps: int) -> np.ndarray:
-    """Logistic regression by Adam over full passes; the last weight is the intercept."""
+def _descend(dim: int, score, back, y: np.ndarray, weight: np.ndarray, l2: float, steps: int) -> np.ndarray:
+    """Weighted logistic regression by Adam over full passes; the last weight is the intercept."""
     w, m, v = np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1)
-    w[-1] = _logit(y.mean())
+    weight = weight / weight.sum()
+    w[-1] = _logit(weight @ y)
     for t in range(1, steps + 1):
-        err = (_sigmoid(score(w[:-1]) + w[-1]) - y) / y.size
+        err = (_sigmoid(score(w[:-1]) + w[-1]) - y) * weight
         g = np.append(back(err) + l2 * w[:-1], err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -145,7 +190,7 @@ class TextView:
         kept = place[x.index]
         row = np.repeat(np.arange(rows, dtype=np.int32), x.sizes)[kept >= 0]
         kept = kept[kept >= 0]
-        w = _descend(best.size, lambda w: np.bincount(row, w[kept], rows), lambda e: np.bincount(kept, e[row], best.size), y, 1e-4, 150)
+        w = _descend(best.size, lambda w: np.bincount(row, w[kept], rows), lambda e: np.bincount(kept, e[row], best.size), y, np.ones(rows), 1e-4, 150)
         self.weights = np.zeros(size, np.float32)
         self.weights[best] = w[:-1]
         self.bias = float(w[-1])
@@ -155,25 +200,29 @@ class TextView:
         return x.dot(self.weights) + self.bias
 
 
+def _places(cells: np.ndarray) -> np.ndarray:
+    """The three indicator places of each cell."""
+    return np.column_stack([cells // (SOURCES * LENGTHS), LANGS + cells // LENGTHS % SOURCES, LANGS + SOURCES + cells % LENGTHS])
+
+
 @dataclass
 class PageView:
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-    weights: np.ndarray | None = None
-
-    def _shape(self, x: np.ndarray) -> np.ndarray:
-        """Standardised figures, their squares and the indicators."""
-        z = np.clip((x[:, :9] - self.mean) / self.spread, -6, 6)
-        return np.hstack([z, z * z, x[:, 10:]])
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> PageView:
-        self.mean, self.spread = x[:, :9].mean(0), x[:, :9].std(0) + 1e-6
-        z = self._shape(x)
-        self.weights = _descend(z.shape[1], lambda w: z @ w, lambda e: z.T @ e, y, 1e-4, 200)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(LANGS + SOURCES + LENGTHS))
+    bias: float = 0.0
+
+    def fit(self, counts: dict[int, np.ndarray]) -> PageView:
+        """Of cells and how many documents of class 0 and 1 each holds."""
+        cells = np.array(sorted(counts), np.int64)
+        n = np.array([counts[c] for c in cells.tolist()], float)
+        cells, n = cells[n.sum(axis=1) > 0], n[n.sum(axis=1) > 0]
+        at, dim = _places(cells), self.weights.size
+        back = lambda e: np.bincount(at.ravel(), np.repeat(e, 3), dim)
+        w = _descend(dim, lambda w: w[at].sum(axis=1), back, n[:, 1] / n.sum(axis=1), n.sum(axis=1), 1e-3, 200)
+        self.weights, self.bias = w[:-1], float(w[-1])
         return self
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return self._shape(x) @ self.weights[:-1] + self.weights[-1]
+    def logit(self, cells: np.ndarray) -> np.ndarray:
+        return self.weights[_places(np.asarray(cells, np.int64))].sum(axis=1) + self.bias
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -208,44 +257,83 @@ class Model:
     text_scale: tuple[float, float]
     page_scale: tuple[float, float]
     prior: float
+    base: float
     shift: float = 0.0
 
-    def probability(self, x: Sparse, z: np.ndarray) -> np.ndarray:
-        a = self.text_scale[0] * self.text.logit(x) + self.text_scale[1]
-        b = self.page_scale[0] * self.page.logit(z) + self.page_scale[1]
+    def probability(self, text_logit: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        a = self.text_scale[0] * text_logit + self.text_scale[1]
+        b = self.page_scale[0] * self.page.logit(cells) + self.page_scale[1]
         return _sigmoid(a + b - self.prior + self.shift)
 
+    def sure(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a view's probability is surely that of class 0, and of class 1."""
+        return p <= min(1 - SURE, 0.2 * self.base), p >= SURE
+
+    def sure_by_text(self, text_logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.sure(_sigmoid(self.text_scale[0] * text_logit + self.text_scale[1]))
+
+    def sure_cells(self) -> tuple[np.ndarray, np.ndarray]:
+        zero, one = self.sure(_sigmoid(self.page_scale[0] * self.page.logit(np.arange(CELLS)) + self.page_scale[1]))
+        return np.flatnonzero(zero), np.flatnonzero(one)
+
 
-def co_train(x: Sparse, z: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, totals: tuple[int, int] | None = None) -> Model | None:
-    """Fit both views; ``y`` is 1, 0 or NaN for a row of the unlabelled pool. Every third labelled row of a class is held out.
+def co_train(x: Sparse, cells: np.ndarray, ys: dict[str, np.ndarray], pool, rounds: int = ROUNDS, totals: dict[str, tuple[int, int]] | None = None) -> dict[str, Model | None]:
+    """Fit both views of each target; ``ys`` are 1, 0 or NaN for a row without that label. Every third labelled row of a class is held out.
 
-    ``totals`` are the rows of class 0 and 1 that ``y`` was drawn from, if those are more.
+    ``pool`` stands for the unlabelled documents: ``counts(models)`` gives, for each target, how many of each class the
+    text view is sure of by cell, ``draw(models)`` documents of the cells that the metadata view is sure of as
+    (features, classes). ``totals`` are the rows of class 0 and 1 that ``ys`` were drawn from, if those are more.
     """
-    known = np.flatnonzero(~np.isnan(y))
-    pool = np.flatnonzero(np.isnan(y))
-    classes = [known[y[known] == c] for c in (0, 1)]
-    if any(r.size < MIN_CLASS for r in classes):
-        return None
-    held = np.sort(np.concatenate([r[::3] for r in classes]))
-    fit = np.setdiff1d(known, held)
-    drawn = [r.size / n for r, n in zip(classes, totals or (r.size for r in classes))]
-    shift = float(np.log(drawn[0] / drawn[1]))
-    prior = float(_logit(y[known].mean()))
-    told = {"text": (fit, y[fit]), "page": (fit, y[fit])}
-    for turn in range(rounds + 1):
-        text = TextView().fit(x.take(told["text"][0]), told["text"][1])
-        page = PageView().fit(z[told["page"][0]], told["page"][1])
-        scales = calibrate(text.logit(x.take(held)), y[held]), calibrate(page.logit(z[held]), y[held])
-        if turn == rounds or not pool.size:
-            break
-        sure = {
-            "page": _sigmoid(scales[0][0] * text.logit(x.take(pool)) + scales[0][1]),
-            "text": _sigmoid(scales[1][0] * page.logit(z[pool]) + scales[1][1]),
-        }
-        for taker, p in sure.items():
-            pick = (p >= SURE) | (p <= min(1 - SURE, 0.2 * y[known].mean()))
-            told[taker] = np.concatenate([fit, pool[pick]]), np.concatenate([y[fit], (p[pick] >= 0.5).astype(float)])
-    return Model(text, page, *scales, prior, shift)
+    fits, models = {}, dict.fromkeys(ys)
+    for t, y in ys.items():
+        known = np.flatnonzero(~np.isnan(y))
+        classes = [known[y[known] == c] for c in (0, 1)]
+        if any(r.size < MIN_CLASS for r in classes):
+            continue
+        held = np.sort(np.concatenate([r[::3] for r in classes]))
+        rows = np.setdiff1d(known, held)
+        drawn = [r.size / n for r, n in zip(classes, totals[t] if totals else [r.size for r in classes])]
+        by_cell: dict[int, np.ndarray] = {}
+        for c, v in zip(cells[rows].tolist(), y[rows].astype(int).tolist()):
+            by_cell.setdefault(c, np.zeros(2))[v] += 1
+        fits[t] = rows, held, by_cell, float(np.log(drawn[0] / drawn[1])), float(y[known].mean())
+
+    def made(t: str, more_text: tuple[Sparse, np.ndarray] | None, more_cells: dict[int, np.ndarray]) -> Model:
+        rows, held, by_cell, shift, base = fits[t]
+        y = ys[t]
+        fx, fy = x.take(rows), y[rows]
+        if more_text is not None:
+            fx, fy = fx.plus(more_text[0]), np.concatenate([fy, more_text[1]])
+        text = TextView().fit(fx, fy)
+        page = PageView().fit({c: by_cell.get(c, 0) + np.asarray(more_cells.get(c, (0, 0)), float) for c in {*by_cell, *more_cells}})
+        scales = calibrate(text.logit(x.take(held)), y[held]), calibrate(page.logit(cells[held]), y[held])
+        return Model(text, page, *scales, float(_logit(base)), base, shift)
+
+    models |= {t: made(t, None, {}) for t in fits}
+    for _ in range(rounds if fits else 0):
+        known = {t: models[t] for t in fits}
+        counts, drawn = pool.counts(known), pool.draw(known)
+        models |= {t: made(t, drawn.get(t), counts.get(t, {})) for t in fits}
+    return models
+
+
+class Scorer:
+    """Text logits of documents for several models, by the features that any of them weighs."""
+
+    def __init__(self, models: dict[str, Model | None]):
+        self.models = {t: m for t, m in models.items() if m is not None}
+        weighed = [np.flatnonzero(m.text.weights) for m in self.models.values()]
+        chosen = np.unique(np.concatenate([np.zeros(0, np.int64), *weighed]))
+        self.features = Features({n: k for k, n in enumerate(chosen.tolist())})
+        self.weights = {t: m.text.weights[chosen].astype(float) for t, m in self.models.items()}
+
+    def logits(self, batch: list[bytes]) -> dict[str, np.ndarray]:
+        rows = Sparse.of([np.array(self.features.of(t), np.int32) for t in batch])
+        return {t: rows.dot(self.weights[t]) + m.text.bias for t, m in self.models.items()}
+
+    def probabilities(self, batch: list[bytes], cells: np.ndarray) -> dict[str, np.ndarray]:
+        logits = self.logits(batch)
+        return {t: self.models[t].probability(logits[t], cells) if t in self.models else np.zeros(len(batch)) for t in TARGETS}
 
 
 # --- Spark ----------------------------------------------------------------------------------------
@@ -258,79 +346,134 @@ def labelled_ids(documents: DataFrame, labels: DataFrame, *, id_col: str) -> Dat
     return written(told.join(documents.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "quality-labels")
 
 
-def sample_ids(documents: DataFrame, told: DataFrame, *, id_col: str, n_labelled: int, n_pool: int, seed: int) -> DataFrame:
-    """(id, low, toxic) of the rows to fit on, at most n_labelled + n_pool; unlabelled ones have nulls."""
+def sample_ids(told: DataFrame, *, n_labelled: int, seed: int) -> DataFrame:
+    """(id, low, toxic) of the labelled rows to fit on, at most n_labelled."""
     order = F.xxhash64(F.lit(seed), F.col("_id"))
     known = told.orderBy(order).limit(n_labelled).withColumn("rest", F.lit(1))
     for t in TARGETS:
         for c in (0, 1):  # rows of a frequent class are in the plain draw as well
             known = known.unionByName(told.filter(F.col(t) == c).orderBy(order).limit(min(RARE, n_labelled // 8)).withColumn("rest", F.lit(0)))
-    known = known.groupBy("_id", "low", "toxic").agg(F.min("rest").alias("rest")).orderBy("rest", order).limit(n_labelled)
-    ids = documents.select(F.col(id_col).alias("_id")).filter("_id is not null")
-    pool = ids.join(told.select("_id"), "_id", "left_anti").orderBy(order, "_id").limit(n_pool)
-    none = F.lit(None).cast("int")
-    return known.select("_id", "low", "toxic").unionByName(pool.distinct().select("_id", none.alias("low"), none.alias("toxic")))
+    return known.groupBy("_id", "low", "toxic").agg(F.min("rest").alias("rest")).orderBy("rest", order).limit(n_labelled).drop("rest")
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_labelled: int = N_LABELLED, n_pool: int = N_POOL, rounds: int = ROUNDS, seed: int = 11) -> dict[str, Model | None]:
-    """A model for each target."""
-    told = labelled_ids(documents, labels, id_col=id_col)
-    counts = told.agg(*(F.count_if(F.col(t) == c).alias(f"{t}{c}") for t in TARGETS for c in (0, 1))).first()
-    chosen = sample_ids(documents, told, id_col=id_col, n_labelled=n_labelled, n_pool=n_pool, seed=seed)
-    docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), "lang", "source")
-    rows = docs.join(F.broadcast(chosen), "_id")
+def _told(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, text, cell)."""
+    return documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), cell(documents).alias("cell"))
+
+
+def _features_of(docs: DataFrame, chosen: DataFrame) -> pa.Table:
+    """(_id, x, cell) of the chosen ids (a bounded number), one row for each."""
     # one row for each id, so that a repeated id can't exceed the bound
-    rows = rows.groupBy("_id").agg(F.min(F.struct("text", "lang", "source", "low", "toxic")).alias("r")).select("_id", "r.*")
+    rows = docs.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("text", "cell")).alias("r")).select("_id", "r.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Features()
         for b in batches:
-            views = [both_views(t, lang, src) for t, lang, src in zip(texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([v[0].tobytes() for v in views], pa.binary()), pa.array([v[1].tobytes() for v in views], pa.binary()), b.column(4), b.column(5)],
-                names=["_id", "x", "z", "low", "toxic"],
-            )
-
-    got = rows.mapInArrow(features, "_id long, x binary, z binary, low int, toxic int").toArrow().sort_by("_id")
-    x = Sparse(np.frombuffer(b"".join(v.as_py() for v in got.column("x")), np.int32), pc.binary_length(got.column("x")).to_numpy().astype(np.int64) // 4)
-    z = np.frombuffer(b"".join(got.column("z").to_pylist()), np.float32).reshape(got.num_rows, 10 + _HASHED)
-    got = got.drop(["x", "z"])
-    return {t: co_train(x, z, np.array([np.nan if v is None else float(v) for v in got.column(t).to_pylist()]), rounds, (counts[f"{t}0"], counts[f"{t}1"])) for t in TARGETS}
-
-
-def _scorer(sent):
-    def probabilities(t: list[bytes], lang: list, source: list) -> dict[str, np.ndarray]:
-        views = [both_views(*r) for r in zip(t, lang, source)]
-        x = Sparse(np.concatenate([np.zeros(0, np.int32), *(v[0] for v in views)]), np.array([v[0].size for v in views], np.int64))
-        z = np.array([v[1] for v in views], np.float32).reshape(len(views), 10 + _HASHED)
-        return {k: np.zeros(len(views)) if m is None else m.probability(x, z) for k, m in sent.value.items()}
-
-    return probabilities
+            x = [np.array(known.of(t), np.int32).tobytes() for t in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], names=["_id", "x", "cell"])
+
+    return rows.mapInArrow(features, "_id long, x binary, cell int").toArrow().sort_by("_id")
+
+
+def _sparse(column: pa.ChunkedArray) -> Sparse:
+    return Sparse(np.frombuffer(b"".join(column.to_pylist()), np.int32), pc.binary_length(column).to_numpy().astype(np.int64) // 4)
+
+
+class _Unlabelled:
+    """The documents without a label, as :func:`co_train` asks for them."""
+
+    def __init__(self, docs: DataFrame, told: DataFrame, n_pseudo: int, seed: int):
+        self.docs, self.told, self.n_pseudo, self.seed = docs, told.select("_id"), n_pseudo, seed
+
+    def counts(self, models: dict[str, Model]) -> dict[str, dict[int, np.ndarray]]:
+        sent = self.docs.sparkSession.sparkContext.broadcast(Scorer(models))
+
+        def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _parts(batches):
+                logits = sent.value.logits(texts(b.column(1)))
+                told = []
+                for t in TARGETS:
+                    zero, one = models_sure(sent.value, t, logits)
+                    told.append(np.where(one, 1, np.where(zero, 0, -1)).astype(np.int32))
+                any_ = pa.array((told[0] >= 0) | (told[1] >= 0))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *map(pa.array, told)], names=["_id", "cell", *TARGETS]).filter(any_)
+
+        found = self.docs.mapInArrow(sure, "_id long, cell int, low int, toxic int").join(self.told, "_id", "left_anti")
+        # at most CELLS rows
+        rows = found.groupBy("cell").agg(*(F.count_if(F.col(t) == c).alias(f"{t}{c}") for t in TARGETS for c in (0, 1))).collect()
+        sent.unpersist()
+        return {t: {r.cell: np.array([r[f"{t}0"], r[f"{t}1"]], float) for r in rows} for t in models}
+
+    def draw(self, models: dict[str, Model]) -> dict[str, tuple[Sparse, np.ndarray]]:
+        rows = [(int(c), t, k) for t, m in models.items() for k, cells in enumerate(m.sure_cells()) for c in cells]
+        if not rows:
+            return {}
+        # at most two rows for each cell and target
+        cells = F.broadcast(self.docs.sparkSession.createDataFrame(rows, "cell int, target string, class int"))
+        ids = self.docs.select("_id", "cell").filter("_id is not null").join(self.told, "_id", "left_anti").join(cells, "cell").select("_id", "target", "class").distinct()
+        first = Window.partitionBy("target", "class").orderBy(F.xxhash64(F.lit(self.seed), F.col("_id")), "_id")
+        ids = written(ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= self.n_pseudo).drop("n"), "quality-pseudo")
+        got = _features_of(self.docs, ids.select("_id").distinct())
+        place = {i: k for k, i in enumerate(got.column("_id").to_pylist())}
+        x, out = _sparse(got.column("x")), {}
+        for t in models:
+            told = sorted((r._id, r["class"]) for r in ids.filter(F.col("target") == t).collect())
+            if told:
+                out[t] = x.take(np.array([place[i] for i, _ in told])), np.array([c for _, c in told], float)
+        return out
+
+
+def models_sure(scorer: Scorer, target: str, logits: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the text view is sure of class 0 and of class 1; nowhere without a model."""
+    if target in scorer.models:
+        return scorer.models[target].sure_by_text(logits[target])
+    n = next(iter(logits.values())).size
+    return np.zeros(n, bool), np.zeros(n, bool)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for at in range(0, big.num_rows, 500):
+            yield big.slice(at, 500)
+
+
+def fit(
+    documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_labelled: int = N_LABELLED, n_pseudo: int = N_PSEUDO, rounds: int = ROUNDS, seed: int = 11
+) -> dict[str, Model | None]:
+    """A model for each target."""
+    told = labelled_ids(documents, labels, id_col=id_col)
+    counts = told.agg(*(F.count_if(F.col(t) == c).alias(f"{t}{c}") for t in TARGETS for c in (0, 1))).first()
+    chosen = written(sample_ids(told, n_labelled=n_labelled, seed=seed), "quality-sample")
+    docs = _told(documents, id_col, text_col)
+    got = _features_of(docs, chosen.select("_id"))
+    label = {r._id: r for r in chosen.collect()}
+    of = lambda t: np.array([np.nan if label[i][t] is None else float(label[i][t]) for i in got.column("_id").to_pylist()])
+    pool = _Unlabelled(docs, told, n_pseudo, seed)
+    cells = got.column("cell").to_numpy().astype(np.int64)
+    return co_train(_sparse(got.column("x")), cells, {t: of(t) for t in TARGETS}, pool, rounds, {t: (counts[f"{t}0"], counts[f"{t}1"]) for t in TARGETS})
 
 
 def score(documents: DataFrame, models: dict[str, Model | None], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_low, p_toxic, keep) of every row; a document stays if both are below one half."""
-    probabilities = _scorer(documents.sparkSession.sparkContext.broadcast(models))
+    sent = documents.sparkSession.sparkContext.broadcast(Scorer(models))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
-                p = probabilities(texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(p["low"]), pa.array(p["toxic"]), pa.array((p["low"] < 0.5) & (p["toxic"] < 0.5))], names=["doc_id", "p_low", "p_toxic", "keep"])
+        for b in _parts(batches):
+            p = sent.value.probabilities(texts(b.column(1)), b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p["low"]), pa.array(p["toxic"]), pa.array((p["low"] < 0.5) & (p["toxic"] < 0.5))], names=["doc_id", "p_low", "p_toxic", "keep"])
 
-    return documents.select(id_col, text_col, "lang", "source").mapInArrow(scan, "doc_id long, p_low double, p_toxic double, keep boolean")
+    return _told(documents, id_col, text_col).mapInArrow(scan, "doc_id long, p_low double, p_toxic double, keep boolean")
 
 
 def keep_good(documents: DataFrame, models: dict[str, Model | None], *, text_col: str = "text") -> DataFrame:
     """The documents that stay, all their columns kept."""
-    probabilities = _scorer(documents.sparkSession.sparkContext.broadcast(models))
-    at_text, at_lang, at_source = (documents.columns.index(c) for c in (text_col, "lang", "source"))
+    sent = documents.sparkSession.sparkContext.broadcast(Scorer(models))
+    at = documents.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
-                p = probabilities(texts(b.column(at_text)), b.column(at_lang).to_pylist(), b.column(at_source).to_pylist())
-                yield b.filter(pa.array((p["low"] < 0.5) & (p["toxic"] < 0.5)))
+        for b in _parts(batches):
+            last = b.num_columns - 1
+            p = sent.value.probabilities(texts(b.column(at)), b.column(last).to_numpy())
+            yield b.select(list(range(last))).filter(pa.array((p["low"] < 0.5) & (p["toxic"] < 0.5)))
 
-    return documents.mapInArrow(scan, documents.schema)
+    return documents.withColumn("_fw_cell", cell(documents)).mapInArrow(scan, documents.schema)

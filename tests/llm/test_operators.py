@@ -468,6 +468,66 @@ def test_quality_keeps_rare_positives(spark):
     assert len(found & set(toxic)) > 20 and len(found - set(toxic)) < 5
 
 
+class PlainPool:
+    """The unlabelled documents as a list of (id, text, cell)."""
+
+    def __init__(self, rows, n, seed=11):
+        self.rows, self.n, self.seed = rows, n, seed
+
+    def counts(self, models):
+        out = {t: {} for t in models}
+        for _, text, cell in self.rows:
+            x = quality.Sparse.of([np.array(quality.Features().of(text.encode()), np.int32)])
+            for t, m in models.items():
+                p = 1 / (1 + np.exp(-(m.text_scale[0] * m.text.logit(x)[0] + m.text_scale[1])))
+                for c, sure in enumerate((p <= min(0.05, 0.2 * m.base), p >= 0.95)):
+                    out[t].setdefault(cell, np.zeros(2))[c] += bool(sure)
+        return out
+
+    def draw(self, models):
+        out = {}
+        for t, m in models.items():
+            told = []
+            for c, cells in enumerate(m.sure_cells()):
+                mine = [(self.order[i], i, x) for i, x, cell in self.rows if cell in set(cells.tolist())]
+                told += [(i, x, c) for _, i, x in sorted(mine)[: self.n]]
+            if told:
+                told.sort(key=lambda r: (r[0], r[2]))
+                out[t] = quality.Sparse.of([np.array(quality.Features().of(x.encode()), np.int32) for _, x, _ in told]), np.array([c for *_, c in told], float)
+        return out
+
+
+def test_quality_equals_a_plain_form(spark):
+    rows, labels = labelled(700)
+    rows = [(i, x, g, "bad" if q == 0 and i % 4 else "spam" if t and i % 3 else s, len(x)) for (i, x, g, s, _), (_, q, t) in zip(rows, labels)]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    told = [x for x in labels if x[0] % 2]
+    models = quality.fit(df, spark.createDataFrame(told, "doc_id long, quality int, toxic int"), n_pseudo=20, rounds=2)
+    cells = {r.doc_id: (r.c, r.o) for r in df.select("doc_id", quality.cell(df).alias("c"), F.xxhash64(F.lit(11), F.col("doc_id")).alias("o")).collect()}
+    pool = PlainPool([(i, x, cells[i][0]) for i, x, *_ in rows if i % 2 == 0], 20)
+    pool.order = {i: o for i, (_, o) in cells.items()}
+    mine = [r for r in rows if r[0] % 2]
+    x = quality.Sparse.of([np.array(quality.Features().of(r[1].encode()), np.int32) for r in mine])
+    ys = {"low": np.array([1.0 - q for _, q, _ in told]), "toxic": np.array([float(t) for *_, t in told])}
+    plain = quality.co_train(x, np.array([cells[r[0]][0] for r in mine]), ys, pool, 2)
+    assert any(c.size for m in plain.values() for c in m.sure_cells())
+    got = {r.doc_id: r for r in quality.score(df, models).collect()}
+    for i, text, *_ in rows:
+        f = quality.Sparse.of([np.array(quality.Features().of(text.encode()), np.int32)])
+        for t, name in (("low", "p_low"), ("toxic", "p_toxic")):
+            assert got[i][name] == pytest.approx(plain[t].probability(plain[t].text.logit(f), np.array([cells[i][0]]))[0], abs=1e-6)
+
+
+def test_metadata_cells(spark):
+    rows = [("en", "a", 0), ("en", "a", 1), ("en", "a", 2), ("en", "b", 2), (None, "a", 2), ("en", "a", None), ("en", "a", 10**12), ("en", "a", -5)]
+    df = spark.createDataFrame(rows, "lang string, source string, n_chars long")
+    got = [r.c for r in df.select(quality.cell(df).alias("c")).collect()]
+    lang, source = lambda x: zlib.crc32((x or "\0").encode()) % 32, lambda x: zlib.crc32((x or "\0").encode()) % 64
+    step = lambda n: 0 if n is None else min(31, 1 + int(np.log2(max(0, n) + 1)))
+    assert got == [(lang(a) * 64 + source(b)) * 32 + step(n) for a, b, n in rows]
+    assert df.select(quality.cell(df.select("lang")).alias("c")).first().c == lang("en") * 64 * 32
+
+
 def test_quality_without_examples(spark, docs, rows, none):
     models = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert models == {"low": None, "toxic": None} and quality.keep_good(docs, models).count() == len(rows)

@@ -42,14 +42,14 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["op1_chat", "op2_line_dedup", "op5_topk", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op1_chat", "op2_line_dedup", "op5_topk", "op8_substring", "op9_mixing", "op10_decontamination"])
 def test_queries_equal_their_oracles(spark, name):
     import duckdb
 
     from factweave.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.sql(queries.ORACLES[name])
     got = queries.queries()[name](spark, SF).select(*want.columns)
