@@ -468,9 +468,14 @@ def outlier_notes(spark, d):
     return analytics.outliers(_series(spark, d)).select("cik", "series", "kind", "fiscal_year", "fiscal_period", F.round("z", 4).alias("z"))
 
 
-@query("SELECT DISTINCT cik, 'refused' AS benchmark_status, 'no benchmark data' AS reason FROM metrics WHERE is_active", facts=True)
+@query(f"""WITH {_SERIES_SQL}, b AS (SELECT series, fiscal_year, fiscal_period, avg(CAST(value AS DOUBLE)) AS b FROM series WHERE series IN ('revenue', 'total_assets') AND fiscal_period = 'FY' AND fiscal_year % 2 = 0 GROUP BY ALL)
+SELECT cik, series, CASE WHEN count(b) = 0 THEN 'refused' ELSE 'compared' END AS benchmark_status, CASE WHEN count(b) = 0 THEN 'no benchmark data' END AS reason, count(b) AS n_compared, count(*) FILTER (CAST(value AS DOUBLE) > b) AS n_above
+FROM series LEFT JOIN b USING (series, fiscal_year, fiscal_period) GROUP BY cik, series""", facts=True)
 def benchmark_status(spark, d):
-    return analytics.benchmark_status(_series(spark, d))
+    """Two series have a benchmark in some years, the mean of all companies; the others are refused."""
+    rows = staged(_series(spark, d).withColumn("value", F.col("value").cast("double")), "series")
+    benchmark = rows.filter("series in ('revenue', 'total_assets') and fiscal_period = 'FY' and fiscal_year % 2 = 0").drop("cik")
+    return analytics.benchmark_status(rows, benchmark)
 
 
 # --- retrieval ----------------------------------------------------------------------------------------

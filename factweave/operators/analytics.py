@@ -74,6 +74,15 @@ def margin_steps(indicators: DataFrame) -> DataFrame:
     return wide.withColumn("operating_cost_share", F.col("gross") - F.col("operating")).withColumn("below_operating_share", F.col("operating") - F.col("net"))
 
 
-def benchmark_status(series: DataFrame) -> DataFrame:
-    """A comparison with peers is refused until there are peers to compare with."""
-    return series.select("cik").distinct().select("cik", F.lit("refused").alias("benchmark_status"), F.lit("no benchmark data").alias("reason"))
+def benchmark_status(series: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    """(cik, series, benchmark_status, reason, n_compared, n_above) of each series against a benchmark (series,
+    fiscal_year, fiscal_period, value); a comparison is refused where the benchmark holds none of its periods."""
+    keys = ["series", "fiscal_year", "fiscal_period"]
+    if benchmark is None:
+        rows = series.select("cik", "series", F.lit(None).cast("double").alias("_b"), "value")
+    else:
+        told = benchmark.groupBy(*keys).agg(F.avg("value").alias("_b"))
+        rows = series.join(told, keys, "left")
+    rows = rows.groupBy("cik", "series").agg(F.count("_b").alias("n_compared"), F.count_if(F.col("value") > F.col("_b")).alias("n_above"))
+    none = F.col("n_compared") == 0
+    return rows.select("cik", "series", F.when(none, "refused").otherwise("compared").alias("benchmark_status"), F.when(none, "no benchmark data").alias("reason"), "n_compared", "n_above")

@@ -16,6 +16,7 @@ from ..sources import files
 from ..sources.http import Client, SourceError, land
 from ..sources.tables import KeyedTable
 from . import ingest as plan
+from .staging import scratch
 
 # --- fixed values: where the source keeps its documents, and the wording of messages
 
@@ -107,7 +108,8 @@ def ingest_company(
         return _local(warehouse, known, as_of, "reused_local", False)
     try:
         try:
-            return _refresh(name, warehouse, client(), as_of, known, filings_dir)
+            with scratch(warehouse.spark):
+                return _refresh(name, warehouse, client(), as_of, known, filings_dir)
         except PySparkException as e:  # structural damage ends a job
             raise SourceError(str(e).splitlines()[0]) from e
     except SourceError as e:

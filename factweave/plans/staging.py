@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,5 +29,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage ends there and a lost executor costs this step at most."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in here are deleted at the end; what is made of them must be stored or collected by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_MADE) > before:
+            path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+            path.getFileSystem(conf).delete(path, True)

@@ -289,6 +289,7 @@ def test_trends_gaps_outliers(spark):
     assert (t["1"].direction, t["1"].n_periods, t["1"].change_from_prior, t["2"].direction) == ("up", 6, None, "single_period")
     assert [(r.fiscal_year, r.n_missing) for r in analytics.gaps(series).collect()] == [(2025, 1)]
     assert [r.fiscal_year for r in analytics.outliers(series).collect()] == [2025]
+    assert {(r.benchmark_status, r.reason) for r in analytics.benchmark_status(series).collect()} == {("refused", "no benchmark data")}
 
 
 def test_retrieval_and_evidence(spark):
@@ -401,6 +402,18 @@ def test_ingest_company(spark, stocked):
     assert {(x.query_id, x.id, x.is_weak) for x in asked.collect()} == {(1, "a", False), (2, None, True)}
 
 
+def test_ingestion_leaves_no_staged_tables(spark, stocked):
+    from factweave.plans import staging
+
+    held = len(staging._MADE)
+    company.ingest_company("exm", stocked[0], lambda: http.SavedClient(SAVED), "2027-01-04")
+    assert len(staging._MADE) == held and stocked[0].metrics.read().count() == 1
+    with staging.scratch(spark):
+        path = staging.staged(spark.range(3), "probe").inputFiles()[0].removeprefix("file://")
+        assert open_exists(path)
+    assert not open_exists(path)
+
+
 def test_a_company_that_is_not_due_is_told_from_what_is_stored(stocked):
     store, _, _ = stocked
     r = company.ingest_company("exm", store, never, "2026-01-29")
