@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import unused, written
 
 WINDOW = 10
 SLICE_BYTES = 16 << 20
@@ -338,19 +338,20 @@ def decontaminate(
         return documents.mapInArrow(clean, documents.schema)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     h1, h2 = _text_hashes(text)
-    keyed = documents.select(h1.alias("_fw_h1"), h2.alias("_fw_h2"), text.alias("text"))
+    n1, n2 = unused(documents, "_fw_h1"), unused(documents, "_fw_h2")
+    keyed = documents.select(h1.alias(n1), h2.alias(n2), text.alias("text"))
     hits = None
     for part in slices:
         sent = _sent(part, window)
 
         def touched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in _shards(batches):
-                yield batch.filter(pa.array(sent.value.touched(_documents(batch, "text")))).select(["_fw_h1", "_fw_h2"])
+                yield batch.filter(pa.array(sent.value.touched(_documents(batch, "text")))).select([n1, n2])
 
-        some = written(keyed.mapInArrow(touched, "_fw_h1 long, _fw_h2 long").distinct(), "decontam-touched")
+        some = written(keyed.mapInArrow(touched, f"{n1} long, {n2} long").distinct(), "decontam-touched")
         sent.unpersist()
         hits = some if hits is None else hits.unionByName(some)
-    return documents.join(hits, (h1 == F.col("_fw_h1")) & (h2 == F.col("_fw_h2")), "left_anti")
+    return documents.join(hits, (h1 == F.col(n1)) & (h2 == F.col(n2)), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import running_sums, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -43,24 +43,21 @@ def draw(id_col: Column, text_hash: Column | None = None, seed: int = SEED) -> C
 
 
 def targets(sizes: DataFrame, *, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target, rate) from (source, source_size), a row for each source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    """(source, source_size, target, rate) from (source, source_size), a row for each source; any number of sources."""
+    by_name = [F.col("source").asc_nulls_last()]
     cycle = F.array(*(F.lit(int(w)) for w in weights))
-    ranked = sizes.withColumn("_w", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long"))
+    ranked = running_sums(sizes, by_name, {"_r": F.lit(1)})
+    ranked = ranked.select("source", "source_size", F.element_at(cycle, (F.col("_r") % len(weights) + 1).cast("int")).cast("long").alias("_w"))
     # capped first: those with the least size for their weight
-    by_need = Window.orderBy(F.col("source_size") / F.col("_w"), F.col("source").asc_nulls_last())
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.select(
-        "source", "source_size", "_w",
-        (F.sum("source_size").over(whole) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))).alias("_left"),
-        (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0))).alias("_weights"),
-    )
+    by_need = [(F.col("source_size") / F.col("_w")).asc(), F.col("source").asc_nulls_last()]
+    ranked = written(running_sums(ranked, by_need, {"_before": F.col("source_size"), "_w_before": F.col("_w")}), "mix-ranks")
+    words, all_weights = ranked.agg(F.sum("source_size"), F.sum("_w")).first()
     # the level if all before this source are capped; the first source it doesn't cap has the true one
-    level = F.col("_left").cast("double") / F.col("_weights").cast("double")
+    left, behind = F.lit(words) - cap * F.col("_before"), F.lit(all_weights) - F.col("_w_before")
+    level = left.cast("double") / behind.cast("double")
     fits = level * F.col("_w") <= (cap * F.col("source_size")).cast("double")
-    ranked = ranked.withColumn("_level", F.min(F.when(fits, F.struct(F.col("_weights") * -1, level.alias("v")))).over(whole)["v"])
-    goal = F.least((cap * F.col("source_size")).cast("double"), F.coalesce(F.col("_level") * F.col("_w"), F.lit(0.0)))
+    found = ranked.filter(fits).agg(F.max_by(level, behind)).first()[0]
+    goal = F.least((cap * F.col("source_size")).cast("double"), F.lit(0.0 if found is None else found) * F.col("_w"))
     return ranked.select("source", "source_size", goal.alias("target"), F.when(F.col("source_size") > 0, goal / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 

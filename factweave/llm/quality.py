@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import texts
-from .storage import written
+from .storage import unused, written
 
 N_LABELLED = 9000
 N_PSEUDO = 1000
@@ -476,4 +476,4 @@ def keep_good(documents: DataFrame, models: dict[str, Model | None], *, text_col
             p = sent.value.probabilities(texts(b.column(at)), b.column(last).to_numpy())
             yield b.select(list(range(last))).filter(pa.array((p["low"] < 0.5) & (p["toxic"] < 0.5)))
 
-    return documents.withColumn("_fw_cell", cell(documents)).mapInArrow(scan, documents.schema)
+    return documents.withColumn(unused(documents, "_fw_cell"), cell(documents)).mapInArrow(scan, documents.schema)

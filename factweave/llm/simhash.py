@@ -22,7 +22,8 @@ rows share their group; an empty table gives no rows. Other columns are not read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import repeat
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import longs, texts
 from .components import connected_components
-from .storage import written
+from .storage import unused, written
 
 WIDTH = 3
 DISTANCE = 3
@@ -42,25 +43,48 @@ SEGMENTS = 8
 RUN = 64
 LARGE = 4096
 FEW_BITS = 14
+#: Bytes of a text that are taken at once.
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
 
 #: For each byte value eight byte-wide counters, one for each of its bits.
 _LANES = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], dtype=np.uint64)
 
 
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some ``PIECE`` bytes at a time."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = _BLANK.search(text, at + PIECE)
+        if end is None:
+            break
+        yield text[at : end.start()].lower().split()
+        at = end.start()
+    yield text[at:].lower().split()
+
+
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
     """The 64-bit SimHash over word shingles, repeats included; zero without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        shingles, n = [b" ".join(words)], 1
-    else:
-        shingles, n = map(b" ".join, zip(*(words[i:] for i in range(width)))), len(words) - width + 1
+    ones, total, words = np.zeros(64, np.int64), 0, []
+    for piece in _pieces(text):
+        words = words[len(words) - width + 1 :] + piece if total else words + piece
+        n = len(words) - width + 1
+        if n > 0:
+            ones += _ones(map(b" ".join, zip(*(words[i:] for i in range(width)))), n)
+            total += n
+    if not total:
+        if not words:
+            return 0
+        ones, total = _ones([b" ".join(words)], 1), 1
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+
+
+def _ones(shingles: Iterable[bytes], n: int) -> np.ndarray:
+    """How often each bit is set in the shingles' hashes."""
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
     lanes = _LANES[hashes.view(np.uint8).reshape(n, 8)]
     # byte-wide counters hold 255 rows each
-    counts = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return np.add.reduceat(lanes, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row: Column | None = None) -> DataFrame:
@@ -263,10 +287,11 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     prints = written(fingerprints(documents, id_col=id_col, text_col=text_col, width=width, row=row), "simhash-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
     named = _roots(written(prints.groupBy("fp").agg(first), "simhash-distinct"), distance)
-    staying = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_fw_id"), F.col("first.row").alias("_fw_of"))
-    rows = documents.withColumn("_fw_row", row)
-    kept = rows.join(staying, F.col(id_col).cast("long").eqNullSafe(F.col("_fw_id")) & (F.col("_fw_row") == F.col("_fw_of")), "left_semi")
-    return kept.dropDuplicates([id_col, "_fw_row"]).drop("_fw_row")
+    own, its_id, its_row = (unused(documents, c) for c in ("_fw_row", "_fw_id", "_fw_of"))
+    staying = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(its_id), F.col("first.row").alias(its_row))
+    rows = documents.withColumn(own, row)
+    kept = rows.join(staying, F.col(id_col).cast("long").eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_row)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)
 
 
 def digest(groups: DataFrame) -> DataFrame:

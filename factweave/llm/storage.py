@@ -7,13 +7,16 @@ that was running, never the ones before it.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,19 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table of the shared folder and read it back.
-
-    Shuffle files of the finished step are of no more use once the table stands,
-    so unreferenced ones are handed to Spark's cleaner right away.
-    """
+    """Write ``df`` as a table of the shared folder and read it back; its shuffle files go once the table stands."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what runs in here as soon as it is done."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], *, parts: int = 200) -> DataFrame:
+    """``df`` with the sums of all rows before each, in an order without ties, over any number of tasks.
+
+    Rows are dealt to ranges and written with the number of their range; sums within a range follow from a window over
+    it, those before a range from a row for each range.
+    """
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    whole = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    whole = whole.select(F.col("_part").alias("_of"), *(F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    joined = inside.join(F.broadcast(whole), F.col("_part") == F.col("_of"))
+    return joined.select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
 
 
 def purge(spark: SparkSession, df: DataFrame) -> None:

@@ -15,7 +15,7 @@ from . import brute
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASHES = ("n_words", "size", "fp", "key", "starts", "_id", "first", "shard", "h1", "w", "bucket", "rate", "spans", "base", "slot", "kept", "row", "place")
+CLASHES = ("n_words", "size", "fp", "key", "starts", "_id", "first", "shard", "h1", "w", "bucket", "rate", "spans", "base", "slot", "kept", "row", "place", "_fw_row", "_fw_cell", "_fw_h1")
 
 
 def prose(rng, n, vocabulary=400):
@@ -140,6 +140,14 @@ def test_near_groups(docs, rows):
     same(simhash.digest(simhash.near_groups(docs)), want)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_long_texts_are_taken_in_pieces(monkeypatch, size):
+    monkeypatch.setattr(simhash, "PIECE", size)
+    for t in ["", " ", "one", "one two", "a b c", "A  b\tc d " * 20, "x" * 300 + " y z", " lead " + prose(random.Random(1), 80) + "\n\n", prose(random.Random(2), 700)]:
+        for width in (1, 3, 5):
+            assert simhash.fingerprint(t.encode(), width) == brute.simhash(t, width)
+
+
 def test_links_of_planted_fingerprints(spark):
     rng = random.Random(5)
     prints = [rng.getrandbits(64) for _ in range(300)]
@@ -580,6 +588,18 @@ def test_targets(spark):
     assert got["d"].rate == 0
 
 
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [(None if k == 7 else f"s{k:03d}", rng.randrange(50)) for k in range(120)]
+    df = spark.createDataFrame(rows, "name string, n long")
+    order = [F.col("name").asc_nulls_last()]
+    told = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    want = {name: (sum(n for _, n in told[:k]), k) for k, (name, _) in enumerate(told)}
+    for parts in (1, 4, 50):
+        got = storage.running_sums(df, order, {"total": F.col("n"), "place": F.lit(1)}, parts=parts)
+        assert {r.name: (r.total, r.place) for r in got.collect()} == want and got.columns == ["name", "n", "total", "place"]
+
+
 def test_mix(spark, docs, rows, none):
     planned = mixing.plan_copies(docs)
     sizes = {(i, t): len(brute.WORD.findall(t or "")) for i, t in pairs(rows)}
@@ -700,5 +720,9 @@ def test_decontamination_empty(spark, docs, rows, none):
 
 def test_written_tables_live_in_the_shared_folder(spark):
     table = storage.written(spark.range(5), "probe")
+    before = spark.conf.get(storage._CLEANUP)
+    with pytest.raises(Exception, match="divide"):
+        storage.written(spark.sql("select 1 / id as x from range(1)"), "fails")
+    assert spark.conf.get(storage._CLEANUP) == before == "false"
     assert table.count() == 5 and all(storage.shared_dir(spark).removeprefix("file://") in f for f in table.inputFiles())
     storage.purge(spark, table)

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factweave.llm import quality
@@ -38,6 +39,24 @@ def test_stages(spark, tmp_path):
     assert all(sorted(r.slot for r in steps[4][1] if r.shard == s) == list(range(n)) for s, n in sizes.items())
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_tables(spark, tmp_path, empty):
+    """Empty tables, and documents with extra columns of clashing names, nulls and repeated rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0 if empty else 60)
+    for c in ("shard", "slot", "_id", "cell", "key", "fp", "row", "bucket", "_fw_row", "size", "rate", "n_words"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs = docs.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id")))
+    none = docs.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema)).limit(1)
+    odd = docs.unionByName(none).unionByName(docs.limit(3))
+    for name, df in (("documents", odd), ("labels", None), ("benchmark", None)):
+        df = spark.read.parquet(f"{SF}/{name}.parquet").limit(0 if empty else 10**6) if df is None else df
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*("shard_in" if c == "shard" else "slot_in" if c == "slot" else c for c in docs.columns), "shard", "slot"]
+    got = out.collect()
+    assert len(got) == 0 if empty else {r.shard_in for r in got} <= {"clash", None} and all(r.m in (None, {"a": r.doc_id}) for r in got) and got
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
