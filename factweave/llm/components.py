@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import purge, written
 
 
 def _star(both: DataFrame, *, large: bool) -> DataFrame:
@@ -47,7 +47,8 @@ def connected_components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         # small stars need only links from a node to smaller ones, which is how rounds are stored
-        links = written(_star(_star(_both(links), large=True), large=False), "links")
+        before, links = links, written(_star(_star(_both(links), large=True), large=False), "links")
+        purge(links.sparkSession, before)
         if (now := _mark(links)) == mark:
             break
         mark = now

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import NO_ID, ids, longs, mix, texts
-from .storage import written
+from .storage import purge, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -173,10 +173,14 @@ def _dropped(index: Index, probes, min_docs: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(who[goes], pa.int64()), "h1": longs(h1[goes])})
 
 
-def repeated_lines(lines: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, h1) of the line hashes that a document must lose."""
+def count_lines(lines: DataFrame) -> DataFrame:
+    """(h1, h2, n, largest) of each distinct line hash."""
+    return lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("largest"))
+
+
+def repeated_lines(lines: DataFrame, counted: DataFrame, *, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, h1) of the line hashes that a document must lose, from written lines and their counts."""
     spark = lines.sparkSession
-    counted = written(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("largest")), "line-counts")
     n_keys, n_probes = counted.count(), lines.count()
     # at most HOT keys can each make up 1/HOT of the probes
     hot = counted.filter(F.col("n") > max(n_probes / HOT, 1000)).toPandas()
@@ -215,8 +219,11 @@ def dedup_lines(
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = written(line_hashes(docs, min_chars), "line-hashes")
-    gone = repeated_lines(lines, min_docs=min_docs).groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))
+    counted = written(count_lines(lines), "line-counts")
+    gone = repeated_lines(lines, counted, min_docs=min_docs).groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))
     gone = written(gone, "line-drops").withColumnRenamed("doc_id", "_id")
+    for done in (lines, counted):
+        purge(docs.sparkSession, done)
     # the same plan at every size: what must go is not bounded, so it isn't broadcast where it happens to be small
     joined = docs.join(gone.hint("merge"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left").select("doc_id", "text", "gone")
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import longs, texts
 from .components import connected_components
-from .storage import unused, written
+from .storage import purge, unused, written
 
 WIDTH = 3
 DISTANCE = 3
@@ -259,10 +259,13 @@ def near_links(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
 
 
 def _roots(distinct: DataFrame, distance: int) -> DataFrame:
-    """The rows of ``distinct`` with the root of their fingerprint's group."""
+    """The rows of ``distinct``, a written table that goes, with the root of their fingerprint's group."""
     links = written(near_links(distinct, distance=distance), "simhash-links")
     roots = connected_components(links)
-    return written(distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    named = written(distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    for done in (links, roots, distinct):
+        purge(named.sparkSession, done)
+    return named
 
 
 def near_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
