@@ -499,6 +499,17 @@ def test_export_tables(spark, stocked, tmp_path):
     assert len(warned) == 5 and all(w.startswith("CSV export skipped for ") for w in warned)
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from factweave.__main__ import main
+
+    asked = ["--env-file", str(tmp_path / "none"), "--warehouse", str(tmp_path / "wh"), "--filings-dir", str(tmp_path / "f"), "--as-of", "2025-11-03"]
+    text = main(["exm", *asked, "--export", str(tmp_path / "csv")], spark=spark, client=lambda: http.SavedClient(SAVED))
+    assert text.splitlines()[:3] == ["Ticker: EXM", "CIK: 0000000042", "Run status: initialized"] and capsys.readouterr().out.strip() == text
+    assert (tmp_path / "csv" / "filings.csv").is_dir()
+    assert "Run status: reused_local" in main(["42", *asked], spark=spark, client=never)
+    assert main(["exm", *asked, "--delete"], spark=spark) == "Deleted ingested company for identifier 'EXM' (CIK 0000000042)."
+
+
 def test_value_kinds(docs):
     bad = [entry(v, 2025, "FY", "10-K", "a", None, "2025-01-31") for v in (5, "5", 5.5, True, None)]
     got = normalize.normalize_companyfacts(docs({"cik": "1", "facts": {"us-gaap": {"X": {"units": {"USD": bad}}}}})).orderBy("pos").collect()
