@@ -1,7 +1,7 @@
 """Quality classifier by co-training of two views.
 
 The text view sees only the text: which words, word beginnings and punctuation runs
-it holds and in which steps its layout figures lie (hashed, the most telling ones by
+it holds and in which steps its layout figures lie (the most telling ones by
 chi-square). The metadata view sees only the page's metadata: language, source and
 length as the table tells them. Metadata is dealt to at most ``CELLS`` cells, so
 this view is fitted on counts. For each target (low quality, toxic) both views are
@@ -17,8 +17,8 @@ those with the least seeded hash of the id, and ``n_pseudo`` pseudo-labelled one
 of each target and class, at any corpus size; of each class of a target ``RARE``
 labelled rows come first, so that rare positives are kept, and the log-odds are
 corrected by the classes' shares of all labelled documents (the models'
-``shift``). Only the feature numbers of these rows and the counts of cells reach
-the driver. Every document is scored, from its whole text, without a shuffle.
+``shift``). Only the words of these rows and the counts of cells reach the
+driver. Every document is scored, from its whole text, without a shuffle.
 
 Defined results: null text counts as empty and is scored; a null source, language
 or length is a value of its own; labels without id, or null in a target, are not
@@ -34,11 +34,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,50 +52,46 @@ FEATURES = 3000
 SURE = 0.95
 MIN_CLASS = 20
 TARGETS = ("low", "toxic")
-_BITS = 20
 LANGS, SOURCES, LENGTHS = 32, 64, 32
 CELLS = LANGS * SOURCES * LENGTHS
-#: Punctuation that words are told without.
-_QUIET = b".,;:!?\"'()"
+#: Punctuation that words are told without, and what begins the names of other features.
+_QUIET = b".,;:!?\"'()\0\1\2\3"
 _LETTERS = bytes(c for c in range(256) if c >= 0x80 or chr(c).isalnum())
 _UPPER = bytes(range(0x41, 0x5B))
 _DIGITS = bytes(range(0x30, 0x3A))
 #: Upper ends of the steps of a share, and of the mean length of words and lines.
 _SHARES = (0.0, 0.01, 0.03, 0.1, 0.25, 0.5, 0.75)
 _LENGTHS = (2.0, 3.0, 4.0, 6.0, 9.0, 15.0, 40.0, 80.0, 200.0, 600.0)
-#: How many words a worker remembers.
-_REMEMBERED = 200_000
 
 
-_MASK = (1 << _BITS) - 1
+def _seen(text: bytes) -> tuple[set[bytes], list[bytes]]:
+    """The words of a text, and marks for its punctuation runs and layout steps."""
+    words = text.lower().translate(None, _QUIET).split()
+    distinct = set(words)
+    marks = [b"\0" + p for p in set(text.translate(None, _LETTERS).split())]
+    return distinct, marks + layout(text, words, len(distinct))
 
 
-class Features(dict):
-    """Numbers of a word's features by the word, remembered; those of a chosen set only, as places in it, if one is given."""
+def _heads(words: set[bytes]) -> set[bytes]:
+    """Features for the words' first four and five bytes."""
+    return {b"\1" + w[:4] for w in words} | {b"\2" + w[:5] for w in words}
 
-    def __init__(self, chosen: dict[int, int] | None = None):
-        super().__init__()
-        self.chosen = chosen
 
-    def __missing__(self, token: bytes) -> tuple[int, ...]:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        if token[:1] in (b"\0", b"\3"):  # punctuation or layout
-            kept = (crc32(token) & _MASK,)
-        else:
-            kept = (crc32(token) & _MASK, crc32(b"\1" + token[:4]) & _MASK, crc32(b"\2" + token[:5]) & _MASK)
-        if self.chosen is not None:
-            kept = tuple([self.chosen[n] for n in kept if n in self.chosen])
-        self[token] = kept
-        return kept
+def features(text: bytes) -> set[bytes]:
+    """All that the text view sees of a text."""
+    words, marks = _seen(text)
+    return words | _heads(words) | set(marks)
 
-    def of(self, text: bytes) -> list[int]:
-        """The features that a text holds, in order."""
-        words = text.lower().translate(None, _QUIET).split()
-        tokens = set(words)
-        tokens.update(b"\0" + p for p in set(text.translate(None, _LETTERS).split()))
-        tokens.update(layout(text, words, len(tokens)))
-        return sorted(set().union(*map(self.__getitem__, tokens)))
+
+class Vocabulary(dict):
+    """Numbers of features, given as they come."""
+
+    def __missing__(self, feature: bytes) -> int:
+        self[feature] = number = len(self)
+        return number
+
+    def row(self, found: set[bytes]) -> np.ndarray:
+        return np.array(sorted(map(self.__getitem__, sorted(found))), np.int32)
 
 
 def layout(text: bytes, words: list[bytes], distinct: int) -> list[bytes]:
@@ -173,11 +167,14 @@ def _descend(dim: int, score, back, y: np.ndarray, weight: np.ndarray, l2: float
 
 @dataclass
 class TextView:
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << _BITS, np.float32))
+    """Weights by number, for rows of one vocabulary, and by feature."""
+
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
+    by_feature: dict[bytes, float] = field(default_factory=dict)
 
-    def fit(self, x: Sparse, y: np.ndarray) -> TextView:
-        size, rows = 1 << _BITS, y.size
+    def fit(self, x: Sparse, y: np.ndarray, names: Vocabulary) -> TextView:
+        size, rows = len(names), y.size
         held = np.bincount(x.index, minlength=size)
         pos = np.bincount(x.index[np.repeat(y > 0.5, x.sizes)], minlength=size)
         want = held * y.mean()
@@ -191,9 +188,11 @@ class TextView:
         row = np.repeat(np.arange(rows, dtype=np.int32), x.sizes)[kept >= 0]
         kept = kept[kept >= 0]
         w = _descend(best.size, lambda w: np.bincount(row, w[kept], rows), lambda e: np.bincount(kept, e[row], best.size), y, np.ones(rows), 1e-4, 150)
-        self.weights = np.zeros(size, np.float32)
+        self.weights = np.zeros(size)
         self.weights[best] = w[:-1]
         self.bias = float(w[-1])
+        named = list(names)
+        self.by_feature = {named[n]: float(self.weights[n]) for n in best.tolist() if self.weights[n]}
         return self
 
     def logit(self, x: Sparse) -> np.ndarray:
@@ -277,12 +276,12 @@ class Model:
         return np.flatnonzero(zero), np.flatnonzero(one)
 
 
-def co_train(x: Sparse, cells: np.ndarray, ys: dict[str, np.ndarray], pool, rounds: int = ROUNDS, totals: dict[str, tuple[int, int]] | None = None) -> dict[str, Model | None]:
+def co_train(names: Vocabulary, x: Sparse, cells: np.ndarray, ys: dict[str, np.ndarray], pool, rounds: int = ROUNDS, totals: dict[str, tuple[int, int]] | None = None) -> dict[str, Model | None]:
     """Fit both views of each target; ``ys`` are 1, 0 or NaN for a row without that label. Every third labelled row of a class is held out.
 
     ``pool`` stands for the unlabelled documents: ``counts(models)`` gives, for each target, how many of each class the
     text view is sure of by cell, ``draw(models)`` documents of the cells that the metadata view is sure of as
-    (features, classes). ``totals`` are the rows of class 0 and 1 that ``ys`` were drawn from, if those are more.
+    (rows numbered by ``names``, classes). ``totals`` are the rows of class 0 and 1 that ``ys`` were drawn from, if those are more.
     """
     fits, models = {}, dict.fromkeys(ys)
     for t, y in ys.items():
@@ -304,7 +303,7 @@ def co_train(x: Sparse, cells: np.ndarray, ys: dict[str, np.ndarray], pool, roun
         fx, fy = x.take(rows), y[rows]
         if more_text is not None:
             fx, fy = fx.plus(more_text[0]), np.concatenate([fy, more_text[1]])
-        text = TextView().fit(fx, fy)
+        text = TextView().fit(fx, fy, names)
         page = PageView().fit({c: by_cell.get(c, 0) + np.asarray(more_cells.get(c, (0, 0)), float) for c in {*by_cell, *more_cells}})
         scales = calibrate(text.logit(x.take(held)), y[held]), calibrate(page.logit(cells[held]), y[held])
         return Model(text, page, *scales, float(_logit(base)), base, shift)
@@ -322,13 +321,24 @@ class Scorer:
 
     def __init__(self, models: dict[str, Model | None]):
         self.models = {t: m for t, m in models.items() if m is not None}
-        weighed = [np.flatnonzero(m.text.weights) for m in self.models.values()]
-        chosen = np.unique(np.concatenate([np.zeros(0, np.int64), *weighed]))
-        self.features = Features({n: k for k, n in enumerate(chosen.tolist())})
-        self.weights = {t: m.text.weights[chosen].astype(float) for t, m in self.models.items()}
+        chosen = sorted({f for m in self.models.values() for f in m.text.by_feature})
+        self.place = {f: k for k, f in enumerate(chosen)}
+        # what a text is met with by its words, by their first four and five bytes
+        self.words = frozenset(f for f in chosen if f[:1] not in (b"\0", b"\1", b"\2", b"\3"))
+        self.four, self.five = ({f[1:]: k for f, k in self.place.items() if f[:1] == mark} for mark in (b"\1", b"\2"))
+        self.heads = frozenset(self.four), frozenset(self.five)
+        self.weights = {t: np.array([m.text.by_feature.get(f, 0.0) for f in chosen]) for t, m in self.models.items()}
+
+    def row(self, text: bytes) -> list[int]:
+        words, marks = _seen(text)
+        five = {w[:5] for w in words}
+        found = [self.place[w] for w in words & self.words] + [self.place[m] for m in marks if m in self.place]
+        found += [self.five[h] for h in five & self.heads[1]]
+        found += [self.four[h] for h in {h[:4] for h in five} & self.heads[0]]
+        return sorted(found)  # so that sums don't depend on the order of sets
 
     def logits(self, batch: list[bytes]) -> dict[str, np.ndarray]:
-        rows = Sparse.of([np.array(self.features.of(t), np.int32) for t in batch])
+        rows = Sparse.of([np.array(self.row(t), np.int32) for t in batch])
         return {t: rows.dot(self.weights[t]) + m.text.bias for t, m in self.models.items()}
 
     def probabilities(self, batch: list[bytes], cells: np.ndarray) -> dict[str, np.ndarray]:
@@ -361,29 +371,32 @@ def _told(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), cell(documents).alias("cell"))
 
 
-def _features_of(docs: DataFrame, chosen: DataFrame) -> pa.Table:
-    """(_id, x, cell) of the chosen ids (a bounded number), one row for each."""
+def _tokens_of(docs: DataFrame, chosen: DataFrame) -> pa.Table:
+    """(_id, x, cell) of the chosen ids (a bounded number), one row for each; x are the words and marks of the text."""
     # one row for each id, so that a repeated id can't exceed the bound
     rows = docs.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("text", "cell")).alias("r")).select("_id", "r.*")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Features()
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.array(known.of(t), np.int32).tobytes() for t in texts(b.column(1))]
+            x = [b"\n".join([*words, *marks]) for words, marks in map(_seen, texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], names=["_id", "x", "cell"])
 
-    return rows.mapInArrow(features, "_id long, x binary, cell int").toArrow().sort_by("_id")
+    return rows.mapInArrow(tokens, "_id long, x binary, cell int").toArrow().sort_by("_id")
 
 
-def _sparse(column: pa.ChunkedArray) -> Sparse:
-    return Sparse(np.frombuffer(b"".join(column.to_pylist()), np.int32), pc.binary_length(column).to_numpy().astype(np.int64) // 4)
+def _rows(names: Vocabulary, tokens: pa.ChunkedArray) -> Sparse:
+    out = []
+    for x in tokens.to_pylist():
+        told = x.split(b"\n") if x else []
+        out.append(names.row(_heads({w for w in told if w[:1] not in (b"\0", b"\3")}).union(told)))
+    return Sparse.of(out)
 
 
 class _Unlabelled:
     """The documents without a label, as :func:`co_train` asks for them."""
 
-    def __init__(self, docs: DataFrame, told: DataFrame, n_pseudo: int, seed: int):
-        self.docs, self.told, self.n_pseudo, self.seed = docs, told.select("_id"), n_pseudo, seed
+    def __init__(self, names: Vocabulary, docs: DataFrame, told: DataFrame, n_pseudo: int, seed: int):
+        self.names, self.docs, self.told, self.n_pseudo, self.seed = names, docs, told.select("_id"), n_pseudo, seed
 
     def counts(self, models: dict[str, Model]) -> dict[str, dict[int, np.ndarray]]:
         sent = self.docs.sparkSession.sparkContext.broadcast(Scorer(models))
@@ -413,9 +426,9 @@ class _Unlabelled:
         ids = self.docs.select("_id", "cell").filter("_id is not null").join(self.told, "_id", "left_anti").join(cells, "cell").select("_id", "target", "class").distinct()
         first = Window.partitionBy("target", "class").orderBy(F.xxhash64(F.lit(self.seed), F.col("_id")), "_id")
         ids = written(ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= self.n_pseudo).drop("n"), "quality-pseudo")
-        got = _features_of(self.docs, ids.select("_id").distinct())
+        got = _tokens_of(self.docs, ids.select("_id").distinct())
         place = {i: k for k, i in enumerate(got.column("_id").to_pylist())}
-        x, out = _sparse(got.column("x")), {}
+        x, out = _rows(self.names, got.column("x")), {}
         for t in models:
             told = sorted((r._id, r["class"]) for r in ids.filter(F.col("target") == t).collect())
             if told:
@@ -445,12 +458,12 @@ def fit(
     counts = told.agg(*(F.count_if(F.col(t) == c).alias(f"{t}{c}") for t in TARGETS for c in (0, 1))).first()
     chosen = written(sample_ids(told, n_labelled=n_labelled, seed=seed), "quality-sample")
     docs = _told(documents, id_col, text_col)
-    got = _features_of(docs, chosen.select("_id"))
+    got = _tokens_of(docs, chosen.select("_id"))
     label = {r._id: r for r in chosen.collect()}
     of = lambda t: np.array([np.nan if label[i][t] is None else float(label[i][t]) for i in got.column("_id").to_pylist()])
-    pool = _Unlabelled(docs, told, n_pseudo, seed)
-    cells = got.column("cell").to_numpy().astype(np.int64)
-    return co_train(_sparse(got.column("x")), cells, {t: of(t) for t in TARGETS}, pool, rounds, {t: (counts[f"{t}0"], counts[f"{t}1"]) for t in TARGETS})
+    names, cells = Vocabulary(), got.column("cell").to_numpy().astype(np.int64)
+    x, pool = _rows(names, got.column("x")), _Unlabelled(names, docs, told, n_pseudo, seed)
+    return co_train(names, x, cells, {t: of(t) for t in TARGETS}, pool, rounds, {t: (counts[f"{t}0"], counts[f"{t}1"]) for t in TARGETS})
 
 
 def score(documents: DataFrame, models: dict[str, Model | None], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -485,9 +485,8 @@ class PlainPool:
     def counts(self, models):
         out = {t: {} for t in models}
         for _, text, cell in self.rows:
-            x = quality.Sparse.of([np.array(quality.Features().of(text.encode()), np.int32)])
             for t, m in models.items():
-                p = 1 / (1 + np.exp(-(m.text_scale[0] * m.text.logit(x)[0] + m.text_scale[1])))
+                p = 1 / (1 + np.exp(-(m.text_scale[0] * plain_logit(m, text) + m.text_scale[1])))
                 for c, sure in enumerate((p <= min(0.05, 0.2 * m.base), p >= 0.95)):
                     out[t].setdefault(cell, np.zeros(2))[c] += bool(sure)
         return out
@@ -501,10 +500,14 @@ class PlainPool:
                 told += [(i, x, c) for _, i, x in sorted(mine)[: self.n]]
             if told:
                 told.sort(key=lambda r: (r[0], r[2]))
-                out[t] = quality.Sparse.of([np.array(quality.Features().of(x.encode()), np.int32) for _, x, _ in told]), np.array([c for *_, c in told], float)
+                out[t] = quality.Sparse.of([self.names.row(quality.features(x.encode())) for _, x, _ in told]), np.array([c for *_, c in told], float)
         return out
 
 
+def plain_logit(model, text):
+    return model.text.bias + sum(model.text.by_feature.get(f, 0.0) for f in quality.features(text.encode()))
+
+
 def test_quality_equals_a_plain_form(spark):
     rows, labels = labelled(700)
     rows = [(i, x, g, "bad" if q == 0 and i % 4 else "spam" if t and i % 3 else s, len(x)) for (i, x, g, s, _), (_, q, t) in zip(rows, labels)]
@@ -515,15 +518,15 @@ def test_quality_equals_a_plain_form(spark):
     pool = PlainPool([(i, x, cells[i][0]) for i, x, *_ in rows if i % 2 == 0], 20)
     pool.order = {i: o for i, (_, o) in cells.items()}
     mine = [r for r in rows if r[0] % 2]
-    x = quality.Sparse.of([np.array(quality.Features().of(r[1].encode()), np.int32) for r in mine])
+    pool.names = quality.Vocabulary()
+    x = quality.Sparse.of([pool.names.row(quality.features(r[1].encode())) for r in mine])
     ys = {"low": np.array([1.0 - q for _, q, _ in told]), "toxic": np.array([float(t) for *_, t in told])}
-    plain = quality.co_train(x, np.array([cells[r[0]][0] for r in mine]), ys, pool, 2)
+    plain = quality.co_train(pool.names, x, np.array([cells[r[0]][0] for r in mine]), ys, pool, 2)
     assert any(c.size for m in plain.values() for c in m.sure_cells())
     got = {r.doc_id: r for r in quality.score(df, models).collect()}
     for i, text, *_ in rows:
-        f = quality.Sparse.of([np.array(quality.Features().of(text.encode()), np.int32)])
         for t, name in (("low", "p_low"), ("toxic", "p_toxic")):
-            assert got[i][name] == pytest.approx(plain[t].probability(plain[t].text.logit(f), np.array([cells[i][0]]))[0], abs=1e-6)
+            assert got[i][name] == pytest.approx(plain[t].probability(plain_logit(plain[t], text), np.array([cells[i][0]]))[0], abs=1e-6)
 
 
 def test_metadata_cells(spark):
