@@ -308,7 +308,7 @@ def find_personal_data(
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns, from :func:`find_personal_data`; counts are of base matches."""
+    """The contract's columns, from :func:`find_personal_data`; counts are of base matches, ``n_spans`` of all spans."""
 
     def told(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -317,4 +317,4 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = map(count, KINDS)
-    return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
