@@ -67,7 +67,9 @@ _LAST = rf"^{_BLANK}++{_BACKWARDS}(?:{_BLANK}++{_BACKWARDS})?"
 _NEXT = rf"^{_INK}*+{_BLANK}++({_WORD})(?!{_INK})"
 #: Patterns of words after a value begin so.
 _MARK = "~ "
-_TRAILING = r"[.,;:)>\]\"']+$"
+#: Punctuation at the end, with and without brackets; a run is met at its beginning only.
+_TRAILING = r"(?<![.,;:)>\]\"'])[.,;:)>\]\"']++$"
+_OPEN_TRAILING = r"(?<![.,;:>\]\"'])[.,;:>\]\"']++$"
 _BLOCK = 64
 #: How many digits a discovered value of a kind may hold; other kinds hold no blanks.
 MOST_DIGITS = {"card": 19, "phone": 15}
@@ -126,7 +128,7 @@ def _positions(text: Column, pattern: str, found: Column) -> Column:
 def _trimmed(value: Column) -> Column:
     """Without punctuation at the end; a bracket that closes one of the value stays."""
     closed = value.rlike(r"\([^()]*\)[.,;:>\]\"']*$")
-    return F.when(closed, F.regexp_replace(value, r"[.,;:>\]\"']+$", "")).otherwise(F.regexp_replace(value, _TRAILING, ""))
+    return F.when(closed, F.regexp_replace(value, _OPEN_TRAILING, "")).otherwise(F.regexp_replace(value, _TRAILING, ""))
 
 
 def _shaped(kind: Column, value: Column) -> Column:
