@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.staging import staged
 
 _TOKEN = r"[\p{L}\p{N}]+"
 #: About how many queries of a vector search are broadcast at once.
 QUERY_BLOCK = 10_000
+#: About how many numbers of terms by queries are broadcast at once.
+LEXICAL_BLOCK = 10_000_000
+#: How many numbers of documents by terms and queries are held at once.
+_CELLS = 2_000_000
 
 
 def html_text(html: Column) -> Column:
@@ -101,15 +111,70 @@ def term_counts(documents: DataFrame, *, id_col: str, text_col: str, wanted: Dat
 def lexical_topk(documents: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): tf-idf over the terms that the queries hold; ties to the smaller id.
 
-    Only postings of query terms are kept, worked out once and staged.
+    Only postings of query terms are kept, worked out once and staged. Documents meet the queries in blocks of about
+    ``LEXICAL_BLOCK`` terms by queries, by one matrix product for each batch; a task hands on its best ``k``.
     """
+    spark = documents.sparkSession
     asked = staged(term_counts(queries, id_col=query_id, text_col=query_text).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf")), "asked")
     postings = staged(term_counts(documents, id_col=id_col, text_col=text_col, wanted=asked), "postings")
-    n = documents.agg(F.count("*").alias("n_docs"))
-    spread = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", F.log(F.lit(1.0) + F.col("n_docs") / F.col("df")).alias("idf"))
-    weighted = postings.join(spread, "term").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
-    scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("score"))
-    return _top(scored, k)
+    n = documents.count()
+    spread = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(F.lit(1.0) + F.lit(n) / F.col("df")).alias("idf"))
+    weight = ((1 + F.log("tf")) * F.col("idf")).alias("weight")
+    told = postings.join(spread, "term").groupBy("id").agg(F.collect_list(F.struct("term", weight)).alias("terms"))
+    n_terms, n_queries = asked.agg(F.count("*"), F.count_distinct("query_id")).first()
+    blocks = max(1, math.ceil(math.sqrt(n_terms * n_queries / LEXICAL_BLOCK)))  # a block has fewer terms and fewer queries
+    if blocks > 1:
+        told = staged(told, "weighted")
+    schema = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("id", told.schema["id"].dataType), StructField("score", DoubleType())])
+    found = None
+    for n in range(blocks):
+        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        sent = spark.sparkContext.broadcast(_term_matrix(mine.toArrow()))
+        one = told.mapInArrow(_best_by_terms(sent, k), schema)
+        found = one if found is None else found.unionByName(one)
+    return _top(found, k)
+
+
+def _term_matrix(asked: pa.Table) -> tuple[pa.Array, dict[str, int], np.ndarray]:
+    """(query ids, the row of each term, the weights of terms in queries)."""
+    ids = pc.unique(asked.column("query_id"))
+    terms = {t: n for n, t in enumerate(pc.unique(asked.column("term")).to_pylist())}
+    m = np.zeros((len(terms), len(ids)))
+    m[[terms[t] for t in asked.column("term").to_pylist()], pc.index_in(asked.column("query_id"), ids).to_numpy()] = asked.column("qtf").to_numpy()
+    return ids, terms, m
+
+
+def _best_by_terms(sent, k: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, terms, m = sent.value
+        rows = max(1, _CELLS // max(1, len(terms) + len(queries)))
+        # a row for each query: what is best so far
+        held = [[] for _ in range(len(queries))]
+        kind = None
+        for big in batches:
+            kind = big.schema.field(0).type
+            for at in range(0, big.num_rows, rows):
+                b = big.slice(at, rows)
+                told = b.column(1)
+                flat = told.flatten()
+                place = np.array([terms.get(t, -1) for t in flat.field("term").to_pylist()], np.int64)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(told).to_numpy(zero_copy_only=False).astype(np.int64))
+                x = np.zeros((b.num_rows, len(terms)))
+                x[row[place >= 0], place[place >= 0]] = flat.field("weight").to_numpy(zero_copy_only=False)[place >= 0]
+                scores, ids = np.round(x @ m, 6), b.column(0).to_pylist()
+                for q in range(len(queries)):
+                    s = scores[:, q]
+                    least = max(held[q][-1][0] * -1 if len(held[q]) == k else 0.0, np.partition(s, -k)[-k] if s.size > k else 0.0)
+                    new = [(-s[i], ids[i] is not None, ids[i]) for i in np.flatnonzero((s >= least) & (s > 0)).tolist()]
+                    if new:
+                        held[q] = sorted(held[q] + new)[:k]
+        if kind is not None:
+            flat = [(q, s, i) for q, h in enumerate(held) for s, _, i in h]
+            yield pa.RecordBatch.from_arrays(
+                [queries.take(pa.array([q for q, _, _ in flat], pa.int64())), pa.array([i for _, _, i in flat], kind), pa.array([-float(s) for _, s, _ in flat], pa.float64())], names=["query_id", "id", "score"]
+            )
+
+    return best
 
 
 def vector_topk(rows: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int = 5) -> DataFrame:

@@ -346,6 +346,27 @@ def test_files(tmp_path):
     assert files.remove_filings(tmp_path, [str(path), str(path), "/etc/hosts"]) == [f"/etc/hosts: outside {tmp_path.resolve()}"] and not (tmp_path / "42").exists()
 
 
+@pytest.mark.parametrize("block,cells", [(10_000_000, 2_000_000), (400, 50)])
+def test_lexical_search_equals_a_plain_form(spark, monkeypatch, block, cells):
+    import math
+    import random
+
+    monkeypatch.setattr(retrieval, "LEXICAL_BLOCK", block)
+    monkeypatch.setattr(retrieval, "_CELLS", cells)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randrange(0, 12))) for _ in range(60)] + [None, "zz", "aa bb", "aa bb", "AA, bb"]
+    asked = {k: " ".join(rng.choice("abcdefghijk") * 2 for _ in range(4)) for k in range(12)} | {50: "nowhere", 51: "aa bb"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    found = retrieval.lexical_topk(docs, spark.createDataFrame(list(asked.items()), "q long, t string"), id_col="id", text_col="text", query_id="q", query_text="t", k=4)
+    counts = [Counter((t or "").lower().replace(",", " ").split()) for t in texts]
+    idf = {t: math.log(1 + len(texts) / sum(t in c for c in counts)) for c in counts for t in c}
+    want = []
+    for q, text in asked.items():
+        scores = [(-round(sum((1 + math.log(c[t])) * idf[t] * n for t, n in Counter(text.split()).items() if c[t]), 6), i) for i, c in enumerate(counts)]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:4], 1)]
+    assert sorted((r.query_id, r["rank"], r.id, round(r.score, 5)) for r in found.collect()) == [(q, r, i, round(s, 5)) for q, r, i, s in sorted(want)]
+
+
 def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
     many = spark.range(10_001).select((F.col("id") + 100).alias("id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])], "id long, v array<double>")
