@@ -46,7 +46,7 @@ class Warehouse:
 
     def of(self, cik: str) -> dict[str, DataFrame]:
         """What is stored of one company."""
-        return {n: getattr(self, n).read().filter(F.col("cik") == cik) for n in ("facts", "filings", "metrics", "companies")}
+        return {n: getattr(self, n).read_of(cik) for n in ("facts", "filings", "metrics", "companies")}
 
     def company(self, identifier: str) -> Row | None:
         return companies.find_company(self.companies.read(), identifier)
@@ -201,30 +201,30 @@ def _remove(base: str | Path, cik: str, recorded: list[str]) -> tuple[list[str],
 
 
 def route_metrics(warehouse: Warehouse, cik: str, **options) -> DataFrame:
-    return metrics.list_metrics(warehouse.metrics.read(), cik, **options)
+    return metrics.list_metrics(warehouse.metrics.read_of(cik), cik, **options)
 
 
 def route_indicators(warehouse: Warehouse, cik: str) -> DataFrame:
     """The company's indicators, calculated from its stored metrics and stored."""
     from ..operators import indicators
 
-    made = indicators.calculate(warehouse.metrics.read().filter(F.col("cik") == cik))
+    made = indicators.calculate(warehouse.metrics.read_of(cik))
     warehouse.indicators.merge(indicators.numbered(made), order="batch_pos")
-    return indicators.list_indicators(warehouse.indicators.read(), cik)
+    return indicators.list_indicators(warehouse.indicators.read_of(cik), cik)
 
 
 def route_analytics(warehouse: Warehouse, cik: str) -> DataFrame:
     from ..operators import analytics
 
-    return analytics.trends(analytics.metric_series(warehouse.metrics.read().filter(F.col("cik") == cik)))
+    return analytics.trends(analytics.metric_series(warehouse.metrics.read_of(cik)))
 
 
 def route_facts_csv(warehouse: Warehouse, cik: str, path: str) -> list[str]:
-    return inventory.export_csv(metrics.list_facts(warehouse.facts.read(), cik), path, ["concept", "end_date", "accession_number", "unit"])
+    return inventory.export_csv(metrics.list_facts(warehouse.facts.read_of(cik), cik), path, ["concept", "end_date", "accession_number", "unit"])
 
 
 def route_indicators_csv(warehouse: Warehouse, cik: str, path: str) -> list[str]:
-    return inventory.export_csv(warehouse.indicators.read().filter(F.col("cik") == cik), path, list(schema.INDICATOR_KEY))
+    return inventory.export_csv(warehouse.indicators.read_of(cik), path, list(schema.INDICATOR_KEY))
 
 
 def route_analyze(warehouse: Warehouse, cik: str) -> DataFrame:

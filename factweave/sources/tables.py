@@ -22,7 +22,7 @@ from ..operators import merge
 class KeyedTable:
     """One table: its schema, the columns that name a row and the column whose hash deals rows to buckets."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Iterable[str], *, deal_by: str, buckets: int = 64, kept: int = 2):
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Iterable[str], *, deal_by: str, buckets: int = 1024, kept: int = 2):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
         self.deal_by, self.buckets, self.kept = deal_by, buckets, kept
 
@@ -31,6 +31,11 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._read(self._manifest()[1])
 
+    def read_of(self, owner) -> DataFrame:
+        """The rows of one ``deal_by`` value; only its bucket is read."""
+        one = self.spark.range(1).select(F.lit(owner).alias(self.deal_by)).select(self._bucket()).first()[0]
+        return self._read(self._manifest()[1], {str(one)}).filter(F.col(self.deal_by) == owner)
+
     def _read(self, held: dict[str, str], only: Iterable[str] | None = None) -> DataFrame:
         paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in held.items() if only is None or b in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
@@ -70,7 +75,8 @@ class KeyedTable:
     def _commit(self, at: int, held: dict[str, str], rows: DataFrame, touched: set[str]) -> None:
         folder = uuid.uuid4().hex
         rows = rows.select(*self.spark.createDataFrame([], self.schema).columns)
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        # small buckets share tasks and large ones are split
+        rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         written = {n.removeprefix("bucket=") for n in self._names(f"data/{folder}") if n.startswith("bucket=")}
         self._publish(at + 1, {b: f for b, f in held.items() if b not in touched} | dict.fromkeys(sorted(written), folder))
         self._clean(at + 1)

@@ -241,6 +241,7 @@ def test_a_change_rewrites_the_buckets_it_touches(spark, tmp_path):
     before = table._manifest()[1]
     table.merge(spark.createDataFrame([(5, "b", 1)], "k int, v string, n int"), order="n")
     after = table._manifest()[1]
+    assert [r.v for r in table.read_of(5).collect()] == ["b"] and len(table.read_of(5).inputFiles()) == 1 and table.read_of(1000).count() == 0
     assert sum(before[b] != after[b] for b in before) == 1 and table.read().filter("v = 'b'").count() == 1 and table.read().count() == 100
 
 
