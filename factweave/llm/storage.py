@@ -60,14 +60,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], *, parts: int = 200) -> DataFrame:
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], *, parts: int | None = None) -> DataFrame:
     """``df`` with the sums of all rows before each, in an order without ties, over any number of tasks.
 
     Rows are dealt to ranges and written with the number of their range; sums within a range follow from a window over
     it, those before a range from a row for each range.
     """
-    dealt = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    ranges = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    dealt = written(ranges.withColumn("_part", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as shuffle partitions
     whole = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
     whole = whole.select(F.col("_part").alias("_of"), *(F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
