@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
@@ -18,9 +19,13 @@ from ..plans.staging import staged
 _TOKEN = r"[\p{L}\p{N}]+"
 #: About how many queries of a vector search are broadcast at once.
 QUERY_BLOCK = 10_000
+#: About how many rows of a vector search make a task worth while, and how many meet the queries at once.
+ROWS_PER_TASK, _ROWS = 8192, 2048
+#: How far a cosine of a matrix product is from the rounded one at most. What stands for no score.
+_APART, _NONE = 5.1e-7, -1e300
 #: About how many numbers of terms by queries are broadcast at once.
 LEXICAL_BLOCK = 10_000_000
-#: How many numbers of documents by terms and queries are held at once.
+#: How many numbers of documents by terms and queries, or of queries by rows, are held at once.
 _CELLS = 2_000_000
 
 
@@ -180,21 +185,148 @@ def _best_by_terms(sent, k: int):
 def vector_topk(rows: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): cosine, ties to the smaller id; any number of queries, broadcast in blocks.
 
-    A query's rows are all in the block that its id's hash names, so each block is a search of its own.
+    A query's rows are all in the block that its id's hash names, so each block is a search of its own. Rows are dealt
+    evenly and meet a block by matrix products; what these leave in reach of the best is scored term by term, and a task
+    hands on its best ``k``. Vectors of unlike lengths, null, with a null or of norm zero have no score and come last.
     """
+    spark = rows.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    found = [_vector_topk(rows, queries.filter(block == b) if blocks > 1 else queries, id_col, vector_col, k) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _vector_topk(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), norm(F.col(vector_col)).alias("qn")))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("vn"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = rows.join(q, F.col("id") != F.col("query_id"))
-    return _top(pairs.select("query_id", "id", F.round(F.try_divide(dot, F.col("qn") * F.col("vn")), 6).alias("score")), k)
+    parts = max(1, min(-(-rows.count() // ROWS_PER_TASK), 4 * spark.sparkContext.defaultParallelism))
+    rows, queries = (x.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null") for x in (rows, queries))
+    rows = rows.repartition(parts)
+    if blocks > 1:
+        rows = staged(rows, "vectors")
+    schema = StructType([StructField("query_id", queries.schema["id"].dataType), StructField("id", rows.schema["id"].dataType), StructField("score", DoubleType())])
+    found = []
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        sent = spark.sparkContext.broadcast(_by_length(mine.toArrow()))
+        found.append(rows.mapInArrow(_best_by_cosine(sent, k), schema))
+    return _top(reduce(DataFrame.unionByName, found), k)
+
+
+def _vectors(v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each vector's length, 0 if it is null or holds a null; each number's vector; the numbers)."""
+    sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, row = v.flatten(), np.repeat(np.arange(sizes.size), sizes)
+    sizes[row[flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+    return sizes, row, flat.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _by_length(asked: pa.Table) -> list[tuple[pa.Array, np.ndarray]]:
+    """(query ids, their vectors) for each length."""
+    ids, v = asked.column(0).combine_chunks(), asked.column(1).combine_chunks()
+    sizes, row, x = _vectors(v)
+    return [(ids.take(pa.array(np.flatnonzero(sizes == n))), x[sizes[row] == n].reshape(-1, n) if n else np.zeros(((sizes == 0).sum(), 0))) for n in np.unique(sizes).tolist()]
+
+
+def _comparable(ids: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.empty(len(ids), object)
+    out[:] = ids.to_pylist()
+    return out
+
+
+def _best_by_cosine(sent, k: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind = [_Nearest(ids, m, k, _CELLS) for ids, m in sent.value], None
+        with np.errstate(all="ignore"):
+            for big in batches:
+                kind = big.schema.field(0).type
+                for at in range(0, big.num_rows, _ROWS):
+                    b = big.slice(at, _ROWS)
+                    names = _comparable(b.column(0))
+                    order = np.argsort(names, kind="stable")
+                    sizes, row, x = _vectors(b.column(1).take(pa.array(order)))
+                    for h in held:
+                        own = np.flatnonzero(sizes == h.vectors.shape[1])
+                        h.add(names[order], own, x[sizes[row] == h.vectors.shape[1]].reshape(own.size, -1) if own.size and h.vectors.shape[1] else np.zeros((own.size, h.vectors.shape[1])))
+        if kind is not None:
+            yield from (h.rows(kind) for h in held)
+
+    return best
+
+
+class _Nearest:
+    """The best ``k`` rows so far of queries whose vectors have one length. Scores order as Spark's: NaN is inf here, none ``_NONE``."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, cells: int):
+        self.ids, self.names, self.vectors, self.k, self.cells = ids, _comparable(ids), vectors, k, cells
+        with np.errstate(all="ignore"):
+            self.norms, self.fine, self.units = _units(vectors)
+        self.scores, self.found = np.full((len(ids), k), -np.inf), None
+
+    def add(self, names: np.ndarray, own: np.ndarray, v: np.ndarray) -> None:
+        """Rows in the order of their ids; those at ``own`` have vectors ``v`` of this length."""
+        if self.found is None:
+            self.found = np.zeros(self.scores.shape, names.dtype)
+        told, step = _units(v), max(1, self.cells // names.size)
+        for at in range(0, self.names.size, step):
+            self._add(slice(at, at + step), names, own, v, *told)
+
+    def _add(self, mine: slice, names: np.ndarray, own: np.ndarray, v: np.ndarray, norms: np.ndarray, fine: np.ndarray, units: np.ndarray) -> None:
+        asked, q, held, found, last = self.names[mine], (self.vectors[mine], self.norms[mine]), self.scores[mine], self.found[mine], names.size - self.k
+        near = np.full((asked.size, names.size), _NONE)
+        if v.size:
+            some = self.units[mine] @ units.T
+            i, j = np.nonzero(~(self.fine[mine][:, None] & fine))  # a product can't tell
+            some[i, j] = self._cosines(*q, v, norms, i, j)
+            near[:, own] = some
+        low, high = np.searchsorted(names, asked, "left"), np.searchsorted(names, asked, "right")
+        for i in np.flatnonzero(low < high).tolist():
+            near[i, low[i] : high[i]] = -np.inf  # the query itself
+        cut = held[:, -1] - _APART
+        if last > 0 and np.isneginf(cut).any():
+            cut = np.maximum(cut, np.partition(near, last, axis=1)[:, last] - 2 * _APART)
+        i, j = np.nonzero((near >= cut[:, None]) & (near > -np.inf))
+        place = np.full(names.size, -1)
+        place[own] = np.arange(own.size)
+        score, there = np.full(i.size, _NONE), place[j] >= 0
+        score[there] = self._cosines(*q, v, norms, i[there], place[j[there]])
+        keep = score >= held[i, -1]
+        i, j, score = i[keep], j[keep], score[keep]
+        old = np.unique(i)
+        i, score, name = np.append(np.repeat(old, self.k), i), np.append(held[old], score), np.append(found[old], names[j])
+        there = score > -np.inf
+        i, score, name = i[there], score[there], name[there]
+        order = np.lexsort((name, -score, i))
+        i, score, name = i[order], score[order], name[order]
+        rank = np.arange(i.size) - np.searchsorted(i, i)
+        top = rank < self.k
+        held[i[top], rank[top]], found[i[top], rank[top]] = score[top], name[top]
+
+    def _cosines(self, q: np.ndarray, q_norms: np.ndarray, v: np.ndarray, v_norms: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Rounded cosines of queries i and rows j, summed in the order of the components."""
+        out, step = np.full(i.size, _NONE), max(1, self.cells // max(1, q.shape[1]))
+        for at in range(0, i.size if q.shape[1] else 0, step):
+            a, b = i[at : at + step], j[at : at + step]
+            under = q_norms[a] * v_norms[b]
+            score = np.cumsum(q[a] * v[b], axis=1)[:, -1] / under
+            out[at : at + step] = np.where(under == 0, _NONE, np.where(np.isnan(score), np.inf, _rounded(score)))
+        return out
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        i, j = np.nonzero(self.scores > -np.inf)
+        score = self.scores[i, j]
+        told = pa.array(np.where(np.isinf(score), np.nan, score), mask=score == _NONE)
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(i)), pa.array(self.found[i, j].tolist(), kind), told], names=["query_id", "id", "score"])
+
+
+def _units(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(norms, whether they are fit to divide by, vectors divided by them)."""
+    norms = np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) if m.shape[1] else np.zeros(len(m))
+    fine = (norms > 1e-100) & (norms < 1e100)
+    return norms, fine, np.where(fine[:, None], m, 0.0) / np.where(fine, norms, 1.0)[:, None]
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To six places as Spark does: halves of the shortest decimal form go away from zero."""
+    y = np.abs(x) * 1e6
+    out = np.copysign(np.floor(y + 0.5) / 1e6, x)
+    for i in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-4).tolist():
+        out[i] = Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+    return out + 0.0  # no negative zeros
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:

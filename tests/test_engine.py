@@ -1,14 +1,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import gzip
 import io
 import json
+import math
+import operator
+import random
 import urllib.error
 import zlib
 from collections import Counter
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -383,6 +388,63 @@ def test_vector_search_takes_any_number_of_queries(spark, monkeypatch):
     assert search() == whole and sum(whole.values()) == 5 * asked.count()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vector_search_makes_no_row_for_each_pair(spark):
+    plan = plan_of(catalog.QUERIES["vector_topk"](spark, SF))
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
+
+
+def cosine(a, b):
+    """None if there is none; else as Spark's double arithmetic and rounding have it."""
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    total = lambda xs: functools.reduce(operator.add, xs, 0.0)  # noqa: E731  sum() compensates
+    under = math.sqrt(total(x * x for x in a)) * math.sqrt(total(x * x for x in b))
+    if under == 0:
+        return None
+    x = total(p * q for p, q in zip(a, b)) / under
+    return x if math.isnan(x) else float(Decimal(repr(x)).quantize(Decimal("0.000001"), "ROUND_HALF_UP")) + 0.0
+
+
+@pytest.mark.parametrize("rows_at_once, cells, per_task, k, kind", [(2048, 2_000_000, 8192, 5, "long"), (3, 10, 8, 4, "long"), (7, 1, 20, 1, "int"), (5, 40, 9, 70, "string")])
+def test_vector_search_of_odd_vectors(spark, monkeypatch, rows_at_once, cells, per_task, k, kind):
+    for name, value in (("_ROWS", rows_at_once), ("_CELLS", cells), ("ROWS_PER_TASK", per_task)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(k)
+    inf, nan = float("inf"), float("nan")
+    odd = [None, [], [0.0] * 3, [-0.0, 0.0, 0.0], [1.0, None, 2.0], [None] * 3, [nan, 1.0, 1.0], [inf, 1.0, 0.0], [1e200, 1.0, -1e200], [1e-200, 0.0, 1e-170], [3e-161, 2e-161, -1e-161], [1e150, -1e150, 2.0], [1.0, 2.0], [2.0, 1.0], [1.0, 2.0, 3.0, 4.0], [-1e-9, 1.0, 0.0], [1.0, 0.0, 0.0]]
+    vectors = odd + [[5.0, 5.0, 1.0]] * 12 + [[rng.choice((-2.0, -1.0, 0.0, 1.0, 3.0)) for _ in range(3)] for _ in range(30)]
+    rng.shuffle(vectors)
+    rows = list(enumerate(vectors)) + [(3, [1.0, 1.0, 1.0]), (3, None), (None, [1.0, 1.0, 1.0])]
+    rows = [(None if i is None else str(i) if kind == "string" else i, v) for i, v in rows]
+    asked = [r for r in rows if r[0] is None or int(r[0]) % 2 == 1]
+    frame = lambda x: spark.createDataFrame(x, f"id {kind}, v array<double>").repartition(2)
+    found = retrieval.vector_topk(frame(rows), frame(asked), id_col="id", vector_col="v", k=k)
+    want = []
+    for q in {i for i, _ in asked if i is not None}:
+        scores = [(i, cosine(a, v)) for n, a in asked if n == q for i, v in rows if i is not None and i != q]
+        scores.sort(key=lambda x: (x[1] is None, -inf if x[1] is not None and math.isnan(x[1]) else -(x[1] or 0.0), x[0]))
+        want += [(q, r, i, str(s)) for r, (i, s) in enumerate(scores[:k], 1)]
+    assert sorted((r.query_id, r["rank"], r.id, str(r.score)) for r in found.collect()) == sorted(want)
+    assert found.schema["query_id"].dataType.simpleString() == found.schema["id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+
+
+def test_vector_search_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, v array<double>")
+    one = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
+    for rows, asked in ((none, none), (one, none), (none, one), (one, one)):
+        assert retrieval.vector_topk(rows, asked, id_col="id", vector_col="v").collect() == []
+
+
+def test_cosines_round_as_spark_does(spark):
+    x = [0.1234565, 0.1234575, -0.1234565, 0.4999995, 0.3000005, 1.0000000000000002, -1e-9, 4.999999999999999e-7, 5e-7, 1e-300, 123456789.1234565]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert list(map(str, retrieval._rounded(np.array(x)).tolist())) == list(map(str, want))
+
+
 # --- one company, from its ticker and back -----------------------------------------------------------------
 
 SAVED = {
