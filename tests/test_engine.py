@@ -397,6 +397,13 @@ def test_vector_search_makes_no_row_for_each_pair(spark):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
 
 
+def test_weak_results_make_no_row_for_each_pair(spark):
+    weak = catalog.QUERIES["weak_results"](spark, SF)
+    plan = plan_of(weak)
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
+    assert Counter(r.n_results for r in weak.collect()) == {5: 25, 0: 25}
+
+
 def cosine(a, b):
     """None if there is none; else as Spark's double arithmetic and rounding have it."""
     if a is None or b is None or len(a) != len(b) or None in a or None in b:
