@@ -21,7 +21,9 @@ _TOKEN = r"[\p{L}\p{N}]+"
 QUERY_BLOCK = 10_000
 #: About how many rows of a vector search make a task worth while, and how many meet the queries at once.
 ROWS_PER_TASK, _ROWS = 8192, 2048
-#: How far a cosine of a matrix product is from the rounded one at most. What stands for no score.
+#: How many products of queries by rows a core holds at once, so that they stay in its cache.
+_BLOCK = 524_288
+#: How far a cosine is from the rounded one at most. What stands for no score.
 _APART, _NONE = 5.1e-7, -1e300
 #: About how many numbers of terms by queries are broadcast at once.
 LEXICAL_BLOCK = 10_000_000
@@ -186,13 +188,16 @@ def vector_topk(rows: DataFrame, queries: DataFrame, *, id_col: str, vector_col:
     """(query_id, rank, id, score): cosine, ties to the smaller id; any number of queries, broadcast in blocks.
 
     A query's rows are all in the block that its id's hash names, so each block is a search of its own. Rows are dealt
-    evenly and meet a block by matrix products; what these leave in reach of the best is scored term by term, and a task
-    hands on its best ``k``. Vectors of unlike lengths, null, with a null or of norm zero have no score and come last.
+    evenly and meet a block by matrix products of single precision; what these leave in reach of the best is scored term
+    by term, and a task hands on its best ``k``. Vectors of unlike lengths, null, with a null or of norm zero have no
+    score and come last.
     """
     spark = rows.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = max(1, min(-(-rows.count() // ROWS_PER_TASK), 4 * spark.sparkContext.defaultParallelism))
-    rows, queries = (x.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null") for x in (rows, queries))
+    parts, cores = max(1, -(-rows.count() // ROWS_PER_TASK)), spark.sparkContext.defaultParallelism
+    if parts > cores:
+        parts = cores * min(4, -(-parts // cores))  # no core waits for the others' last tasks
+    rows, queries = (x.select(F.col(id_col).alias("id"), _numbers(x, vector_col).alias("v")).filter("id is not null") for x in (rows, queries))
     rows = rows.repartition(parts)
     if blocks > 1:
         rows = staged(rows, "vectors")
@@ -205,6 +210,11 @@ def vector_topk(rows: DataFrame, queries: DataFrame, *, id_col: str, vector_col:
     return _top(reduce(DataFrame.unionByName, found), k)
 
 
+def _numbers(df: DataFrame, name: str) -> Column:
+    """Vectors of doubles, or of floats where they are so: half the bytes to send."""
+    return F.col(name) if df.select(name).schema[0].dataType.simpleString() == "array<float>" else F.col(name).cast("array<double>")
+
+
 def _vectors(v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(each vector's length, 0 if it is null or holds a null; each number's vector; the numbers)."""
     sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -254,55 +264,96 @@ class _Nearest:
     def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, cells: int):
         self.ids, self.names, self.vectors, self.k, self.cells = ids, _comparable(ids), vectors, k, cells
         with np.errstate(all="ignore"):
-            self.norms, self.fine, self.units = _units(vectors)
+            self.norms, fine, units = _units(vectors)
+        self.fine, self.zero, self.odd = (np.flatnonzero(x) for x in (fine, self.norms == 0, ~fine & (self.norms != 0)))
+        self.units = units[fine].astype(np.float32)
+        # a sum of d products of single precision is off by (d + 2) / 2^24 at most, but for terms of higher order
+        self.apart = _APART + 1.1 * (vectors.shape[1] + 8) / 2**24
         self.scores, self.found = np.full((len(ids), k), -np.inf), None
 
     def add(self, names: np.ndarray, own: np.ndarray, v: np.ndarray) -> None:
         """Rows in the order of their ids; those at ``own`` have vectors ``v`` of this length."""
         if self.found is None:
             self.found = np.zeros(self.scores.shape, names.dtype)
-        told, step = _units(v), max(1, self.cells // names.size)
-        for at in range(0, self.names.size, step):
-            self._add(slice(at, at + step), names, own, v, *told)
-
-    def _add(self, mine: slice, names: np.ndarray, own: np.ndarray, v: np.ndarray, norms: np.ndarray, fine: np.ndarray, units: np.ndarray) -> None:
-        asked, q, held, found, last = self.names[mine], (self.vectors[mine], self.norms[mine]), self.scores[mine], self.found[mine], names.size - self.k
-        near = np.full((asked.size, names.size), _NONE)
-        if v.size:
-            some = self.units[mine] @ units.T
-            i, j = np.nonzero(~(self.fine[mine][:, None] & fine))  # a product can't tell
-            some[i, j] = self._cosines(*q, v, norms, i, j)
-            near[:, own] = some
-        low, high = np.searchsorted(names, asked, "left"), np.searchsorted(names, asked, "right")
-        for i in np.flatnonzero(low < high).tolist():
-            near[i, low[i] : high[i]] = -np.inf  # the query itself
-        cut = held[:, -1] - _APART
-        if last > 0 and np.isneginf(cut).any():
-            cut = np.maximum(cut, np.partition(near, last, axis=1)[:, last] - 2 * _APART)
-        i, j = np.nonzero((near >= cut[:, None]) & (near > -np.inf))
-        place = np.full(names.size, -1)
-        place[own] = np.arange(own.size)
-        score, there = np.full(i.size, _NONE), place[j] >= 0
-        score[there] = self._cosines(*q, v, norms, i[there], place[j[there]])
-        keep = score >= held[i, -1]
-        i, j, score = i[keep], j[keep], score[keep]
+        kind = np.unique(v.view(f"V{8 * v.shape[1]}").ravel(), return_inverse=True)[1] if v.size else np.zeros(len(v), int)
+        few = _first_copies(names[own], kind, self.k)
+        stay = np.ones(names.size, bool)
+        stay[np.delete(own, few)] = False
+        names, own, v = names[stay], (np.cumsum(stay) - 1)[own[few]], v[few]
+        norms, fine, units = _units(v)
+        if fine.any():
+            self._add_fine(names[own[fine]], v[fine], norms[fine], units[fine].astype(np.float32).T)
+        other = np.ones(names.size, bool)
+        other[own[fine]] = False
+        some = ~fine & (norms != 0)
+        self._add_plain(self.fine, names[other], (np.cumsum(other) - 1)[own[some]], v[some], norms[some])
+        some = ~np.isfinite(norms)
+        self._add_plain(self.zero, names, own[some], v[some], norms[some])
+        self._add_plain(self.odd, names, own, v, norms)
+
+    def _add_fine(self, names: np.ndarray, v: np.ndarray, norms: np.ndarray, units: np.ndarray) -> None:
+        """Rows and queries whose norms are fit to divide by."""
+        low, high, last = (*self._places(names, self.fine), names.size - self.k)
+        step = max(1, min(_BLOCK, self.cells) // names.size)
+        for at in range(0, self.fine.size, step):
+            mine, near = self.fine[at : at + step], self.units[at : at + step] @ units
+            for i in np.flatnonzero(low[at : at + step] < high[at : at + step]).tolist():
+                near[i, low[at + i] : high[at + i]] = -np.inf  # the query itself
+            cut = self.scores[mine, -1] - self.apart
+            if last > 0 and np.isneginf(cut).any():
+                cut = np.maximum(cut, np.partition(near, last, axis=1)[:, last].astype(np.float64) - 2 * self.apart)
+            hit = np.flatnonzero(near >= np.nextafter(cut.astype(np.float32), np.float32(-np.inf))[:, None])
+            i, j = np.divmod(hit[near.ravel()[hit] > -np.inf], names.size)
+            self._keep(mine[i], self._cosines(v, norms, mine[i], j), names[j])
+
+    def _add_plain(self, asked: np.ndarray, names: np.ndarray, own: np.ndarray, v: np.ndarray, norms: np.ndarray) -> None:
+        """Every pair of the rows at ``own`` is scored term by term; the others have no score with these queries."""
+        if not names.size or not own.size and (self.scores[asked, -1] > _NONE).all():
+            return
+        kind = np.zeros(names.size, int)
+        kind[own] = np.arange(1, own.size + 1)
+        few = _first_copies(names, kind, self.k)
+        names, own = names[few], np.searchsorted(few, own)
+        low, high, last = (*self._places(names, asked), names.size - self.k)
+        step = max(1, self.cells // names.size)
+        for at in range(0, asked.size, step):
+            mine = asked[at : at + step]
+            near = np.full((mine.size, names.size), _NONE)
+            near[:, own] = self._cosines(v, norms, np.repeat(mine, own.size), np.tile(np.arange(own.size), mine.size)).reshape(mine.size, own.size)
+            for i in np.flatnonzero(low[at : at + step] < high[at : at + step]).tolist():
+                near[i, low[at + i] : high[at + i]] = -np.inf  # the query itself
+            cut = self.scores[mine, -1]
+            if last > 0 and np.isneginf(cut).any():
+                cut = np.maximum(cut, np.partition(near, last, axis=1)[:, last])
+            i, j = np.nonzero((near >= cut[:, None]) & (near > -np.inf))
+            self._keep(mine[i], near[i, j], names[j])
+
+    def _places(self, names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows with a query's own id begin and end."""
+        return np.searchsorted(names, self.names[asked], "left"), np.searchsorted(names, self.names[asked], "right")
+
+    def _keep(self, i: np.ndarray, score: np.ndarray, name: np.ndarray) -> None:
+        """Scores of queries i with the rows so named, if they are among the best."""
+        new = score >= self.scores[i, -1]
+        i, score, name = i[new], score[new], name[new]
         old = np.unique(i)
-        i, score, name = np.append(np.repeat(old, self.k), i), np.append(held[old], score), np.append(found[old], names[j])
+        i, score, name = np.append(np.repeat(old, self.k), i), np.append(self.scores[old], score), np.append(self.found[old], name)
         there = score > -np.inf
         i, score, name = i[there], score[there], name[there]
         order = np.lexsort((name, -score, i))
         i, score, name = i[order], score[order], name[order]
         rank = np.arange(i.size) - np.searchsorted(i, i)
         top = rank < self.k
-        held[i[top], rank[top]], found[i[top], rank[top]] = score[top], name[top]
+        self.scores[i[top], rank[top]], self.found[i[top], rank[top]] = score[top], name[top]
 
-    def _cosines(self, q: np.ndarray, q_norms: np.ndarray, v: np.ndarray, v_norms: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def _cosines(self, v: np.ndarray, norms: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Rounded cosines of queries i and rows j, summed in the order of the components."""
-        out, step = np.full(i.size, _NONE), max(1, self.cells // max(1, q.shape[1]))
-        for at in range(0, i.size if q.shape[1] else 0, step):
+        out, length = np.full(i.size, _NONE), self.vectors.shape[1]
+        step = max(1, self.cells // max(1, length))
+        for at in range(0, i.size if length else 0, step):
             a, b = i[at : at + step], j[at : at + step]
-            under = q_norms[a] * v_norms[b]
-            score = np.cumsum(q[a] * v[b], axis=1)[:, -1] / under
+            under = self.norms[a] * norms[b]
+            score = np.cumsum(self.vectors[a] * v[b], axis=1)[:, -1] / under
             out[at : at + step] = np.where(under == 0, _NONE, np.where(np.isnan(score), np.inf, _rounded(score)))
         return out
 
@@ -313,6 +364,16 @@ class _Nearest:
         return pa.RecordBatch.from_arrays([self.ids.take(pa.array(i)), pa.array(self.found[i, j].tolist(), kind), told], names=["query_id", "id", "score"])
 
 
+def _first_copies(names: np.ndarray, kind: np.ndarray, k: int) -> np.ndarray:
+    """Where rows stand, in the order of their ids, without those of a kind that ``k`` of it go before in any search."""
+    if not names.size:
+        return np.zeros(0, int)
+    order = np.argsort(kind, kind="stable")
+    rank = np.arange(kind.size) - np.searchsorted(kind[order], kind[order])
+    own = np.unique(names, return_counts=True)[1].max()  # rows that a query leaves out as its own
+    return np.sort(order[rank < k + own])
+
+
 def _units(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(norms, whether they are fit to divide by, vectors divided by them)."""
     norms = np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) if m.shape[1] else np.zeros(len(m))

@@ -8,12 +8,14 @@ import json
 import math
 import operator
 import random
+import tracemalloc
 import urllib.error
 import zlib
 from collections import Counter
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -439,6 +441,33 @@ def test_vector_search_of_odd_vectors(spark, monkeypatch, rows_at_once, cells, p
     assert found.schema["query_id"].dataType.simpleString() == found.schema["id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
 
 
+def test_vector_search_scores_few_of_many_copies(monkeypatch):
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=(600, 8)), 3)
+    v[100:400], v[400:500] = v[0], 0.0
+    asked, scored, plain = np.arange(0, 600, 15), [], retrieval._Nearest._cosines
+    monkeypatch.setattr(retrieval._Nearest, "_cosines", lambda self, *x: (out := plain(self, *x), scored.append(out.size))[0])
+    near = retrieval._Nearest(pa.array(asked), v[asked], 5, 2_000_000)
+    near.add(np.arange(600), np.arange(600), v)
+    want = []
+    for q in asked.tolist():
+        scores = [(-(s if (s := cosine(v[q].tolist(), v[i].tolist())) is not None else -9.0), i) for i in range(600) if i != q]
+        want += [(q, i, -s if s < 9 else None) for s, i in sorted(scores)[:5]]
+    assert [tuple(r.values()) for r in near.rows(pa.int64()).to_pylist()] == want
+    assert sum(scored) < 1000  # of 24,000 pairs; the copies alone make 6000, the zeros 8000
+
+
+def test_vector_search_holds_products_that_fit_a_cache():
+    rng = np.random.default_rng(8)
+    v, ids = rng.normal(size=(2048, 16)), np.arange(2048)
+    near = retrieval._Nearest(pa.array(ids), v, 5, retrieval._CELLS)
+    tracemalloc.start()
+    near.add(ids, ids, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+
+
 def test_vector_search_of_nothing(spark):
     none = spark.createDataFrame([], "id long, v array<double>")
     one = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
